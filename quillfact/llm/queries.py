@@ -29,6 +29,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_read(spark, sf_dir, "conversations"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.ngram_join import ngram_components
+
+    return ngram_components(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillfact.llm.decontaminate import contamination
 
@@ -53,6 +59,9 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 #: Letters, digits and all non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Runs of anything but ASCII white space.
+SPACED = r"[^\x20\x09-\x0D]+"
+
 LINE_DEDUP_SQL = """
 , l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {docs}),
 b AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('=' || source, '')) >= 10),
@@ -69,6 +78,14 @@ p AS (SELECT *, string_agg(role || chr(31) || text || chr(30), '') OVER (PARTITI
 w AS (SELECT min(conv_id) AS conv_id, n, prefix FROM p WHERE i = n GROUP BY n, prefix),
 k AS (SELECT conv_id, n FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.i = w.n AND p.i < p.n AND p.prefix = w.prefix))
 SELECT t.conv_id, t.i AS turn_index, k.n AS n_turns, t.role, '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS rendered FROM t JOIN k USING (conv_id)""",
+    "op7_ngram_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM d),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a) k USING (doc_id)""",
     "op9_decontaminate": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM benchmark),
 q AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM b WHERE len(w) > 0),
@@ -81,7 +98,7 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_chat_format, op6_packing, op9_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op9_decontaminate, op10_suffix_dedup)}
 
 
 def queries() -> dict:

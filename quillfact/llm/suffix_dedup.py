@@ -3,8 +3,8 @@
 1. Anchors. In every 100-byte string the 24-gram of smallest hash (the rightmost of equal ones) is its anchor: equal
    strings have equal anchors, so repeats meet under the anchor's hash. Each task sends each distinct pair (anchor,
    context) once, where the context is the text that all strings with this anchor can cover.
-2. An anchor whose context repeats byte for byte: all but the earliest are covered whole. An anchor with several
-   different contexts is ambiguous; the earliest of each of its contexts goes to an index.
+2. Contexts of an anchor that are equal byte for byte: all but the earliest are covered whole. Different contexts of
+   an anchor that agree on one side of it may share a string; the earliest of each goes to an index.
 3. Index. The contexts of a bucket of anchors are suffix-sorted; of the Burrows-Wheeler transform only the runs and the
    suffix samples at the run ends are kept. The match length with the lexicographic neighbour is computed at run heads
    only and streamed over the text (inside a run it falls by one from byte to byte): strings with matching statistics
@@ -29,10 +29,12 @@ from quillfact.llm.common import BROADCAST_ROWS, arrow_batches, settle
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
+#: A string of LENGTH reaches at least this far to one side of its anchor.
+HALF = (LENGTH - GRAM) // 2
 LEAST = -(2**63)
 #: Window starts that are looked at together; the low bits of a key hold the place in such a block.
 BLOCK, PLACE_BITS = 1 << 16, np.uint64(20)
-RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1")])
+RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1"), ("before", "<u4"), ("after", "<u4")])
 #: Bytes of contexts in an index, on average.
 INDEX_BYTES = 250_000
 
@@ -52,7 +54,8 @@ def _gram_sums(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def find_anchors(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Place, gram hash, context start and end, and context hash of every anchor; begins: of the texts, and the end."""
+    """Place, gram hash, context start and end, and context hash of every anchor, and hashes of the gram with HALF bytes
+    before and after it (0 where the text ends sooner); begins: of the texts, and the end."""
     n = len(buf)
     some = np.zeros(n + 1, np.int32)
     long = np.diff(begins) >= LENGTH
@@ -60,7 +63,7 @@ def find_anchors(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(some, begins[1:][long] - LENGTH + 1, -1)
     starts_ok = np.cumsum(some[:n]) > 0
     mask = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
     for block in range(0, max(n - LENGTH + 1, 0), BLOCK):  # a block's arrays stay in the processor's cache
         end = min(block + BLOCK, n - LENGTH + 1)
         base, top = max(block - SPAN, 0), min(end + SPAN + LENGTH, n)
@@ -81,10 +84,14 @@ def find_anchors(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
         doc = np.searchsorted(begins, at + block, side="right") - 1
         lo, hi = np.maximum(begins[doc], at + block - SPAN + 1), np.minimum(begins[doc + 1], at + block + LENGTH)
         context = B.mixed(B.hashes(run, lo - base, hi - base) + (at + block - lo).astype(np.uint64))
-        for held, x in zip(out, (at + block, hashed[at], lo, hi, context), strict=True):
+        sides = []
+        for start, stop in ((at + block - HALF, at + block + GRAM), (at + block, at + block + GRAM + HALF)):
+            inside = (start >= lo) & (stop <= hi)
+            sides.append(np.where(inside, B.hashes(run, np.where(inside, start, lo) - base, np.where(inside, stop, lo) - base) | np.uint64(1), np.uint64(0)))
+        for held, x in zip(out, (at + block, hashed[at], lo, hi, context, *sides), strict=True):
             held.append(x)
     if not out[0]:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     at, first = np.unique(np.concatenate(out[0]), return_index=True)
     return at, *(np.concatenate(x)[first] for x in out[1:])
 
@@ -109,13 +116,13 @@ def _send(buckets: int):
         for ids, bodies in B.chunks(batches, 2):
             begins = np.zeros(len(bodies) + 1, np.int64)
             np.cumsum([len(b) for b in bodies], out=begins[1:])
-            at, grams, lo, hi, contexts = find_anchors(np.frombuffer(b"".join(bodies), np.uint8), begins)
+            at, grams, lo, hi, contexts, before, after = find_anchors(np.frombuffer(b"".join(bodies), np.uint8), begins)
             doc = np.searchsorted(begins, at, side="right") - 1
             records = np.empty(len(at), RECORD)
             records["anchor"], records["context"] = grams, contexts
             records["doc"], records["at"] = np.array([LEAST if x is None else x for x in ids], np.int64)[doc], at - begins[doc]
             records["left"], records["right"] = at - lo, hi - at
-            bucket = (grams >> np.uint64(40)).astype(np.int64) % buckets
+            records["before"], records["after"] = before & np.uint64(0xFFFFFFFF), after & np.uint64(0xFFFFFFFF)
             # of a context that repeats within the chunk only the earliest is sent, the others are covered
             order = np.argsort(grams, kind="stable")
             same = grams[order][1:] == grams[order][:-1]
@@ -152,9 +159,15 @@ def _meet(table: pa.Table) -> pa.Table:
     many[order[:-1]] |= same
     records, new = _earliest(records[many])
     first = records[new]
-    edge = np.flatnonzero(np.concatenate([[True], first["anchor"][1:] != first["anchor"][:-1]])) if len(first) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(edge, len(first)))
-    first = first[np.repeat(sizes > 1, sizes)]
+    # contexts can share a string only where they agree on one side of the anchor
+    agree = np.zeros(len(first), bool)
+    for side in ("before", "after"):
+        order = np.lexsort((first[side], first["anchor"]))
+        x, anchor = first[side][order], first["anchor"][order]
+        same = (x[1:] == x[:-1]) & (anchor[1:] == anchor[:-1]) & (x[1:] > 0)
+        agree[order[1:][same]] = True
+        agree[order[:-1][same]] = True
+    first = first[agree]
     both = np.concatenate([records[~new], first])
     doc, lo, hi = _spans(both)
     return pa.table({"doc": doc, "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "at": pa.array(both["at"], pa.int32()), "anchor": both["anchor"].view(np.int64), "open": np.arange(len(both)) >= len(both) - len(first)})
@@ -184,32 +197,44 @@ class RunLengthIndex:
     """
 
     def __init__(self, texts: list[bytes]):
-        text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        body = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts])
+        ends = np.cumsum(sizes) - 1
+        used = np.zeros(257, np.int64)
+        used[body + np.int64(1)] = 1
+        text = np.cumsum(used)[body + np.int64(1)]  # dense symbols from 1
         text[ends] = 0
-        self.n, self.text = len(text), text
-        padded = np.concatenate([text, np.zeros(8, np.uint16)]).astype(np.uint64)
-        to_end = ends[np.searchsorted(ends, np.arange(self.n))] - np.arange(self.n)
-        key = np.zeros(self.n, np.uint64)
-        for j in range(7):
-            key = (key << np.uint64(9)) | np.where(to_end >= j, padded[j : j + self.n], 0)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(self.n, bool)
-        new[1:] = (key[1:] != key[:-1]) | (to_end[order][1:] < 7)
-        depth, ranks = 7, []
+        self.n, n = len(text), len(text)
+        to_end = np.repeat(ends, sizes) - np.arange(n)
+        place = max((n - 1).bit_length(), 1)
+        low = (1 << place) - 1
+        bits = int(text.max()).bit_length()
+        depth = max((63 - place) // max(bits, 1), 1)
+        depth = min(depth, 8)
+        padded = np.concatenate([text, np.zeros(depth, np.int64)])
+        key = np.zeros(n, np.int64)
+        for j in range(depth):
+            key = (key << bits) | np.where(to_end >= j, padded[j : j + n], 0)
+        key = np.sort((key << place) | np.arange(n))
+        order = key & low
+        new = np.ones(n, bool)
+        new[1:] = ((key[1:] ^ key[:-1]) > low) | (to_end[order[1:]] < depth)  # an end mark differs from all others
+        ranks = []
         while True:
-            rank = np.empty(self.n, np.int64)
+            rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             ranks.append((depth, rank))
             if new.all():
                 break
-            ahead = np.zeros(self.n, np.int64)
-            ahead[: self.n - depth] = rank[depth:]
-            key = (rank << 32) | ahead
-            order = np.argsort(key)
-            key = key[order]
-            new[1:] = key[1:] != key[:-1]
+            ahead = np.zeros(n, np.int64)
+            ahead[: n - depth] = rank[depth:]
+            if 3 * place <= 63:
+                key = np.sort((((rank << place) | ahead) << place) | np.arange(n))
+                order = key & low
+                new[1:] |= (key[1:] ^ key[:-1]) > low
+            else:
+                order = np.lexsort((ahead, rank))
+                new[1:] |= ahead[order][1:] != ahead[order][:-1]
             depth *= 2
         before = np.where(order > 0, text[order - 1], 0)
         head = np.ones(self.n, bool)
@@ -226,7 +251,7 @@ class RunLengthIndex:
             hit = (np.maximum(one, two) + depth < self.n) & (rank[np.minimum(one, self.n - 1)] == rank[np.minimum(two, self.n - 1)])
             for x in (one, two, same):
                 x[hit] += depth
-        for _ in range(7):
+        for _ in range(ranks[0][0]):
             hit = (text[one] == text[two]) & (text[one] > 0)
             for x in (one, two, same):
                 x[hit] += 1
@@ -234,10 +259,12 @@ class RunLengthIndex:
 
     def matching_statistics(self) -> np.ndarray:
         """For every place of the text, the length of its match with the suffix before it, streamed from the samples."""
-        order = np.argsort(self.first_samples)
-        places = self.first_samples[order]
-        last = np.searchsorted(places, np.arange(self.n), side="right") - 1
-        return np.maximum(self.matches[order][last] - (np.arange(self.n) - places[last]), 0)
+        place = np.arange(self.n)
+        reach = np.zeros(self.n, np.int64)  # where a sample's match ends
+        reach[self.first_samples] = self.first_samples + self.matches
+        sampled = np.zeros(self.n, np.int64)
+        sampled[self.first_samples] = self.first_samples
+        return np.maximum(reach[np.maximum.accumulate(sampled)] - place, 0)
 
 
 def repeats(docs: np.ndarray, lo: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
