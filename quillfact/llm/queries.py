@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.secret_scan import secret_scan
+
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillfact.llm.line_dedup import line_dedup
 
@@ -17,6 +23,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillfact.llm.exact_dedup import exact_dedup
 
@@ -35,6 +47,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_read(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.html_extract import html_extract
+
+    return html_extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillfact.llm.decontaminate import contamination
 
@@ -98,7 +116,7 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op9_decontaminate, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op8_html_extract, op9_decontaminate, op10_suffix_dedup)}
 
 
 def queries() -> dict:
