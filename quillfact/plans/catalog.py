@@ -1,4 +1,357 @@
-"""Registered queries of the fact engine."""
+"""Registered queries of the fact engine, and the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillfact.functions import lexicon as L
+from quillfact.functions import normalize as N
+from quillfact.functions import roles as R
+from quillfact.functions import text as T
+from quillfact.functions import validate as V
+from quillfact.operators import chunks as C
+from quillfact.operators import extract as X
+from quillfact.operators import judge as J
+from quillfact.operators import pairs as P
+from quillfact.operators import rank as K
+from quillfact.plans.facts import FACTS_SQL, order_facts, read
+from quillfact.sources import store as S
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def note(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return note
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.judged(P.candidate_pairs(order_facts(spark, sf_dir))).withColumn("edge_id", F.col("a.pos") * 100000 + F.col("b.pos"))
+
+
+# Facts and their relationships
+
+
+@query(FACTS_SQL + "SELECT taxonomy, reconciliation, count(*) AS n FROM j GROUP BY ALL")
+def class_counts(spark, sf_dir):
+    return J.class_counts(edges(spark, sf_dir))
+
+
+@query(FACTS_SQL + "SELECT pos_a, pos_b, relationship, taxonomy, reconciliation, confidence, delta FROM j")
+def judge_verdict(spark, sf_dir):
+    return edges(spark, sf_dir).select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), "relationship", "taxonomy", "reconciliation", "confidence", "delta")
+
+
+@query(FACTS_SQL + "SELECT pos, document_id, entity, period FROM e")
+def eligible_facts(spark, sf_dir):
+    return P.with_canonical(order_facts(spark, sf_dir)).where(P.eligible()).select("pos", "document_id", "entity", "period")
+
+
+@query(FACTS_SQL + "SELECT pos_a, pos_b, doc_a, doc_b FROM p")
+def comparable_pairs(spark, sf_dir):
+    return P.candidate_pairs(order_facts(spark, sf_dir)).select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), F.col("a.document_id").alias("doc_a"), F.col("b.document_id").alias("doc_b"))
+
+
+@query(FACTS_SQL + "SELECT pos_a, pos_b, priority FROM q")
+def pair_priority(spark, sf_dir):
+    return P.candidate_pairs(order_facts(spark, sf_dir)).select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), "priority")
+
+
+@query(FACTS_SQL + "SELECT pos_a, pos_b, priority FROM q ORDER BY priority DESC, pos_a, pos_b LIMIT 50")
+def pair_topk(spark, sf_dir):
+    return P.ranked(P.candidate_pairs(order_facts(spark, sf_dir)), L.PREVIEW).select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), "priority")
+
+
+@query(FACTS_SQL + "SELECT a.pos AS pos_a, b.pos AS pos_b, CAST(CASE WHEN a.entity = b.entity AND a.v IS NOT NULL AND b.v IS NOT NULL AND a.unit IS NOT NULL AND b.unit IS NOT NULL THEN 1 ELSE 0 END AS DOUBLE) AS score FROM f a JOIN f b ON a.pos < b.pos AND a.document_id <> b.document_id ORDER BY 1, 2 LIMIT 50")
+def debug_all_pairs(spark, sf_dir):
+    return P.all_pairs(order_facts(spark, sf_dir))
+
+
+@query(FACTS_SQL + "SELECT edge_id, a.entity AS entity_a, b.entity AS entity_b, a.period AS period_a, b.period AS period_b, taxonomy FROM j LEFT JOIN f a ON a.pos = pos_a LEFT JOIN f b ON b.pos = pos_b")
+def relationship_hydrate(spark, sf_dir):
+    facts = order_facts(spark, sf_dir).select("fact_id", F.struct("entity", "period", "value").alias("fact"))
+    e = edges(spark, sf_dir).select("edge_id", "taxonomy", F.col("a.fact_id").alias("fa"), F.col("b.fact_id").alias("fb"))
+    e = e.join(facts.select(F.col("fact_id").alias("fa"), F.col("fact").alias("a")), "fa", "left").join(facts.select(F.col("fact_id").alias("fb"), F.col("fact").alias("b")), "fb", "left")
+    return e.select("edge_id", F.col("a.entity").alias("entity_a"), F.col("b.entity").alias("entity_b"), F.col("a.period").alias("period_a"), F.col("b.period").alias("period_b"), "taxonomy")
+
+
+@query(FACTS_SQL + "SELECT pos AS fact_id, document_id || '.pdf' AS source_document, entity, period FROM f")
+def facts_with_source(spark, sf_dir):
+    docs = spark.createDataFrame([(d, f"{d}.pdf") for d in ("ledger", "copy", "summary", "rounded", "provisional", "partial", "restated", "nounit")], "document_id string, source_document string")
+    return order_facts(spark, sf_dir).join(F.broadcast(docs), "document_id").select("fact_id", "source_document", "entity", "period")
+
+
+@query(FACTS_SQL + ", s AS (SELECT pos, sum(c) AS c FROM (SELECT pos_a AS pos, CAST(round(confidence * 100) AS BIGINT) AS c FROM j UNION ALL SELECT pos_b, CAST(round(confidence * 100) AS BIGINT) FROM j) GROUP BY pos) SELECT f.pos AS fact_id, round(greatest(0, least(1, CAST(0.9 AS DOUBLE) * CAST(0.8 AS DOUBLE) + coalesce(c, 0) / CAST(100 AS DOUBLE))), 3) AS confidence FROM f LEFT JOIN s USING (pos)")
+def rescored_confidence(spark, sf_dir):
+    return J.rescored(order_facts(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(FACTS_SQL + "SELECT edge_id, taxonomy, confidence FROM (SELECT *, row_number() OVER (PARTITION BY taxonomy = 'TEMPORAL_COMPARISON' ORDER BY confidence DESC, edge_id) AS k FROM j) WHERE taxonomy <> 'TEMPORAL_COMPARISON' OR k <= 20")
+def temporal_cap(spark, sf_dir):
+    return K.temporal_cap(edges(spark, sf_dir)).select("edge_id", "taxonomy", "confidence")
+
+
+@query(FACTS_SQL + """, s AS (SELECT *, CASE WHEN relationship = 'LIKELY_CONTRADICTION' THEN 'CONTRADICTS' ELSE relationship END AS slot FROM j),
+t AS (SELECT slot, edge_id, 65 + CASE WHEN slot = 'RECONCILED' AND (reconciliation = 'ESTIMATE_REVISION' OR (na IS NOT NULL AND nb IS NOT NULL)) THEN 50 WHEN slot = 'RECONCILED' AND reconciliation IN ('UNIT_CONVERSION', 'ROUNDING') THEN 35 WHEN slot = 'TEMPORAL_COMPARISON' AND reconciliation = 'SCOPE_PERIOD_DIFFERENCE' THEN 40 ELSE 0 END + confidence * 15 AS score FROM s)
+SELECT slot, edge_id, score FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score DESC, edge_id) AS k FROM t) WHERE k = 1""")
+def case_top1(spark, sf_dir):
+    return K.cases(edges(spark, sf_dir))
+
+
+@query(FACTS_SQL + "SELECT count(*) FILTER (contains(taxonomy, 'CORROBORATES')) AS corroborated, count(*) FILTER (contains(taxonomy, 'CONTRADICT')) AS contradictions, count(*) FILTER (contains(taxonomy, 'RECONCILED')) AS reconciled, count(*) FILTER (contains(taxonomy, 'TEMPORAL')) AS temporal, count(*) AS total FROM j")
+def dashboard(spark, sf_dir):
+    return J.dashboard(edges(spark, sf_dir))
+
+
+@query(FACTS_SQL + "SELECT document_id, count(*) AS facts, count(v) AS stated, count(unit) AS with_unit FROM f GROUP BY document_id")
+def document_counts(spark, sf_dir):
+    return order_facts(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("facts"), F.count("normalized_value").alias("stated"), F.count("unit").alias("with_unit"))
+
+
+# Store
+
+
+def _tables(spark, sf_dir) -> dict[str, DataFrame]:
+    e = edges(spark, sf_dir).select("edge_id", F.col("a.fact_id").alias("fact_id_a"), F.col("b.fact_id").alias("fact_id_b"))
+    return {"facts": order_facts(spark, sf_dir), "fact_relationships": e}
+
+
+@query(FACTS_SQL + "SELECT edge_id, pos_a AS fact_id_a, pos_b AS fact_id_b FROM j WHERE doc_a <> 'copy' AND doc_b <> 'copy'")
+def delete_cascade(spark, sf_dir):
+    return S.without_document(_tables(spark, sf_dir), spark.createDataFrame([("copy",)], "document_id string"))["fact_relationships"]
+
+
+@query(FACTS_SQL + "SELECT entity, period, document_id, CAST(CASE WHEN document_id = 'restated' THEN 2 ELSE 1 END AS BIGINT) AS version FROM f")
+def replace_document(spark, sf_dir):
+    facts = order_facts(spark, sf_dir).select("entity", "period", "document_id", F.lit(1).cast("long").alias("version"))
+    new = facts.where("document_id = 'restated'").withColumn("version", F.lit(2).cast("long"))
+    return facts.join(F.broadcast(new.select("document_id").distinct()), "document_id", "left_anti").unionByName(new)
+
+
+@query(FACTS_SQL + "SELECT pos AS fact_id, CAST(3 + pos % 3 AS INT) AS pipeline_version FROM f WHERE 3 + pos % 3 >= 4")
+def version_purge(spark, sf_dir):
+    return S.purged(order_facts(spark, sf_dir).select("fact_id", (3 + F.col("fact_id") % 3).cast("int").alias("pipeline_version")))
+
+
+@query(FACTS_SQL + "SELECT pos AS fact_id, entity AS subject, 'General Assertion' AS metric, 'was reported as' AS predicate, 'valid' AS validation_status, CAST(4 AS INT) AS pipeline_version FROM f")
+def schema_evolution(spark, sf_dir):
+    return S.evolved(order_facts(spark, sf_dir).select("fact_id", F.col("entity").alias("subject"), F.lit(None).cast("string").alias("metric")))
+
+
+# Text
+
+
+@query(r"SELECT doc_id, CAST(floor(len(regexp_extract_all(coalesce(text, ''), '[^\t\n\x0B\f\r ]+')) * CAST(1.33 AS DOUBLE)) AS INT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+def _pages(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(r"WITH l AS (SELECT doc_id, regexp_replace(x, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS line, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS line_no, line FROM l WHERE line <> ''")
+def nonblank_line_pos(spark, sf_dir):
+    return C.nonblank_lines(_pages(spark, sf_dir), "document_id")
+
+
+@query(r"SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS chunks, CAST(len(text) AS INT) AS last_char FROM documents WHERE regexp_replace(text, '[\t\n\x0B\f\r ]+', '', 'g') <> '' AND NOT regexp_matches(text, '\n[\t\x0B\f\r ]*\n')")
+def chunk_count_per_doc(spark, sf_dir):
+    chunks = C.chunk_pages(_pages(spark, sf_dir).where(~F.rlike("text", F.lit(r"\n[\t\x0B\f\r ]*\n"))))
+    return chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunks"), F.max("end_char").cast("int").alias("last_char"))
+
+
+@query()
+def chunk_pack(spark, sf_dir):
+    """Pages of several paragraphs: the turns of a conversation, set apart by blank lines (a fold; no SQL for it)."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["text"]), "\n\n")
+    return C.chunk_pages(turns.select(F.col("conv_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), text.alias("text")), 200)
+
+
+@query("SELECT sha256(coalesce(text, '')) AS document_id, doc_id FROM documents")
+def content_hash_ids(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(S.content_id(F.coalesce("text", F.lit(""))).alias("document_id"), "doc_id")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS document_id, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL HAVING count(*) > 1")
+def dup_documents(spark, sf_dir):
+    return content_hash_ids(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query()
+def sentence_reflow(spark, sf_dir):
+    return C.sentences(C.nonblank_lines(_pages(spark, sf_dir), "document_id"), "document_id")
+
+
+@query(r"SELECT doc_id, i - 1 AS pos, t AS token FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[-+]?[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?%?') AS w FROM documents))")
+def number_tokens(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[-+]?[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?%?"), F.lit(0))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"SELECT page_id, regexp_matches(html, '(?:\.\s*|…\s*){2,}[0-9]+\s*$|\.{2,}\s*[0-9]+') OR regexp_matches(html, '(?i)\b(?:page|p\.?)\s*[0-9]+\b') AS navigation FROM pages")
+def navigation_lines(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", R.navigation(F.col("html")).alias("navigation"))
+
+
+@query("SELECT o_orderkey, CAST(1900 + o_orderkey % 200 AS INT) AS base_year, CAST(o_orderkey % 1000 AS INT) AS base_value FROM orders WHERE 1900 + o_orderkey % 200 >= 1000")
+def index_base(spark, sf_dir):
+    key = F.col("o_orderkey")
+    line = F.concat(F.lit("Index of orders ["), (1900 + key % 200).cast("string"), F.lit(" = "), (key % 1000).cast("string"), F.lit("] x"))
+    year, value = R.index_base(line)
+    return read(spark, sf_dir, "orders").select("o_orderkey", year.alias("base_year"), value.alias("base_value"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS prefixed FROM part")
+def section_prefix(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("2."), key, F.lit(" Growth of parts"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("2."), key, F.lit(" percent growth"))).otherwise(F.concat(F.lit("Growth of "), key, F.lit(" parts")))
+    return read(spark, sf_dir, "part").select("p_partkey", R.section_prefix(line, F.concat(F.lit("2."), key)).alias("prefixed"))
+
+
+@query()
+def number_roles(spark, sf_dir):
+    """Roles of all numbers of the fixture's texts, by line."""
+    lines = C.nonblank_lines(_pages(spark, sf_dir), "document_id")
+    tokens = lines.select("document_id", "line_no", "line", F.posexplode(F.regexp_extract_all("line", F.lit(r"[-+]?\d+(?:,\d+)*(?:\.\d+)?"), F.lit(0))).alias("pos", "token"))
+    return tokens.withColumn("r", R.number_role(T.short(N.parse_numeric(F.col("token"))), F.col("token"), F.lit(""), F.col("line"))).select("document_id", "line_no", "pos", "token", "r.role", "r.confidence")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'headline_cpi_inflation' WHEN 1 THEN 'total_sale' WHEN 2 THEN 'profit_after_tax_' || p_partkey WHEN 3 THEN 'unspecified_metric' END AS canonical FROM part")
+def canonical_metric(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, " Consumer Price Index").when(k % 4 == 1, "The total number of sales").when(k % 4 == 2, F.concat(F.lit("PAT ("), k.cast("string"), F.lit(")"))).otherwise("the data of our company")
+    return read(spark, sf_dir, "part").select("p_partkey", R.canonical_metric(name).alias("canonical"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN -p_retailprice ELSE p_retailprice END AS number FROM part")
+def parse_numeric(spark, sf_dir):
+    price = F.format_number("p_retailprice", 2)
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("₹("), F.regexp_replace(price, "^", ""), F.lit(")"))).otherwise(F.concat(F.lit("Rs "), price))
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), price, F.lit(")"))).otherwise(text)
+    return read(spark, sf_dir, "part").select("p_partkey", N.parse_numeric(text).alias("number"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN round(p_size * 1e7, 4) WHEN 1 THEN p_size WHEN 2 THEN p_size ELSE round(p_size * 1e6, 4) END::DOUBLE AS normalized_value,
+CASE p_partkey % 4 WHEN 0 THEN 'INR' WHEN 1 THEN '%' WHEN 2 THEN 'shares' ELSE 'USD' END AS normalized_unit, CASE p_partkey % 4 WHEN 0 THEN 'MONEY' WHEN 1 THEN 'PERCENT' WHEN 2 THEN 'SHARE_COUNT' ELSE 'MONEY' END AS value_type FROM part""")
+def normalize_values(spark, sf_dir):
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    unit = F.when(k == 0, "crore").when(k == 1, "%").when(k == 2, "Equity Shares").otherwise("USD million")
+    return read(spark, sf_dir, "part").select("p_partkey", N.normalized(size, unit, F.lit(""), F.lit("revenue")).alias("n")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.value_type")
+
+
+@query("SELECT o_orderkey, 'FY ' || year(o_orderdate) AS period, CASE WHEN o_orderkey % 3 = 0 THEN 'APR_DEC' WHEN o_orderkey % 3 = 1 THEN 'FULL_YEAR' END AS scope, CASE WHEN o_orderkey % 2 = 0 THEN 'FIRST_ADVANCE_ESTIMATE' ELSE 'SECOND_ADVANCE_ESTIMATE' END AS vintage FROM orders")
+def period_scope_vintage(spark, sf_dir):
+    k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    said = F.when(k % 2 == 0, F.concat(F.lit("Fiscal "), y)).otherwise(F.concat(F.lit("fy"), y))
+    about = F.when(k % 3 == 0, "in April to December").when(k % 3 == 1, "annual report").otherwise("so far")
+    estimate = F.when(k % 2 == 0, "by the First Advance Estimates").otherwise("by the second advance estimate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.period(said).alias("period"), N.period_scope(about).alias("scope"), N.vintage(estimate).alias("vintage"))
+
+
+@query(r"SELECT doc_id, item_id, CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE 0.85 END::DOUBLE AS grounding FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text)))")
+def grounding_score(spark, sf_dir):
+    """Benchmark passages in documents; the few passages (size-checked by Spark) go to all tasks."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    pairs = read(spark, sf_dir, "documents").join(F.broadcast(b), F.contains(F.lower("text"), F.lower(T.strip(F.col("quote")))))
+    return pairs.select("doc_id", "item_id", T.grounding(F.col("quote"), F.col("text")).alias("grounding"))
+
+
+@query("SELECT p_partkey, p_partkey % 4 < 2 AS header FROM part")
+def header_label(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, " (₹ in million) ").when(k % 4 == 1, "Statement of parts").when(k % 4 == 2, F.concat(F.lit("Parts "), k.cast("string"))).otherwise("Revenue 5 million")
+    return read(spark, sf_dir, "part").select("p_partkey", V.header_label(text).alias("header"))
+
+
+def _candidates(spark, sf_dir):
+    """Candidates of which each kind breaks another rule of the validator."""
+    k = F.col("p_partkey")
+    size = (F.col("p_size") + 100).cast("string")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (k % 8 + 1).cast("int"))
+    quote = pick("Contents .... 12", "abc", F.concat(F.lit("Revenue was INR "), size, F.lit(" million")), "inflation was seven of", F.concat(F.lit("Revenue of "), size), F.concat(F.lit("Sales: ₹"), size), F.concat(F.lit("Volume was INR "), size, F.lit(" crore")), "see the notes")
+    number = F.when(k % 8 < 7, (F.col("p_size") + 100).cast("double"))
+    metric = pick("Revenue", "Revenue", "Revenue", "Core Inflation", "Revenue", "Total", "Volume", "Policy")
+    unit = pick("", "", "INR million", "", "", "INR", "INR crore", "")
+    value = F.when(k % 8 < 7, size).otherwise("n/a")
+    fails = V.failure_type(value, metric, unit, quote, number, F.when(k % 8 == 6, 0.5).otherwise(0.9), F.lit(0.9))
+    return read(spark, sf_dir, "part").select(k.alias("reject_id"), value.alias("candidate_text"), fails.alias("failure_type"))
+
+
+FAILURES = "CASE p_partkey % 8 WHEN 0 THEN 'NAVIGATION_REFERENCE' WHEN 1 THEN 'INSUFFICIENT_CONTEXT' WHEN 3 THEN 'MISSING_PERCENT_UNIT' WHEN 4 THEN 'MISSING_CURRENCY_UNIT' WHEN 5 THEN 'TABLE_HEADER_WITHOUT_VALUE' WHEN 6 THEN 'LOW_BINDING_CONFIDENCE' WHEN 7 THEN 'INSUFFICIENT_CONTEXT' END"
+
+
+@query(f"SELECT p_partkey AS reject_id, {FAILURES} AS failure_type FROM part")
+def validate_verdict(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("reject_id", "failure_type")
+
+
+@query("SELECT b.bucket, count(x.p_partkey) AS n FROM (SELECT unnest(['TABLE_HEADERS', 'BARE_UNITS', 'VALUES_WITHOUT_METRIC', 'NAVIGATION_REFERENCES', 'INVALID_NUMBER_ROLE', 'LOW_BINDING_CONFIDENCE', 'AMBIGUOUS_CLAIMS']) AS bucket) b LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 8 = 6 THEN 'LOW_BINDING_CONFIDENCE' ELSE 'AMBIGUOUS_CLAIMS' END AS bucket FROM part WHERE p_partkey % 8 <> 2) x ON x.bucket = b.bucket GROUP BY b.bucket")
+def ledger_groups(spark, sf_dir):
+    return K.ledger_groups(spark, _candidates(spark, sf_dir).where("failure_type is not null"))
+
+
+@query(f"SELECT p_partkey AS reject_id, {FAILURES} AS failure_type FROM part WHERE p_partkey % 8 = 5 ORDER BY p_partkey LIMIT 1")
+def failure_case(spark, sf_dir):
+    return K.failure_case(_candidates(spark, sf_dir).where("failure_type is not null")).select("reject_id", "failure_type")
+
+
+@query("SELECT p_type AS metric, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, metric LIMIT 20")
+def metric_frequency(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("metric")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "metric").limit(20)
+
+
+@query(FACTS_SQL + "SELECT round(count(*) FILTER (unit IS NULL) / CAST(count(*) AS DOUBLE), 6) AS bare_share FROM f")
+def quality_ratio(spark, sf_dir):
+    return order_facts(spark, sf_dir).agg(F.round(F.count_if(F.col("unit").isNull()) / F.count("*"), 6).alias("bare_share"))
+
+
+def _report(spark, sf_dir):
+    """A page of prose and a series table for each fiscal year's orders."""
+    y = F.year("o_orderdate")
+    sums = read(spark, sf_dir, "orders").groupBy(y.alias("y")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("u"))
+    lines = F.concat(
+        F.lit("Summary of the year\nExpress parcel shipment volume (million)\nFY"), F.col("y").cast("string"), F.lit(" FY"), (F.col("y") + 1).cast("string"), F.lit("\n"), (F.col("n") + 3000).cast("string"), F.lit(" "), (F.col("u") + 3000).cast("string"),
+        F.lit("\nContents ...... 12\n(₹ in million)\nCPI [2001=100]\nNet profit was ₹"), F.col("n").cast("string"), F.lit(" million in FY"), F.col("y").cast("string"), F.lit(" against a plan.\n"),
+    )
+    return sums.select(F.col("y").cast("string").alias("document_id"), F.lit("delhivery-fy24.pdf").alias("filename"), F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index"), lines.alias("text"))
+
+
+YEARS_SQL = "WITH s AS (SELECT year(o_orderdate) AS y, count(*) AS n, count(*) FILTER (starts_with(o_orderpriority, '1')) AS u FROM orders GROUP BY ALL) "
+
+
+@query(YEARS_SQL + "SELECT CAST(y AS VARCHAR) AS document_id, 'FY ' || y AS period, CAST(n + 3000 AS VARCHAR) AS value, 'million parcels' AS unit FROM s UNION ALL SELECT CAST(y AS VARCHAR), 'FY ' || (y + 1), CAST(u + 3000 AS VARCHAR), 'million parcels' FROM s")
+def series_align(spark, sf_dir):
+    return X.series_candidates(C.nonblank_lines(_report(spark, sf_dir), *X.KEYS), *X.KEYS).select("document_id", "period", "value", "unit")
+
+
+@query()
+def extract_facts(spark, sf_dir):
+    facts, _ = X.extract_facts(_report(spark, sf_dir))
+    return facts.select("document_id", "metric", "value", "unit", "period", "normalized_value", "normalized_unit", "value_type", "binding_method", "final_confidence")
+
+
+@query(YEARS_SQL + "SELECT CAST(y AS VARCHAR) AS document_id, unnest(['NAVIGATION_REFERENCE', 'TABLE_HEADER_WITHOUT_VALUE', 'STRUCTURAL_INDEX_METADATA']) AS failure_type FROM s")
+def line_routing(spark, sf_dir):
+    return C.nonblank_lines(_report(spark, sf_dir), *X.KEYS).select("document_id", C.route(F.col("line")).alias("failure_type")).where("failure_type is not null")
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ('the', 'of', 'and'))) AS INT) AS hits FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])(the|of|and)([^a-z]|$)')")
+def metric_dictionary_join(spark, sf_dir):
+    """Dictionary words of a text, as tests in one pass instead of a join of lines and patterns."""
+    text = F.lower("text")
+    words = F.filter(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin("the", "of", "and"))
+    return read(spark, sf_dir, "documents").where(F.rlike(text, F.lit("(^|[^a-z])(the|of|and)([^a-z]|$)"))).select("doc_id", F.size(words).alias("hits"))
+
+
+@query(FACTS_SQL + "SELECT entity, period, v AS normalized_value, min(pos) AS first FROM f WHERE v IS NOT NULL GROUP BY entity, period, v, scope, vintage")
+def candidate_dedup(spark, sf_dir):
+    f = order_facts(spark, sf_dir).where("normalized_value is not null").withColumn("ordinal", F.col("pos")).withColumn("stage", F.lit(0)).withColumn("rank", F.lit(0)).withColumn("number", F.lit(0))
+    return X.first_candidates(f, "entity").select("entity", "period", "normalized_value", F.col("pos").alias("first"))
