@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfact.llm import bytetext as B
@@ -176,14 +176,45 @@ def fits(a: str, b: str):
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * reach >= 3 * (n1 + n2))
 
 
-def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are similar enough, compared whole."""
+def _bits(batches):
+    """Per document the size of its set and a bitmap: which of some buckets (a power of two, at least the size) hold an odd
+    number of its shingles."""
+    for ids, bodies in B.chunks(batches, 2):
+        hashed, begins = shingles(bodies)
+        sizes, maps = [], []
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            one = np.unique(hashed[a:b])
+            width = max(64, 1 << max(len(one) - 1, 0).bit_length())
+            odd = np.bincount((one & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+            sizes.append(len(one))
+            maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], ["doc", "n", "bits"])
+
+
+def _differ_at_most(one: str, two: str) -> Column:
+    """A lower bound of the number of shingles that just one of two sets has, from their bitmaps (the wider one folded)."""
+    x, y = F.col(one), F.col(two)
+    xor = lambda p, q: p.bitwiseXOR(q)
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), xor)
+    x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda acc, w: acc + F.bit_count(w))
+
+
+def _of_documents(source: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = settle(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-    sets = settle(source.join(sized(ids), "doc", "left_semi").select("doc", "body").mapInArrow(_token_lists, "doc long, tokens array<long>"))
+    return source.join(sized(ids), "doc", "left_semi").select("doc", "body")
+
+
+def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents whose sets are similar enough. Bitmaps of an eighth of a byte a shingle rule out
+    almost all others (they bound the difference of two sets, so no link is lost); whole sets are compared of the rest."""
+    maps = settle(_of_documents(source, pairs).mapInArrow(_bits, "doc long, n int, bits array<long>"))
+    one, two = (maps.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab")
+    close = settle(pairs.join(one, "a").join(two, "b").where(7 * _differ_at_most("ma", "mb") <= F.col("na") + F.col("nb")).select("a", "b").distinct())
+    sets = settle(_of_documents(source, close).mapInArrow(_token_lists, "doc long, tokens array<long>"))
     one, two = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(7 * common >= 3 * (F.size("ta") + F.size("tb"))).select("a", "b").distinct()
+    return close.join(one, "a").join(two, "b").where(7 * common >= 3 * (F.size("ta") + F.size("tb"))).select("a", "b").distinct()
 
 
 def _order(spark: SparkSession, sets: DataFrame):
