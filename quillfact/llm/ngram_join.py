@@ -169,10 +169,12 @@ def _token_lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32), np.concatenate(parts))], ["doc", "tokens"])
 
 
-def fits(a: str, b: str):
-    """Whether lengths and positions of a shared token allow the similarity: columns n and at of the tables a and b."""
+def fits(a: str, b: str, need: Column):
+    """Whether lengths and positions allow that a token is one of the first need shared ones of a similar pair: columns n
+    and at of the tables a and b. Before such a token they share need - 1 others at most, whatever its positions are, so
+    all of a pair's first need matches pass, and texts that only have a frequent passage in common do not meet."""
     n1, n2, at1, at2 = (F.col(f"{t}.{c}") for c in ("n", "at") for t in (a, b))
-    reach = F.least(at1, at2) + 1 + F.least(n1 - at1, n2 - at2) - 1
+    reach = F.least(at1, at2, need - 1) + F.least(n1 - at1, n2 - at2)
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * reach >= 3 * (n1 + n2))
 
 
@@ -242,7 +244,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
     hubs = posts.groupBy("token").agg(F.min(F.struct("doc", "n", "at")).alias("h"), F.count("*").alias("m")).where("m > 1").select("token", "h.doc", "h.n", "h.at", "m")
     hubs = settle(hubs)
-    pair = lambda on: posts.alias("p").join(on.alias("h"), "token").where(F.col("p.doc") != F.col("h.doc")).where(fits("p", "h"))
+    pair = lambda on: posts.alias("p").join(on.alias("h"), "token").where(F.col("p.doc") != F.col("h.doc")).where(fits("p", "h", F.col("p.need")))
     stars = settle(pair(hubs).select(F.least("p.doc", "h.doc").alias("a"), F.greatest("p.doc", "h.doc").alias("b")).distinct())
     links = settle(verified(source, stars))
     groups = components(links)
@@ -251,8 +253,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     wide = settle(wide)
     mixed = wide.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
     open_ = settle(wide.join(mixed, "token", "left_semi"))
-    met = open_.alias("p").join(open_.alias("q"), "token").where("p.doc < q.doc and p.`group` <> q.`group`").where(fits("p", "q"))
     need = F.least("p.need", "q.need")
+    met = open_.alias("p").join(open_.alias("q"), "token").where("p.doc < q.doc and p.`group` <> q.`group`").where(fits("p", "q", need))
     base = lambda t: F.col(f"{t}.n") - F.floor((3 * F.col(f"{t}.n") + 3) / 4)
     met = met.where((F.col("p.at") < base("p") + need) & (F.col("q.at") < base("q") + need))
     pairs = met.groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).agg(F.count("*").alias("matches"), F.min(need).alias("need")).where("matches >= need").select("a", "b")
