@@ -83,10 +83,10 @@ def ranked(pairs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def all_pairs(facts: DataFrame, limit: int = L.PREVIEW) -> DataFrame:
-    """The diagnostic listing: pairs across documents with their score, comparable or not, the first ones by position."""
+    """The diagnostic listing: pairs across documents with their score, comparable or not, the first ones by position.
+    Quadratic by its definition; for small fact tables."""
     f = with_canonical(facts).withColumn("eligible", eligible()).withColumn("value_class", _class(F.col("value_type"))).select("pos", "document_id", "entity", "unit", "normalized_unit", "canonical_metric", "value_class", "eligible")
     a, b = f.alias("a"), f.alias("b")
-    # the listing holds limit rows in the order of (a, b): the first limit + 1 positions of each side are enough where documents alternate
     pairs = a.join(b, (F.col("a.pos") < F.col("b.pos")) & (F.col("a.document_id") != F.col("b.document_id")))
     score = F.when(F.col("a.eligible") & F.col("b.eligible") & gates("a", "b") & (F.col("a.value_class") == F.col("b.value_class")) & (F.col("a.canonical_metric") == F.col("b.canonical_metric")), 1.0).otherwise(0.0)
     return pairs.select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), score.alias("score")).orderBy("pos_a", "pos_b").limit(limit)

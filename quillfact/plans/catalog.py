@@ -258,9 +258,9 @@ def period_scope_vintage(spark, sf_dir):
 
 @query(r"SELECT doc_id, item_id, CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE 0.85 END::DOUBLE AS grounding FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(trim(b.text)))")
 def grounding_score(spark, sf_dir):
-    """Benchmark passages in documents; the few passages (size-checked by Spark) go to all tasks."""
+    """Benchmark passages in documents; Spark broadcasts the passages if they are under its size threshold."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    pairs = read(spark, sf_dir, "documents").join(F.broadcast(b), F.contains(F.lower("text"), F.lower(T.strip(F.col("quote")))))
+    pairs = read(spark, sf_dir, "documents").join(b, F.contains(F.lower("text"), F.lower(T.strip(F.col("quote")))))
     return pairs.select("doc_id", "item_id", T.grounding(F.col("quote"), F.col("text")).alias("grounding"))
 
 
