@@ -164,7 +164,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     featured = settle(source.mapInArrow(_featured, "doc_id long, x array<float>"))
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    train = featured.join(marks.where(~held_out(F.col("doc_id"))), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
+    train = settle(featured.join(marks.where(~held_out(F.col("doc_id"))), "doc_id"))
+    rows = train.count()
+    if rows > train_rows:  # hashes are even: about 1.2 times as many rows lie below this one, so tasks send no more to be sorted
+        train = train.where(F.xxhash64("doc_id") <= int(-(2**63) + min(1.2 * train_rows / rows, 0.999) * 2**64))
+    train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
     model = AdditiveModel(np.array([r["x"] for r in train], np.float64).reshape(len(train), len(FEATURES)), np.array([r["y"] for r in train], np.float64))
 
     def run(batches):
