@@ -32,9 +32,9 @@ from quillfact.llm import bytetext as B
 from quillfact.llm.common import arrow_batches, components, settle, sized
 
 SHINGLE, MOST_MATCHES = 5, 4
-#: A shingle is frequent if this many documents of one chunk of texts have it.
-FREQUENT = 4
-#: Frequent shingles that shape the order (at 9 bytes each in every task); rarer ones beyond it count as rare.
+#: A shingle is frequent if this many different sets of one chunk of texts have it.
+FREQUENT = 2
+#: Frequent shingles that shape the order, at most (at 9 bytes each in every task): whole frequency classes from the top.
 ORDERED = 1 << 20
 CLASS_BITS = np.uint64(6)
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4"), ("need", "<i4")])
@@ -79,7 +79,7 @@ def _sets(batches):
         hashed, begins = shingles(bodies)
         parts = [np.unique(hashed[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
         sums = [(int(p.sum()), int((p ^ (p >> np.uint64(7)) * FINISH).sum())) for p in parts]
-        one = np.sort(np.concatenate(parts))
+        one = np.sort(np.concatenate([*dict(zip(sums, parts, strict=True)).values()]))
         edge = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(one)))
         tokens, count = one[edge][count >= FREQUENT], count[count >= FREQUENT].astype(np.int32)
@@ -220,10 +220,17 @@ def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _order(spark: SparkSession, sets: DataFrame):
-    rows = sets.where("tokens is not null").select("tokens", "counts").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(ORDERED).toPandas()
-    tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return spark.sparkContext.broadcast((tokens[order], np.minimum(np.log2(np.maximum(n[order], 1)).astype(np.uint8), 63)))
+    """Sorted frequent shingles and their frequency classes (the logarithm of the count), broadcast: ORDERED at most."""
+    rows = sets.where("tokens is not null").select("tokens", "counts").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = settle(rows.select("token", F.least(F.floor(F.log2("n")), F.lit(63)).cast("byte").alias("class")))
+    least, held = 64, 0
+    for r in sorted(rows.groupBy("class").count().collect(), reverse=True):
+        held += r["count"]
+        if held > ORDERED:
+            break
+        least = r["class"]
+    top = rows.where(F.col("class") >= least).toPandas().sort_values("token", key=lambda t: t.to_numpy(np.int64).view(np.uint64))
+    return spark.sparkContext.broadcast((top["token"].to_numpy(np.int64).view(np.uint64), top["class"].to_numpy(np.uint8)))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
