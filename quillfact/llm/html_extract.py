@@ -1,12 +1,12 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Pages of a host are grouped (large hosts in salted groups of about GROUP pages). In a group, every token (a tag, or a word
-outside the article, together with the path of containers around it) has an occurrence vector: how often each page has
-it. Tokens with equal vectors form an equivalence class; a class is valid if its tokens come in one order in every page
-that has them. Valid classes nest into the template; words in them are the template's own, what is left between them are
-slots. The article is read from the slots inside article or main elements, or, where a page has neither, from all slots
-outside of containers for menus, headers, footers, side bars, notices, adverts, forms and comments. Text inside an
-article element always counts as slot content, so that pages with equal articles keep them.
+Pages of a host are grouped (large hosts in salted groups of about GROUP pages). In a group, every token (a tag or a word,
+together with the path of containers around it) has an occurrence vector: how often each page has it. Tokens with equal
+vectors form an equivalence class; of a class those count that come in one order in every page that has them. Words of a
+class that stand in a run of LEAST_CLASS fixed tokens wherever they stand are the template's own, in articles too; what
+is left are slots. Names of tags and classes choose among the slots: none in containers for menus, headers, footers, side
+bars, notices, adverts, forms and comments; those inside article or main elements, unless the others hold more than
+TEASER times their words (a page without article, or with a mere teaser in it), then all.
 
 Defined results: null html is empty, and an empty page has an empty text; pages without a host form one; repeated rows get
 a row each; white space inside a block becomes one blank; a page's url and other columns do not change its text.
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ GROUP = 64
 SUPPORT, SHARE = 3, 0.6
 #: Tokens of a template that make a class.
 LEAST_CLASS = 3
+#: So many times the slot words of the article elements must stand elsewhere for those to be a teaser.
+TEASER = 2
 # Fixed names of elements and of class, id and role words.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -108,63 +112,130 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
             path = f"{path}/{name}"
 
 
-def template(pages: list[list[tuple[str, str, bool, bool, bool]]]) -> set[tuple[str, str]]:
-    """(path, word) of the words in valid equivalence classes of a group of pages."""
-    if len(pages) < SUPPORT:
-        return set()
-    streams = []
-    for events in pages:
-        stream = []
-        for path, token, is_text, in_article, _ in events:
-            if not is_text:
-                stream.append((path, token))
-            elif not in_article:
-                stream += [(path, w) for w in token.split()]
-        streams.append(stream)
-    vectors: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * len(pages))
-    for i, stream in enumerate(streams):
-        for token, n in Counter(stream).items():
-            vectors[token][i] = n
-    classes: dict[tuple[int, ...], list[tuple[str, str]]] = defaultdict(list)
-    least = max(SUPPORT, SHARE * len(pages))
-    for token, vector in vectors.items():
-        if sum(map(bool, vector)) >= least:
-            classes[tuple(vector)].append(token)
-    found: set[tuple[str, str]] = set()
-    for vector, tokens in classes.items():
-        held, orders = set(tokens), []
-        for i, n in enumerate(vector):
-            if n:
-                order = [t for t in streams[i] if t in held]
-                step = order[: len(tokens)]
-                orders.append(step if order == step * n else None)
-        if len(tokens) >= LEAST_CLASS and orders[0] is not None and all(o == orders[0] for o in orders):
-            found.update(held)
-    return {t for t in found if not t[1].startswith(("<", "</"))}
-
-
-def main_text(events: list[tuple[str, str, bool, bool, bool]], own: set[tuple[str, str]]) -> str:
-    """The slots of a page, block by block; own: the template's words."""
-    whole = not any(in_article for *_, in_article, _ in events)
+Token = tuple[str, str]
+Events = list[tuple[str, str, bool, bool, bool]]
+
+
+def stream(events: Events) -> list[Token]:
+    """The tokens of a page in order: (path, tag) and (path, word)."""
+    return [(path, w) for path, token, is_text, *_ in events for w in (token.split() if is_text else (token,))]
+
+
+def _common(orders: list[list[Token]]) -> list[Token]:
+    """Tokens of the first order that all others have in the same order (a longest run of each with those before it)."""
+    held = orders[0]
+    for order in orders[1:]:
+        if order == held:
+            continue
+        place = {t: i for i, t in enumerate(order)}
+        tails, at, before = [], [], {}
+        for t in (t for t in held if t in place):
+            k = bisect_left(tails, place[t])
+            before[t] = at[k - 1] if k else None
+            tails[k : k + 1], at[k : k + 1] = [place[t]], [t]
+        held, t = [], at[-1] if at else None
+        while t is not None:
+            held.append(t)
+            t = before[t]
+        held.reverse()
+    return held
+
+
+class Template:
+    """The template of a group of pages: own: its words, with how often a page has them at most."""
+
+    def __init__(self, streams: list[list[Token]]):
+        self.own: dict[Token, int] = {}
+        #: What comes before and after a token in all places (None where that differs).
+        self.before: dict[Token, Token | None] = {}
+        self.after: dict[Token, Token | None] = {}
+        if len(streams) < SUPPORT:
+            return
+        vectors: dict[Token, list[int]] = defaultdict(lambda: [0] * len(streams))
+        for i, tokens in enumerate(streams):
+            for token, n in Counter(tokens).items():
+                vectors[token][i] = n
+        least = max(SUPPORT, SHARE * len(streams))
+        often = {token for token, vector in vectors.items() if len(streams) - vector.count(0) >= least}
+        for tokens in streams:
+            for one, two in pairwise([None, *tokens, None]):
+                if one in often and self.after.setdefault(one, two) != two:
+                    self.after[one] = None
+                if two in often and self.before.setdefault(two, one) != one:
+                    self.before[two] = None
+        classes: dict[tuple[int, ...], set[Token]] = defaultdict(set)
+        for token in often:
+            classes[tuple(vectors[token])].add(token)
+        for vector, held in classes.items():
+            if len(held) >= LEAST_CLASS:
+                self._add(held, [(tokens, n) for tokens, n in zip(streams, vector, strict=True) if n])
+
+    def _add(self, held: set[Token], pages: list[tuple[list[Token], int]]) -> None:
+        orders = [[t for t in tokens if t in held] for tokens, _ in pages]
+        if all(n == 1 for _, n in pages):
+            order = _common(orders)
+        else:
+            order = orders[0][: len(held)]
+            if any(o != order * n for o, (_, n) in zip(orders, pages, strict=True)):
+                return
+        if len(order) < LEAST_CLASS:
+            return
+        held = set(order)
+        most = max(n for _, n in pages)
+        self.own.update((t, most) for t in order if not t[1].startswith(("<", "</")) and self._run(t) >= LEAST_CLASS)
+
+    def _run(self, token: Token) -> int:
+        """Tokens (as far as they count) that stand together with a word wherever it stands; a tag ends them."""
+        n = 1
+        for one, other in ((self.before, self.after), (self.after, self.before)):
+            t = token
+            while n < LEAST_CLASS and (u := one.get(t)) is not None:
+                n += 1
+                if u[1].startswith("<") or other.get(u) != t:
+                    break
+                t = u
+        return n
+
+    def slots(self, tokens: list[Token]) -> list[bool]:
+        """Which tokens of a page are not the template's (a word that always stands between two of its words is)."""
+        counts = Counter(t for t in tokens if t in self.own)
+        out = [not 0 < counts[t] <= self.own.get(t, 0) for t in tokens]
+        for i in range(1, len(tokens) - 1):
+            if out[i] and not out[i - 1] and not out[i + 1] and self.after.get(tokens[i - 1]) == tokens[i] == self.before.get(tokens[i + 1]):
+                out[i] = False
+        return out
+
+
+def main_text(events: Events, free: list[bool]) -> str:
+    """The chosen slots of a page, block by block; free: which of its tokens are in slots."""
+    parts, at, inside, outside = [], 0, 0, 0
+    for _, token, is_text, in_article, in_aside in events:
+        words = token.split() if is_text else [token]
+        kept = free[at : at + len(words)]
+        at += len(words)
+        if is_text and not in_aside:
+            inside += in_article * sum(kept)
+            outside += (not in_article) * sum(kept)
+        if is_text and not all(kept):
+            token = " " * token[:1].isspace() + " ".join(w for w, k in zip(words, kept, strict=True) if k) + " " * token[-1:].isspace()
+        parts.append((token, is_text, in_article, in_aside))
+    whole = outside > TEASER * inside
     blocks, block = [], []
-    for path, token, is_text, in_article, in_aside in [*events, ("", "<p>", False, False, False)]:
+    for token, is_text, in_article, in_aside in [*parts, ("<p>", False, False, False)]:
         if not is_text:
             if joined := " ".join(html.unescape("".join(block)).split()):
                 blocks.append(joined)
             block = []
-        elif in_aside or not (in_article or whole):
-            continue
-        elif in_article or not own:
+        elif not in_aside and (in_article or whole):
             block.append(token)
-        else:
-            block.append(" " * token[:1].isspace() + " ".join(w for w in token.split() if (path, w) not in own) + " " * token[-1:].isspace())
     return "\n\n".join(blocks)
 
 
 def _extract(table: pa.Table) -> pa.Table:
     pages = [parse(x or "") for x in table.column("html").to_pylist()]
-    own = template(pages)
-    texts = [main_text(p, own) for p in pages]
+    streams = [stream(p) for p in pages]
+    found = Template(streams)
+    texts = [main_text(p, found.slots(s)) for p, s in zip(pages, streams, strict=True)]
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 

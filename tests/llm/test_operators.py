@@ -268,6 +268,18 @@ def test_html_extract(spark):
     assert html_extract(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_holds_in_articles_and_teasers_do_not_hide_the_rest(spark):
+    from quillfact.llm.html_extract import html_extract
+
+    rnd = random.Random(3)
+    said = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(8)]
+    framed = "<html><body><article><h1>{0}</h1><p>{1}</p><p>Read more stories by this author</p></article></body></html>"
+    teaser = "<html><body><div><p>{0}</p><p>{1}</p></div><article><p>next up</p></article></body></html>"
+    rows = [(i, "http://framed/p", framed.format(f"t{i}", x)) for i, x in enumerate(said)] + [(100 + i, f"http://teaser{i}/p", teaser.format(x, x[::-1])) for i, x in enumerate(said)]
+    got = {r.page_id: r.text for r in html_extract(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"t{i}\n\n{x}" for i, x in enumerate(said)} | {100 + i: f"{x}\n\n{x[::-1]}\n\nnext up" for i, x in enumerate(said)}
+
+
 def test_html_of_the_fixture(spark, sf_dir):
     from quillfact.llm.html_extract import html_extract
     import html as h
