@@ -2,7 +2,9 @@
 
 Pages of a host are grouped (large hosts in salted groups of about GROUP pages). In a group, every token (a tag or a word,
 together with the path of containers around it) has an occurrence vector: how often each page has it. Tokens with equal
-vectors form an equivalence class; of a class those count that come in one order in every page that has them. Words of a
+vectors form an equivalence class; of a class those count that come in one order in every page that has them, if something
+between them differs from page to page. Pages with equal candidate text are copies and count once, so that a text is not
+taken for template because it is repeated. Words of a
 class that stand in a run of LEAST_CLASS fixed tokens wherever they stand are the template's own, in articles too; what
 is left are slots. Names of tags and classes choose among the slots: none in containers for menus, headers, footers, side
 bars, notices, adverts, forms and comments; those inside article or main elements, unless the others hold more than
@@ -141,6 +143,20 @@ def _common(orders: list[list[Token]]) -> list[Token]:
     return held
 
 
+def candidate(events: Events) -> tuple[str, ...]:
+    """The words of a page by which it is a copy of another: of its article elements, else outside of side containers;
+    or only its longest block of text, if that has half of them."""
+    inside = any(in_article and is_text and not in_aside and not token.isspace() for _, token, is_text, in_article, in_aside in events)
+    blocks: list[list[str]] = [[]]
+    for _, token, is_text, in_article, in_aside in events:
+        if not is_text:
+            blocks.append([])
+        elif not in_aside and (in_article or not inside):
+            blocks[-1] += token.split()
+    longest = max(blocks, key=len)
+    return tuple(longest) if 2 * len(longest) >= sum(map(len, blocks)) else tuple(w for b in blocks for w in b)
+
+
 class Template:
     """The template of a group of pages: own: its words, with how often a page has them at most."""
 
@@ -181,6 +197,12 @@ class Template:
         if len(order) < LEAST_CLASS:
             return
         held = set(order)
+        spans = []
+        for tokens, _ in pages:
+            places = [i for i, t in enumerate(tokens) if t in held]
+            spans.append(tokens[places[0] : places[-1] + 1])
+        if all(x == spans[0] for x in spans):  # nothing is filled in: a passage that pages share, not their template
+            return
         most = max(n for _, n in pages)
         self.own.update((t, most) for t in order if not t[1].startswith(("<", "</")) and self._run(t) >= LEAST_CLASS)
 
@@ -234,7 +256,7 @@ def main_text(events: Events, free: list[bool]) -> str:
 def _extract(table: pa.Table) -> pa.Table:
     pages = [parse(x or "") for x in table.column("html").to_pylist()]
     streams = [stream(p) for p in pages]
-    found = Template(streams)
+    found = Template(list({candidate(p): s for p, s in zip(reversed(pages), reversed(streams), strict=True)}.values()))
     texts = [main_text(p, found.slots(s)) for p, s in zip(pages, streams, strict=True)]
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 

@@ -280,6 +280,22 @@ def test_html_template_holds_in_articles_and_teasers_do_not_hide_the_rest(spark)
     assert got == {i: f"t{i}\n\n{x}" for i, x in enumerate(said)} | {100 + i: f"{x}\n\n{x[::-1]}\n\nnext up" for i, x in enumerate(said)}
 
 
+def test_html_copies_are_not_template(spark):
+    from quillfact.llm.html_extract import html_extract
+
+    rnd = random.Random(4)
+    same, long = "alpha beta gamma delta", " ".join(f"w{i}" for i in range(40))
+    bare, plain, article = "<html><body><div><p>{1}</p></div></body></html>", "<html><body><div><p>title {0}</p></div><div><p>{1}</p></div></body></html>", "<html><body><nav><p>go {0}</p></nav><main><p>{1}</p><p>{1}</p></main></body></html>"
+    rows = [(i, f"http://h{k}/p", page.format(f"n{i}" if k else "", text)) for k, page, text in ((0, bare, same), (1, plain, long), (2, article, same)) for i in range(10 * k, 10 * k + 3)]
+    # a passage that most pages share, with texts of their own around it; rows that repeat a page
+    own = [" ".join(f"o{rnd.randrange(10**6)}" for _ in range(50)) for _ in range(5)]
+    rows += [(30 + i, "http://h3/p", f"<div><p>{x}</p></div><section><p>{same}</p></section>" if i < 4 else f"<div><p>{x}</p></div>") for i, x in enumerate(own)] * 2
+    got = {r.page_id: r.text for r in html_extract(table(spark, rows, "page_id long, url string, html string")).collect()}
+    want = dict.fromkeys(range(3), same) | {10 + i: f"title n{10 + i}\n\n{long}" for i in range(3)} | {20 + i: f"{same}\n\n{same}" for i in range(3)}
+    assert {k: v for k, v in got.items() if k < 30} == want
+    assert got[34] == own[4] and all(got[30 + i] == f"{x}\n\n{same}" for i, x in enumerate(own[:4]))
+
+
 def test_html_of_the_fixture(spark, sf_dir):
     from quillfact.llm.html_extract import html_extract
     import html as h
