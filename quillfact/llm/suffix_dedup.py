@@ -9,9 +9,11 @@
    suffix samples at the run ends are kept. The match length with the lexicographic neighbour is computed at run heads
    only and streamed over the text (inside a run it falls by one from byte to byte): strings with matching statistics
    of at least 100 form classes, of which all but the earliest are marked.
-4. The marked stretches of a document are merged and cut out.
+4. Contexts of an anchor that has more than HOT_BYTES of them do not meet in one index: each of their strings goes to
+   the bucket of its own hash, once a chunk of a task, and all but the earliest place of a string are marked.
+5. The marked stretches of a document are merged and cut out.
 
-Hashes are 64 bits (anchors and contexts together 128); index matches compare bytes.
+Hashes are 64 bits (anchors together with contexts or strings 128); index matches compare bytes.
 
 Defined results: a null text is empty; matches never cross documents; a null doc_id comes before all others; rows that
 repeat a doc_id are one document (an equal place in them is no earlier occurrence); an empty table gives no rows.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfact.llm import bytetext as B
-from quillfact.llm.common import BROADCAST_ROWS, arrow_batches, settle
+from quillfact.llm.common import BROADCAST_ROWS, arrow_batches, settle, sized
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -37,6 +39,10 @@ BLOCK, PLACE_BITS = 1 << 16, np.uint64(20)
 RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1"), ("before", "<u4"), ("after", "<u4")])
 #: Bytes of contexts in an index, on average.
 INDEX_BYTES = 250_000
+#: Bytes of an anchor's contexts beyond which its strings are dealt by their own hashes instead of to one index.
+HOT_BYTES = 1_000_000
+#: A string of a hot anchor: its two hashes and its place.
+STRING = np.dtype([("anchor", "<u8"), ("string", "<u8"), ("doc", "<i8"), ("at", "<i4")])
 
 
 def _gram_sums(values: np.ndarray, size: int) -> np.ndarray:
@@ -179,6 +185,8 @@ def _contexts(buckets: int):
             out: list[list] = [[], [], [], []]
             for doc, body, stretches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for x in stretches:
+                    if x["hot"]:
+                        continue
                     out[0].append((x["anchor"] & 0xFFFFFFFFFF) % buckets)
                     out[1].append(doc)
                     out[2].append(x["lo"])
@@ -188,6 +196,76 @@ def _contexts(buckets: int):
     return run
 
 
+def _first_strings(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest place of every string, and the other places."""
+    records = records[np.lexsort((records["at"], records["doc"], records["string"], records["anchor"]))]
+    new = np.ones(len(records), bool)
+    new[1:] = (records["anchor"][1:] != records["anchor"][:-1]) | (records["string"][1:] != records["string"][:-1])
+    first = records[new]
+    of = first[np.cumsum(new) - 1]
+    return first, records[(records["doc"] != of["doc"]) | (records["at"] != of["at"])]
+
+
+def _string_spans(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the bytes in strings; neighbouring starts make one stretch."""
+    records = records[np.lexsort((records["at"], records["doc"]))]
+    doc, at = records["doc"], records["at"]
+    new = np.ones(len(records), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 1)
+    last = np.append(new[1:], True)[: len(new)]
+    return doc[new], at[new], at[last] + np.int32(LENGTH)
+
+
+def _strings(buckets: int):
+    """Each string of the hot anchors' contexts, once a chunk, to the bucket of its hash; the others are covered."""
+
+    def chunk(held: list[tuple[int, bytes, list[dict]]]) -> pa.RecordBatch:
+        found = []
+        for doc, body, stretches in held:
+            run = B.running(np.frombuffer(body, np.uint8))
+            for x in stretches:
+                at = np.arange(x["lo"], x["hi"] - LENGTH + 1)
+                if not len(at):
+                    continue
+                records = np.empty(len(at), STRING)
+                records["anchor"], records["string"] = np.uint64(x["anchor"] & 0xFFFFFFFFFFFFFFFF), B.hashes(run, at, at + LENGTH)
+                records["doc"], records["at"] = doc, at
+                found.append(records)
+        first, covered = _first_strings(np.concatenate([*found, np.empty(0, STRING)]))
+        bucket = (first["string"] >> np.uint64(16)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        first, bucket = first[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        blobs = [x.tobytes() for x in np.split(first, edges[1:])] if len(edges) else []
+        doc, lo, hi = _string_spans(covered)
+        k, m = len(blobs), len(doc)
+        cols = [np.concatenate([bucket[edges], np.full(m, -1)]), blobs + [None] * m, *(np.concatenate([np.zeros(k, np.int64), v]) for v in (doc, lo, hi))]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], [x.split()[0] for x in SENT.split(", ")])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for doc, body, stretches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                some = [x for x in stretches if x["hot"]]
+                if not some:
+                    continue
+                held.append((doc, body, some))
+                size += sum(x["hi"] - x["lo"] for x in some)
+                if size >= HOT_BYTES:
+                    yield chunk(held)
+                    held, size = [], 0
+        if held:
+            yield chunk(held)
+
+    return run
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Covered stretches of one bucket of strings."""
+    doc, lo, hi = _string_spans(_first_strings(np.concatenate([np.frombuffer(x, STRING) for x in table.column("records").to_pylist()]))[1])
+    return pa.table({"doc": doc, "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
+
+
 class RunLengthIndex:
     """Run-length Burrows-Wheeler transform of texts, each ended by an end mark of its own, with samples at run ends.
 
@@ -337,11 +415,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     met = settle(sent.where("records is not null").select("bucket", "records").groupBy("bucket").applyInArrow(_meet, MET))
     spans = sent.where("records is null").select("doc", "lo", "hi").unionByName(met.where("not open").select("doc", "lo", "hi"))
     open_ = met.where("open")
-    total = open_.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] or 0
+    per_anchor = settle(open_.groupBy("anchor").agg(F.sum(F.col("hi") - F.col("lo")).alias("size")))
+    total, heat = per_anchor.agg(F.sum("size"), F.sum(F.when(F.col("size") > HOT_BYTES, F.col("size")))).first()
     if total:
-        per_doc = settle(open_.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("stretches")))
-        contexts = _joined_texts(source, per_doc, rest=False).mapInArrow(_contexts(-(-total // INDEX_BYTES)), "bucket int, doc long, lo int, body binary")
+        hot = sized(per_anchor.where(F.col("size") > HOT_BYTES).select("anchor", F.lit(True).alias("hot")))
+        marked = open_.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        per_doc = settle(marked.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "anchor", "hot")).alias("stretches")))
+        texts = _joined_texts(source, per_doc, rest=False)
+        contexts = texts.mapInArrow(_contexts(max(-(-(total - (heat or 0)) // INDEX_BYTES), 1)), "bucket int, doc long, lo int, body binary")
         spans = spans.unionByName(contexts.groupBy("bucket").applyInArrow(_index, "doc long, lo int, hi int"))
+        if heat:
+            dealt = settle(_joined_texts(source, per_doc.where("exists(stretches, x -> x.hot)"), rest=False).mapInArrow(_strings(max(-(-heat // INDEX_BYTES), buckets)), SENT))
+            spans = spans.unionByName(dealt.where("records is null").select("doc", "lo", "hi")).unionByName(dealt.where("records is not null").select("bucket", "records").groupBy("bucket").applyInArrow(_merge, "doc long, lo int, hi int"))
     per_doc = settle(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches")))
     return _joined_texts(source, per_doc, rest=True).mapInArrow(_cut, RESULT).withColumn("doc_id", F.nullif("doc_id", F.lit(LEAST)))
 

@@ -360,6 +360,35 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup(table(spark, [])).count() == 0
 
 
+def test_suffix_dedup_with_hot_anchors(spark, docs, monkeypatch):
+    from quillfact.llm import suffix_dedup as S
+
+    rnd = random.Random(10)
+    letters = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = letters(260)
+    rows = [(1000 + i, letters(rnd.randint(0, 90)) + passage[rnd.choice((0, 0, 20)) :] + letters(rnd.randint(0, 90))) for i in range(200)]
+    rows += [(d[0], d[1]) for d in {d[0]: d for d in docs}.values()]
+    seen, want = set(), {}
+    for doc, text in sorted(rows, key=lambda d: -1 if d[0] is None else d[0]):
+        body = (text or "").encode()
+        cut = bytearray(len(body))
+        for i in range(len(body) - 99):
+            if body[i : i + 100] in seen:
+                cut[i : i + 100] = b"\1" * 100
+            seen.add(body[i : i + 100])
+        want[doc] = bytes(b for b, c in zip(body, cut, strict=True) if not c)
+    most, indexed = {}, S._contexts
+    for limit in (S.HOT_BYTES, 2000, 0):
+        made = []
+        monkeypatch.setattr(S, "HOT_BYTES", limit)
+        monkeypatch.setattr(S, "_contexts", lambda n, made=made: made.append(n) or indexed(n))
+        got = {r.doc_id: bytes(r.kept) for r in S.suffix_dedup(table(spark, rows)).collect()}
+        assert got == want
+        most[limit] = made
+    # no contexts of the passage's edges are left for an index
+    assert S.HOT_BYTES == 0 and most[0] == [1]
+
+
 def test_run_length_index_streams_true_match_lengths():
     from quillfact.llm.suffix_dedup import RunLengthIndex
 
