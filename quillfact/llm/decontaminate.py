@@ -3,8 +3,8 @@
 Index: each chunk of training documents becomes a segment, that is for every term of the test set the sorted word
 positions at which it occurs (documents are set apart by a gap). Search: the windows of the test set are matched
 against each segment by intersecting offset-adjusted position lists, from the term that is rarest over the whole
-corpus; what is left are exact phrase matches. Proximity matches are items whose three rarest terms occur within a
-few words of each other. No posting is shuffled: segments stay where their documents were read, the test set
+corpus; what is left are exact phrase matches. Proximity matches are items of which the other two of the three rarest
+terms occur within NEAR words of a place of the rarest, in one document. No posting is shuffled: segments stay where their documents were read, the test set
 travels to them in blocks of bounded size.
 
 Defined results: a null text has no words; an item without words has no window; a test set of no items leaves all
@@ -26,7 +26,7 @@ WINDOW, NEAR, GAP = 10, 20, 64
 #: Items that are sent to the tasks at a time (about 5 MB); a larger test set is searched block by block.
 BLOCK_ITEMS = 20_000
 SEGMENT = "row_id long, doc_ids binary, null_ids binary, bases binary, n_words binary, counts binary, postings binary"
-HITS = "row_id long, doc_id long, n_words long, hits array<int>, items array<string>, n_near long"
+HITS = "row_id long, doc_id long, n_words long, hits array<int>, items array<string>, near array<string>"
 
 
 class Queries:
@@ -106,8 +106,8 @@ def _search(queries: Queries):
                         marks[at + len(window)] -= 1
                         for doc in np.unique(np.searchsorted(bases, at, side="right") - 1).tolist():
                             found.setdefault(doc, set()).update(queries.items[o] for o in owners)
-                near: dict[int, int] = {}
-                for some in queries.near:
+                near: dict[int, set[str]] = {}
+                for item, some in zip(queries.items, queries.near, strict=True):
                     if len(some) and counts[some].all():
                         at = lists(some[0])
                         for k in some[1:]:
@@ -116,13 +116,13 @@ def _search(queries: Queries):
                             gap = np.minimum(np.abs(places[np.minimum(right, len(places) - 1)] - at), np.abs(places[np.maximum(right - 1, 0)] - at))
                             at = at[gap <= NEAR]
                         for doc in np.unique(np.searchsorted(bases, at, side="right") - 1).tolist():
-                            near[doc] = near.get(doc, 0) + 1
+                            near.setdefault(doc, set()).add(item)
                 hit = np.flatnonzero(np.cumsum(marks) > 0)
                 owner = np.searchsorted(bases, hit, side="right") - 1
                 per = np.split(hit - bases[owner], np.searchsorted(owner, np.arange(1, len(ids))))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n), pa.int64()), pa.array(ids, mask=nulls), pa.array(n_words, pa.int64()), pa.array([p.tolist() for p in per], pa.list_(pa.int32())), pa.array([sorted(found.get(i, ())) for i in range(n)], pa.list_(pa.string())), pa.array([near.get(i, 0) for i in range(n)], pa.int64())],
+                    [pa.array(row + np.arange(n), pa.int64()), pa.array(ids, mask=nulls), pa.array(n_words, pa.int64()), pa.array([p.tolist() for p in per], pa.list_(pa.int32())), pa.array([sorted(found.get(i, ())) for i in range(n)], pa.list_(pa.string())), pa.array([sorted(near.get(i, ())) for i in range(n)], pa.list_(pa.string()))],
                     [x.split()[0] for x in HITS.split(", ")],
                 )
 
@@ -139,7 +139,7 @@ def _blocks(benchmark: DataFrame):
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_words, hits (word numbers), items (ids with an exact match), n_near, for each row of docs."""
+    """row_id, doc_id, n_words, hits (word numbers), items (ids with an exact match), near (ids with a proximity match), for each row of docs."""
     arrow_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     parts = []
@@ -161,12 +161,12 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     once = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return whole.groupBy("row_id", "doc_id", "n_words").agg(once("hits").alias("hits"), once("items").alias("items"), F.sum("n_near").alias("n_near"))
+    return whole.groupBy("row_id", "doc_id", "n_words").agg(once("hits").alias("hits"), once("items").alias("items"), once("near").alias("near"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_items."""
     return phrase_matches(docs, benchmark).select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "n_near",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near_items"),
     )

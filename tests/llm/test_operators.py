@@ -340,6 +340,51 @@ def test_decontaminate(spark, docs):
     assert not any(r.contaminated for r in D.contamination(table(spark, docs), bench.limit(0)).collect())
 
 
+def test_decontaminate_returns_proximity_matches(spark, docs):
+    from quillfact.llm import bytetext as B
+    from quillfact.llm import decontaminate as D
+
+    rnd = random.Random(12)
+    lines = [d[1] for d in docs if len((d[1] or "").split()) > 40]
+    items = [(i, " ".join(rnd.sample(rnd.choice(lines).split()[:40], 1 + i % 6))) for i in range(40)]
+    items += [(3, items[3][1]), (50, "nothingofthis isinany"), (51, None), (None, lines[0])]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    counts = defaultdict(int)
+    for d in docs:
+        for w in words(d[1]):
+            counts[w] += 1
+    number = {w: int(B.hashes(B.running(np.frombuffer(w.encode(), np.uint8)), np.array([0]), np.array([len(w.encode())]))[0]) for _, t in items for w in words(t)}
+
+    def brute(text):
+        at, found = defaultdict(list), set()
+        for i, w in enumerate(words(text)):
+            at[w].append(i)
+        for item, t in items:
+            rare = sorted(set(words(t)), key=lambda w: (counts[w], number[w]))[:3]
+            if item is not None and rare and any(all(any(abs(q - p) <= D.NEAR for q in at[w]) for w in rare) for p in at[rare[0]]):
+                found.add(str(item))
+        return len(found), ",".join(sorted(found))
+
+    bench = table(spark, items, "item_id long, text string, row_id long")
+    want = sorted(((d[0] or -1), *brute(d[1])) for d in docs)
+    for most in (D.BLOCK_ITEMS, 7):
+        kept, D.BLOCK_ITEMS = D.BLOCK_ITEMS, most
+        try:
+            got = D.contamination(table(spark, docs).coalesce(2), bench).collect()
+        finally:
+            D.BLOCK_ITEMS = kept
+        assert sorted(((r.doc_id or -1), r.n_near, r.near_items) for r in got) == want
+    assert any(x[1] for x in want) and not all(x[1] == len(items) for x in want)
+
+
+def test_proximity_is_registered(spark, sf_dir):
+    from quillfact.llm import queries as Q
+
+    near, exact = Q.queries()["op9_proximity"](spark, sf_dir), Q.queries()["op9_decontaminate"](spark, sf_dir)
+    assert near.columns == [*exact.columns, "n_near", "near_items"]
+    assert all(r.n_near == len([x for x in r.near_items.split(",") if x]) for r in near.collect())
+
+
 def test_suffix_dedup(spark, docs):
     from quillfact.llm.suffix_dedup import suffix_dedup
 
