@@ -23,10 +23,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
-#: name: (candidates, alphabet, window, least bits); a candidate holds a digit and fills at least a window.
+#: name: (candidates, alphabet, window, least bits); a candidate holds a digit (base64: and letters of both cases) anywhere and fills at least a window.
 CLASSES = {
-    "hex": (r"(?<![0-9A-Za-z+/_=-])(?=[A-Fa-f]{0,64}[0-9])[0-9A-Fa-f]{16,}(?![0-9A-Za-z+/_=-])", "0123456789abcdefABCDEF", 16, 3.0),
-    "base64": (r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9A-Z+/_=-]{0,64}[a-z])(?=[0-9a-z+/_=-]{0,64}[A-Z])[0-9A-Za-z+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8),
+    "hex": (r"(?<![0-9A-Za-z+/_=-])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}(?![0-9A-Za-z+/_=-])", "0123456789abcdefABCDEF", 16, 3.0),
+    "base64": (r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9A-Z+/_=-]*+[a-z])(?=[0-9a-z+/_=-]*+[A-Z])[0-9A-Za-z+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8),
 }
 # Fixed strings of which a candidate is no secret.
 ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|0123456789abcdef|abcdefghijklmnop|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"

@@ -133,6 +133,16 @@ def test_secret_scan(spark):
     assert secret_scan(table(spark, [])).count() == 0
 
 
+def test_secret_scan_finds_keys_after_long_prefixes(spark):
+    from quillfact.llm.secret_scan import secret_scan
+
+    key = "aB3xK9mQ2vR7tL5wZ8cN4pY6"
+    texts = ["/usr/share/some/lower/case/path/segments" * 3 + "/" + key, "-" * 90 + key, "=" * 65 + key, "fedcba" * 12 + "0f1e2d3c4b5a69788796", "x" * 200, "-" * 5000]
+    got = {r.doc_id: (r.n_entropy, r.spans) for r in secret_scan(table(spark, [(i, "see " + t + " end") for i, t in enumerate(texts)])).collect()}
+    assert all(got[i][1].endswith(f"entropy:4:{4 + len(t)}") for i, t in enumerate(texts[:3]))
+    assert "hex:4:" in got[3][1] and got[4] == got[5] == (0, "")
+
+
 def test_quality(spark):
     from quillfact.llm.quality import quality_scores
 
