@@ -10,9 +10,12 @@ Sets are the distinct 5-word shingles of a document (64-bit hashes); two documen
 3. Prefix postings meet in buckets; of shingles that two documents share the postings stay. Frequent shingles are salted
    over the buckets, for they need no meeting.
 4. Each shingle's smallest document is linked to the others first (those that lengths and positions allow), the pairs
-   are verified, and components found; then pairs of documents of different components that share l prefix shingles are
-   verified too. Links inside a component would add nothing to it, so large groups of near copies are never expanded
-   into all pairs, and no link between components is lost.
+   are verified, and components found. Links inside a component would add nothing to it: of a shingle's documents the
+   largest component is its host, and only the others (guests) meet all documents of other components, so large groups of
+   near copies are never expanded into all pairs, and no link between components is lost.
+5. Guests and the documents that they meet carry parity bitmaps of their sets, at most BRIEF bits each. A bitmap bounds
+   the difference of two sets from below, so a pair that cannot be similar leaves no row behind. Pairs that share l prefix
+   shingles are verified: by whole bitmaps, then by whole sets.
 
 Equal sets are one class from the start, represented by the smallest doc_id.
 
@@ -39,6 +42,10 @@ ORDERED = 1 << 20
 CLASS_BITS = np.uint64(6)
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4"), ("need", "<i4")])
 FINISH = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of postings that meet in one bucket, on average.
+BUCKET_BYTES = 2_000_000
+#: Bits of a document's bitmap in the join of guests (a power of two); whole bitmaps follow for the pairs that are left.
+BRIEF = 1024
 
 
 def shingles(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +185,24 @@ def fits(a: str, b: str, need: Column):
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * reach >= 3 * (n1 + n2))
 
 
+BITS = "doc long, n int, bits array<long>, brief array<long>"
+
+
 def _bits(batches):
     """Per document the size of its set and a bitmap: which of some buckets (a power of two, at least the size) hold an odd
-    number of its shingles."""
+    number of its shingles; brief is the same, folded to BRIEF bits at most."""
     for ids, bodies in B.chunks(batches, 2):
         hashed, begins = shingles(bodies)
-        sizes, maps = [], []
+        sizes, maps, briefs = [], [], []
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             one = np.unique(hashed[a:b])
             width = max(64, 1 << max(len(one) - 1, 0).bit_length())
             odd = np.bincount((one & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
             sizes.append(len(one))
-            maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], ["doc", "n", "bits"])
+            for out, some in ((maps, odd), (briefs, np.bitwise_xor.reduce(odd.reshape(-1, min(width, BRIEF))))):
+                out.append(np.packbits(some.astype(np.uint8), bitorder="little").view(np.int64))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, kind), pa.array(briefs, kind)], ["doc", "n", "bits", "brief"])
 
 
 def _differ_at_most(one: str, two: str) -> Column:
@@ -202,18 +214,21 @@ def _differ_at_most(one: str, two: str) -> Column:
     return F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda acc, w: acc + F.bit_count(w))
 
 
-def _of_documents(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = settle(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
-    return source.join(sized(ids), "doc", "left_semi").select("doc", "body")
+def _of_documents(source: DataFrame, ids: DataFrame) -> DataFrame:
+    return source.join(sized(settle(ids.distinct())), "doc", "left_semi").select("doc", "body")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).union(pairs.select("b"))
 
 
-def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(source: DataFrame, pairs: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of documents whose sets are similar enough. Bitmaps of an eighth of a byte a shingle rule out
     almost all others (they bound the difference of two sets, so no link is lost); whole sets are compared of the rest."""
-    maps = settle(_of_documents(source, pairs).mapInArrow(_bits, "doc long, n int, bits array<long>"))
+    maps = maps or settle(_of_documents(source, _ends(pairs)).mapInArrow(_bits, BITS))
     one, two = (maps.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab")
     close = settle(pairs.join(one, "a").join(two, "b").where(7 * _differ_at_most("ma", "mb") <= F.col("na") + F.col("nb")).select("a", "b").distinct())
-    sets = settle(_of_documents(source, close).mapInArrow(_token_lists, "doc long, tokens array<long>"))
+    sets = settle(_of_documents(source, _ends(close)).mapInArrow(_token_lists, "doc long, tokens array<long>"))
     one, two = (sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     common = F.size(F.array_intersect("ta", "tb"))
     return close.join(one, "a").join(two, "b").where(7 * common >= 3 * (F.size("ta") + F.size("tb"))).select("a", "b").distinct()
@@ -233,17 +248,39 @@ def _order(spark: SparkSession, sets: DataFrame):
     return spark.sparkContext.broadcast((top["token"].to_numpy(np.int64).view(np.uint64), top["class"].to_numpy(np.uint8)))
 
 
+def _between(posts: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of different groups that share enough of their prefixes; posts: token, doc, n, at, need,
+    group of the shingles that more than one group has; maps: the documents' bitmaps.
+
+    All pairs of different groups hold a guest, that is a document outside the largest group of the shingle. Guests meet
+    the others, so what is compared grows with guests times documents, not with the square of the largest group; only
+    pairs that lengths, positions and bitmaps leave open make rows."""
+    sizes = posts.groupBy("token", "group").agg(F.count("*").alias("size"))
+    hosts = settle(sizes.groupBy("token").agg(F.max_by("group", F.struct("size", "group")).alias("host")))
+    marked = posts.join(hosts, "token").select("token", "doc", "n", "at", "need", "group", (F.col("group") != F.col("host")).alias("guest"))
+    marked = settle(marked.join(maps.select("doc", "brief"), "doc"))
+    need = F.least("p.need", "q.need")
+    met = marked.where("guest").alias("p").join(marked.alias("q"), "token")
+    met = met.where("p.`group` <> q.`group` and (not q.guest or p.doc < q.doc)").where(fits("p", "q", need))
+    base = lambda t: F.col(f"{t}.n") - F.floor((3 * F.col(f"{t}.n") + 3) / 4)
+    met = met.where((F.col("p.at") < base("p") + need) & (F.col("q.at") < base("q") + need))
+    met = met.where(7 * _differ_at_most("p.brief", "q.brief") <= F.col("p.n") + F.col("q.n"))
+    pairs = met.groupBy(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).agg(F.count("*").alias("matches"), F.min(need).alias("need"))
+    return pairs.where("matches >= need").select("a", "b")
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     arrow_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     sets = settle(source.mapInArrow(_sets, SETS))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.where("tokens is null").select("doc_id", "n", "s1", "s2")
+    sent = rows.agg(F.sum(F.col("n") / 4 + MOST_MATCHES)).first()[0] or 0
+    buckets = max(int(sent * POSTING.itemsize / BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = source.mapInArrow(_postings(_order(spark, sets), buckets), SENT)
     posts = settle(sent.groupBy("bucket").applyInArrow(_meet, MET))
 
-    rows = sets.where("tokens is null").select("doc_id", "n", "s1", "s2")
     classes = settle(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     # documents under which a set was sent, and the representative of the set
     known = settle(posts.select(F.col("doc").alias("doc_id")).distinct().join(rows, "doc_id").join(classes, ["s1", "s2", "n"]).select(F.col("doc_id").alias("doc"), "rep").distinct())
@@ -260,13 +297,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     wide = settle(wide)
     mixed = wide.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
     open_ = settle(wide.join(mixed, "token", "left_semi"))
-    need = F.least("p.need", "q.need")
-    met = open_.alias("p").join(open_.alias("q"), "token").where("p.doc < q.doc and p.`group` <> q.`group`").where(fits("p", "q", need))
-    base = lambda t: F.col(f"{t}.n") - F.floor((3 * F.col(f"{t}.n") + 3) / 4)
-    met = met.where((F.col("p.at") < base("p") + need) & (F.col("q.at") < base("q") + need))
-    pairs = met.groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).agg(F.count("*").alias("matches"), F.min(need).alias("need")).where("matches >= need").select("a", "b")
-    pairs = settle(pairs.join(stars, ["a", "b"], "left_anti"))
-    groups = settle(components(links.unionByName(verified(source, pairs))))
+    maps = settle(_of_documents(source, open_.select("doc")).mapInArrow(_bits, BITS))
+    pairs = settle(_between(open_, maps).join(stars, ["a", "b"], "left_anti"))
+    groups = settle(components(links.unionByName(verified(source, pairs, maps))))
 
     labelled = settle(classes.join(groups, classes["rep"] == groups["id"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
     return rows.join(labelled, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -223,28 +223,34 @@ def test_packing_prefers_neighbours():
     assert all(len(x) == 1 for x in found.values())
 
 
-def test_ngram_components(spark, docs):
-    from quillfact.llm.ngram_join import ngram_components
-
+def shingle_components(rows):
+    """Sizes of the shingle sets and smallest reachable ids, by comparing all pairs."""
     sets = {}
-    for doc, text, *_ in docs:
+    for doc, text, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
         sets[doc] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
     ids = [d for d in sets if d is not None]
     near = {d: {e for e in ids if sets[d] and 100 * len(sets[d] & sets[e]) >= 75 * len(sets[d] | sets[e])} for d in ids}
-    want = {}
+    smallest = {}
     for d in ids:
         seen, todo = {d}, [d]
         while todo:
             for e in near[todo.pop()] - seen:
                 seen.add(e)
                 todo.append(e)
-        want[d] = min(seen)
+        smallest[d] = min(seen)
+    return {d: len(x) for d, x in sets.items()}, smallest
+
+
+def test_ngram_components(spark, docs):
+    from quillfact.llm.ngram_join import ngram_components
+
+    sizes, want = shingle_components(docs)
     got = ngram_components(table(spark, docs)).collect()
     assert len(got) == len(docs)
     for r in got:
-        assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want.get(r.doc_id))
-    assert len(set(want.values())) < len(ids) - 20
+        assert (r.n_shingles, r.component_id) == (sizes[r.doc_id], want.get(r.doc_id))
+    assert len(set(want.values())) < len(want) - 20
     assert ngram_components(table(spark, [])).count() == 0
 
 
@@ -260,6 +266,30 @@ def test_ngram_components_in_a_chain_and_large_group(spark):
     assert all(got[i] == i for i, _ in lone)
 
 
+def test_ngram_components_of_near_copies_around_the_limit(spark):
+    """A text with none to many changed words, so that some copies link with the first, some only with each other, and
+    many with none; texts that share most of a passage; and a very long text with copies."""
+    from quillfact.llm.ngram_join import ngram_components
+
+    rnd = random.Random(11)
+    base, long = [f"b{i}" for i in range(110)], [f"l{i % 7000}x{i // 50}" for i in range(20_000)]
+
+    def changed(words, n):
+        out = list(words)
+        for k in rnd.sample(range(len(out)), n):
+            out[k] = f"z{rnd.randrange(40)}"
+        return " ".join(out)
+
+    rows = [(10 + i, changed(base, rnd.choice((0, 1, 2, 3, 3, 4, 4, 5)))) for i in range(400)]
+    rows += [(1000 + i, " ".join(base[20:80] + [f"p{i}q{k}" for k in range(rnd.randint(5, 20))])) for i in range(120)]
+    rows += [(2000 + i, changed(long, 100 * i)) for i in range(8)]
+    sizes, want = shingle_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(table(spark, rows)).collect()}
+    assert got == {d: (sizes[d], want[d]) for d in want}
+    groups = [want[d] for d in want if d < 1000]
+    assert max(map(groups.count, set(groups))) > 200 and len(set(groups)) > 30
+
+
 def test_html_extract(spark):
     from quillfact.llm.html_extract import html_extract
 
