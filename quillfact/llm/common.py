@@ -15,22 +15,40 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (local tests) a temporary one."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's part of the folder that all executors share (spark.checkpoint.dir). Where the session names none,
+    a local master gets a temporary folder; on a cluster that is an error, for executors would write to their own disks."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillfact-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+        context.setCheckpointDir(path)
+    return f"{path.rstrip('/')}/quillfact-{context.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, nothing is computed twice,
     and the table outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/quillfact-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables that settle has written; to be called when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, lengthened until no column (upper and lower case are equal) has it."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of text columns by rows, so that a Python worker holds a few MB at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
