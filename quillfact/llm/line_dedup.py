@@ -6,7 +6,9 @@ count. A line on at least min_sites sites is boilerplate: its first occurrence (
 all others are removed, so that no content leaves the corpus altogether.
 
 Defined results: a null text has no lines and stays null; an empty line is never boilerplate; a null source is one
-site of its own; lines are compared byte by byte; a repeated doc_id shares its removals; extra columns pass through.
+site of its own; lines are compared byte by byte; a repeated doc_id shares its removals, and of equal first places (rows
+that repeat) each stays; extra columns pass through, but for __n_lines and __n_removed, which are replaced; a very long
+text costs no more than in proportion to its lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfact.llm.common import settle, sized
+from quillfact.llm.common import free_name, settle, sized
 
 MIN_SITES = 10
 #: Sketches of 2**12 registers: estimates are off by 1.6 % (one sigma); the band of exact counts is far wider.
@@ -45,8 +47,12 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with text rid of boilerplate lines, and the columns __n_lines, __n_removed."""
     lines = settle(lines_of(docs))
     cut = lines.join(sized(boilerplate(lines, min_sites)), ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    cut = cut.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("pos").alias("__cut"))
+    docs = docs.drop("__n_lines", "__n_removed")
+    doc, places = (free_name(c, docs.columns) for c in ("__doc", "__cut"))
+    cut = cut.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("pos").alias(places))
     parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__cut"), i)), "\n"))
-    out = docs.join(cut, docs["doc_id"].cast("long") == F.col("__doc"), "left")
-    return out.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("__n_removed"))
+    # array_except hashes, so that many lines of which many go are no square
+    left = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.transform(F.col(places), lambda i: i + 1))
+    kept = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(parts, i)), "\n"))
+    out = docs.join(cut, docs["doc_id"].cast("long") == F.col(doc), "left")
+    return out.select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size(F.col(places)), F.lit(0)).cast("long").alias("__n_removed"))
