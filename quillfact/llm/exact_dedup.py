@@ -8,7 +8,7 @@ text which fills a third of the table sends one row a partition), then over shar
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays (a null doc_id
 is the smallest; of wholly repeated rows just one stays); an empty table gives an empty result; other columns are
-not read.
+not read; a very long text is hashed whole.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from quillfact.llm.common import arrow_batches, settle
 
 SLOTS, KICKS, LEAST = 4, 200, -(2**63)
-#: Keys after which a map-side index hands on its rows and starts afresh, to bound a task's memory.
-MAP_KEYS = 200_000
+#: Keys after which a map-side index hands on its rows and starts afresh, and keys of a shard on average; both bound a
+#: task's memory, to about 60 MB.
+MAP_KEYS, SHARD_KEYS = 200_000, 100_000
 
 
 class CuckooIndex:
@@ -139,7 +140,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     digests = settle(source.mapInArrow(_digests, "doc_id long, row_id long, digest binary, n_bytes long"))
     shape = "digest binary, n_bytes long, keep_id long, keep_row long, group_size long"
     local = digests.select("digest", "n_bytes", "doc_id", "row_id", F.lit(1).cast("long").alias("n")).mapInArrow(_live(MAP_KEYS), shape)
-    groups = local.repartition(F.col("digest")).mapInArrow(_live(None), shape)
+    # so many shards that one fits a task; their number is set, so they are not put together again
+    shards = max(-(-digests.count() // SHARD_KEYS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = local.repartition(shards, F.col("digest")).mapInArrow(_live(None), shape)
     groups = groups.where("group_size > 1").select("digest", F.nullif("keep_id", F.lit(LEAST)).alias("keep_id"), "keep_row", "group_size")
     return digests.join(groups, "digest", "left").select(
         "doc_id", "row_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row_id"))).alias("kept")
