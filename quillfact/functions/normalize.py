@@ -52,7 +52,8 @@ def currency(text: Column) -> Column:
 
 
 def normalized(value: Column, unit: Column, quote: Column, metric: Column) -> Column:
-    """struct<numeric_value, normalized_value, normalized_unit, value_type> of a stated value."""
+    """struct<numeric_value, normalized_value, normalized_unit, value_type, scale, currency, explanation> of a stated value: scale is
+    the factor of a magnitude that was found, currency that of money; the explanation's wording is our own."""
     value, unit, quote, metric = (strip(F.coalesce(c, F.lit(""))) for c in (value, unit, quote, metric))
     number = F.coalesce(parse_numeric(value), parse_numeric(unit))
     return let(_with_role, value=value, unit=unit, quote=quote, metric=metric, text=F.lower(F.concat_ws(" ", value, unit)), number=number)
@@ -75,14 +76,22 @@ def _with_unit(x: Column) -> Column:
 
 def _unit_ladder(x: Column) -> Column:
     role, magnitude, text, number, scaled, money, said = (x[c] for c in ("role", "magnitude", "text", "number", "scaled", "money", "said"))
-    out = lambda v, u, t: F.struct(number.alias("numeric_value"), v.cast("double").alias("normalized_value"), u.cast("string").alias("normalized_unit"), t.cast("string").alias("value_type"))
+    factor = F.coalesce(*[F.when(magnitude == m, F.lit(f)) for m, f in L.MAGNITUDES])
+
+    def out(v: Column, u: Column, t: Column, scaled_by: Column | None = None, coin: Column | None = None) -> Column:
+        v, u, t, blank = v.cast("double"), u.cast("string"), t.cast("string"), F.lit(None)
+        scaled_by, coin = (blank.cast("double") if scaled_by is None else scaled_by), (blank.cast("string") if coin is None else coin)
+        grown = F.coalesce(F.concat(F.lit(" (times "), short(scaled_by), F.lit(")")), F.lit(""))
+        said = F.when(number.isNull(), "no number").otherwise(F.concat(short(number), F.coalesce(F.concat(F.lit(" "), F.nullif(x["unit"], F.lit(""))), F.lit("")), F.lit(" is "), short(v), F.coalesce(F.concat(F.lit(" "), u), F.lit("")), grown))
+        return F.struct(number.alias("numeric_value"), v.alias("normalized_value"), u.alias("normalized_unit"), t.alias("value_type"), scaled_by.alias("scale"), coin.alias("currency"), said.alias("explanation"))
+
     none = F.lit(None)
     return (
         F.when(number.isNull(), out(none, none, F.lit("SEMANTIC")))
         .when((role == "PERCENT") | has_any(text, ["%", "percent"]), out(number, F.lit("%"), F.lit("PERCENT")))
         .when(((role == "SHARE_COUNT") | F.contains(text, F.lit("shares"))) & ~has_any(text, L.MONEY_SIGNS), out(number, F.lit("shares"), F.lit("SHARE_COUNT")))
         .when(has_any(said, ["parcel", "order", "shipment"]), out(F.when(magnitude.isNull(), scaled).otherwise(number), F.concat_ws("_", magnitude, F.lit("parcels")), F.lit("COUNT")))
-        .when(has_any(said, ["employee", "headcount", "worker"]), out(scaled, F.lit("employees"), F.lit("COUNT")))
-        .when(money.isNotNull(), out(scaled, money, F.lit("MONEY")))
-        .otherwise(out(scaled, F.nullif(x["unit"], F.lit("")), role))
+        .when(has_any(said, ["employee", "headcount", "worker"]), out(scaled, F.lit("employees"), F.lit("COUNT"), factor))
+        .when(money.isNotNull(), out(scaled, money, F.lit("MONEY"), factor, money))
+        .otherwise(out(scaled, F.nullif(x["unit"], F.lit("")), role, factor))
     )

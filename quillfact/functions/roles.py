@@ -57,6 +57,7 @@ def _role_ladder(x: Column) -> Column:
     whole = F.try_to_number(F.nullif(F.regexp_extract(num, r"^[-+]?(\d+)(?:\.\d+)?$", 1), empty), F.lit("999999999999999")).cast("long")
     bps = like(both, r"\b(?:bps?|basis\s+points?)\b")
     small = like(num, r"^\d{1,2}$")
+    # fixed patterns, in their fixed order
     ladder = [
         (section_prefix(bare, num), "PARAGRAPH_IDENTIFIER", 0.99),
         (like(num, r"^[-+]?\d{1,3}$") & like(bare, r"^[-+]?\d{1,3}$"), "CHART_AXIS_TICK", 0.99),
@@ -93,7 +94,7 @@ def _role_ladder(x: Column) -> Column:
 def canonical_metric(metric: Column) -> Column:
     """A metric's canonical name: a known alias, else its content words in the singular, joined."""
     raw = F.lower(strip(F.coalesce(metric, F.lit(""))))
-    known = F.create_map(*[F.lit(x) for name, aliases in L.CANONICAL.items() for alias in aliases for x in (alias, name)])
+    known = F.create_map(*[F.lit(x) for row in L.METRIC_ALIASES.items() for x in row])
     spelt = F.regexp_replace(F.regexp_replace(raw, r"\bpat\b", "profit_after_tax"), r"\bebita\b", "ebitda")
     words = F.filter(F.split(F.regexp_replace(spelt, r"[^a-z0-9\s_]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(L.STOPWORDS))
     singular = F.transform(words, lambda w: F.when(w.endswith("s") & (F.length(w) > 3) & ~like(w, L.KEPT_PLURALS), F.regexp_replace(w, "s$", "")).otherwise(w))

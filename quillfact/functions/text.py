@@ -55,8 +55,10 @@ def token_estimate(c: Column) -> Column:
 
 
 def short(x: Column) -> Column:
-    """A double with six significant digits and no trailing zeros."""
-    sci = F.format_string("%.5e", x)
+    """A double with six significant digits and no trailing zeros; a tie goes to the even digit."""
+    size = F.abs(x) * F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(x))))  # its six digits stand before the point
+    down = (size - F.floor(size) == 0.5) & (F.floor(size) % 2 == 0)
+    sci = F.format_string("%.5e", F.when(down, x * (1 - 1e-10)).otherwise(x))
     exponent = F.regexp_extract(sci, r"e([-+]\d+)$", 1).try_cast("int")
     plain = F.regexp_replace(sci.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
     scientific = F.regexp_replace(sci, r"\.?0+e", "e")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
 from quillfact.functions.roles import navigation, number_role, section_prefix
-from quillfact.functions.text import has_any, let, like, short, strip
+from quillfact.functions.text import either, fence, has_any, let, like, short, strip
 
 
 def header_label(text: Column) -> Column:
@@ -42,3 +42,30 @@ def _first_failure(x: Column) -> Column:
         (extraction < L.MIN_EXTRACTION, "LOW_CONFIDENCE"),
     ]
     return F.coalesce(*[F.when(test, name) for test, name in rules])
+
+
+#: What is said of a rejected candidate, in our own words: {0} is its value, {1} its metric, {2} its unit.
+REASONS = {
+    "NAVIGATION_REFERENCE": "The line points to a page.", "INSUFFICIENT_CONTEXT": "Too little is said around '{0}'.", "INVALID_NUMBER_ROLE": "The number '{0}' is no value of a metric.",
+    "SECTION_IDENTIFIER_AS_VALUE": "'{0}' numbers a section.", "DELTA_SPREAD_AS_LEVEL": "'{0}' is a change or a spread, not a level of {1}.", "MISSING_PERCENT_UNIT": "{1} is a rate, its unit '{2}' is none.",
+    "MISSING_CURRENCY_UNIT": "{1} is money, its unit '{2}' is not.", "LOW_BINDING_CONFIDENCE": "'{0}' is not bound firmly to {1}.", "TABLE_HEADER_WITHOUT_VALUE": "A header or unit label: {1} {0}.", "VALUE_WITHOUT_METRIC": "'{0}' has no metric.", "LOW_CONFIDENCE": "Extracted with little confidence.",
+}
+
+
+def reason(failure: Column, value: Column, metric: Column, unit: Column) -> Column:
+    """What is said of a candidate that breaks a rule."""
+    text = F.coalesce(*[F.when(failure == k, F.lit(v)) for k, v in REASONS.items()])
+    for i, c in enumerate((value, metric, unit)):
+        text = F.replace(text, F.lit(f"{{{i}}}"), F.coalesce(c, F.lit("")))
+    return text
+
+
+def checked(candidates: DataFrame, quote: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid facts, rejected candidates) of candidates with normalised values; a rejected one is kept whole, as JSON."""
+    c = fence(candidates, failure_type=failure_type(F.col("value"), F.col("metric"), F.col("unit"), quote, F.col("numeric_value"), F.col("value_binding_confidence"), F.col("extraction_confidence")))
+    whole = F.to_json(F.struct(*candidates.columns))
+    bad = c.where("failure_type is not null").select(
+        "document_id", "page_number", either(F.col("value"), quote).alias("candidate_text"), "failure_type", reason(F.col("failure_type"), F.col("value"), F.col("metric"), F.col("unit")).alias("rejection_reason"),
+        F.array(F.lower(F.replace(F.col("failure_type"), F.lit("_"), F.lit(" ")))).alias("warnings"), whole.alias("attempted_extraction"),
+    )
+    return c.where("failure_type is null").drop("failure_type").withColumn("validation_status", F.lit("valid")), bad

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quillfact.functions import lexicon as L
 from quillfact.functions.normalize import document_entity, document_period, normalized, parse_numeric, period, period_scope, source_organisation, vintage
 from quillfact.functions.roles import index_base, navigation, number_role, section_prefix
-from quillfact.functions.text import either, fence, final_confidence, grounding, has_any, like, short, strip
-from quillfact.functions.validate import failure_type, header_label
+from quillfact.functions.text import fence, final_confidence, grounding, has_any, like, short, strip
+from quillfact.functions.validate import checked, header_label, reason
 from quillfact.operators.chunks import nonblank_lines, route, sentences
 
 KEYS = ("document_id", "filename", "page_number", "chunk_index")
@@ -121,8 +121,12 @@ def series_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     info = F.struct(line.alias("line"), F.when(plain, n_numbers).otherwise(0).alias("n"), (F.size(metric_rows(low)) > 0).alias("named"), like(line, r"^\(?[-+]?\d+(?:,\d+)*(?:\.\d+)?%?\)?$").alias("lone"), header_label(line).alias("label"))
     rows = lines.withColumn("periods", periods).withColumn("info", info)
     rows = rows.withColumn("above", F.collect_list("info").over(order.rowsBetween(-3, -1))).withColumn("below", F.collect_list("info").over(order.rowsBetween(1, 3)))
-    rows = rows.withColumn("all_above", F.when(F.size("periods") > 1, F.collect_list("info").over(order.rowsBetween(-40, -1)))).where("size(periods) > 1")
+    # a stack of numbers is as long as its header has periods, with one or two label lines above: just these lines are fetched
     k = F.size("periods")
+    stacks = rows.where((F.size("periods") > 1) & (F.col("line_no") > 0)).select(*keys, F.col("line_no").alias("head"), F.explode(F.sequence(F.greatest(F.col("line_no") - k - 2, F.lit(0)), F.col("line_no") - 1)).alias("line_no"))
+    stacks = stacks.join(rows.select(*keys, "line_no", "info"), [*keys, "line_no"]).groupBy(*keys, "head").agg(F.array_sort(F.collect_list(F.struct("line_no", "info"))).alias("s"))
+    stacks = stacks.select(*keys, F.col("head").alias("line_no"), F.transform("s", lambda x: x["info"]).alias("all_above"))
+    rows = rows.where("size(periods) > 1").join(stacks, [*keys, "line_no"], "left")
     pick = lambda c, test: F.try_element_at(F.filter(c, test), F.lit(1))["line"]
     metric = F.coalesce(pick("above", lambda x: x["named"]), pick("below", lambda x: x["named"]))
     value = F.coalesce(pick("below", lambda x: x["n"] >= k), pick("above", lambda x: x["n"] >= k))
@@ -165,16 +169,38 @@ def extract_facts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = c.withColumn("period_scope", scope).withColumn("estimate_vintage", F.coalesce(vintage(F.col("raw_quote")), vintage(F.col("chunk_text")))).withColumn("index_base_year", year).withColumn("index_base_value", value)
     c = c.withColumn("source_organization", source_organisation(F.col("filename"))).withColumn("subject_entity", F.col("entity"))
     c = c.select("*", F.inline(F.array(normalized(F.col("value"), F.col("unit"), F.col("raw_quote"), F.col("metric")))))
-    c = fence(c, failure_type=failure_type(F.col("value"), F.col("metric"), F.col("unit"), F.col("raw_quote"), F.col("numeric_value"), F.col("value_binding_confidence"), F.col("extraction_confidence")))
-    c = c.withColumn("grounding_confidence", grounding(F.col("raw_quote"), F.col("chunk_text")))
+    c = c.withColumn("is_numeric", F.col("numeric_value").isNotNull()).withColumn("grounding_confidence", grounding(F.col("raw_quote"), F.col("chunk_text")))
     c = c.withColumn("final_confidence", final_confidence(F.col("extraction_confidence"), F.col("grounding_confidence"), F.col("value_binding_confidence"))).drop("chunk_text")
-    rejected = c.where("failure_type is not null").select("document_id", "page_number", either(F.col("value"), F.col("raw_quote")).alias("candidate_text"), "failure_type")
+    valid, rejected = checked(c, F.col("raw_quote"))
     lines = nonblank_lines(chunks, *KEYS).withColumn("failure_type", route(F.col("line"))).where("failure_type is not null")
-    rejected = rejected.unionByName(lines.select("document_id", "page_number", F.left("line", F.when(F.col("failure_type") == "STRUCTURAL_INDEX_METADATA", 100).otherwise(80)).alias("candidate_text"), "failure_type"))
-    return first_candidates(c.where("failure_type is null").drop("failure_type"), *KEYS), rejected
+    text = F.left("line", F.when(F.col("failure_type") == "STRUCTURAL_INDEX_METADATA", 100).otherwise(80))
+    why = F.coalesce(reason(F.col("failure_type"), text, F.lit(""), F.lit("")), F.lit("The base of an index."))
+    rejected = rejected.unionByName(lines.select("document_id", "page_number", text.alias("candidate_text"), "failure_type", why.alias("rejection_reason")), allowMissingColumns=True)
+    return first_candidates(valid, *KEYS), rejected
 
 
 def first_candidates(c: DataFrame, *keys: str) -> DataFrame:
     """Of candidates of a chunk with equal metric, value, period, scope and vintage the first (nulls are equal)."""
     same = Window.partitionBy(*keys, "metric", "normalized_value", "period", "period_scope", "estimate_vintage").orderBy("stage", "ordinal", "rank", "number")
     return c.withColumn("again", F.row_number().over(same)).where("again = 1").drop("again")
+
+
+GRAM = 3
+
+
+def grounded(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """texts with the quotes (quote, and other columns) that stand in them, and the grounding score.
+
+    A quote's words but the first and last are whole words of the text, so a quote of enough words is looked up by its longest
+    run of GRAM inner words: an equi-join on hashes, whose hits grounding decides. Only shorter quotes meet every text."""
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " ")), " ")
+    grams = lambda w, first, n: F.transform(F.sequence(F.lit(first), n), lambda i: F.array_join(F.slice(w, i, GRAM), " "))
+    q = quotes.withColumn("w", words(F.col("quote")))
+    inner = grams(F.col("w"), 2, F.size("w") - GRAM)
+    longest = F.array_max(F.transform(inner, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
+    long = q.where(F.size("w") >= GRAM + 2).withColumn("key", F.xxhash64(longest)).drop("w")
+    held = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= GRAM)
+    held = held.select(*texts.columns, F.explode(F.array_distinct(F.transform(grams(F.col("w"), 1, F.size("w") - GRAM + 1), lambda g: F.xxhash64(g)))).alias("key"))
+    hits = held.join(long, "key").drop("key")
+    short_ = texts.join(q.where(F.size("w") < GRAM + 2).drop("w"), F.contains(F.lower("text"), F.element_at(words(F.col("quote")), 1)))
+    return hits.unionByName(short_).withColumn("grounding", grounding(F.col("quote"), F.col("text"))).where("grounding > 0")

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
 from quillfact.functions.roles import canonical_metric, section_prefix
-from quillfact.functions.text import either, has_any
+from quillfact.functions.text import either, has_any, let
 
 #: What the pair join carries of a fact; quotes and texts are attached afterwards.
-JUDGED = ["pos", "fact_id", "document_id", "entity", "metric", "canonical_metric", "value", "unit", "period", "period_scope", "estimate_vintage", "normalized_value", "normalized_unit", "value_type"]
+JUDGED = [
+    "pos", "fact_id", "document_id", "entity", "subject_entity", "metric", "canonical_metric", "value", "unit", "period", "period_scope", "estimate_vintage", "normalized_value", "normalized_unit", "value_type",
+    "extraction_confidence", "grounding_confidence", "value_binding_confidence", "validation_status",
+]
+#: Columns that a table of facts may lack, with what stands for them.
+ABSENT = {"subject_entity": None, "extraction_confidence": 1.0, "grounding_confidence": 1.0, "value_binding_confidence": 1.0, "validation_status": "valid"}
 
 
 def eligible(f: str = "") -> Column:
@@ -27,37 +32,82 @@ def eligible(f: str = "") -> Column:
 
 
 def with_canonical(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("canonical_metric", canonical_metric(F.col("metric")))
+    """Facts with their canonical metric and all columns that pairing reads: absent ones are filled, and an empty vintage or
+    scope of the period is taken from the columns vintage and scope where there are such."""
+    out = facts.withColumn("canonical_metric", canonical_metric(F.col("metric")))
+    out = out.withColumns({c: F.lit(v).cast("string") if v is None else F.lit(v) for c, v in ABSENT.items() if c not in facts.columns})
+    return out.withColumns({c: either(F.col(c), F.col(other)) for c, other in (("estimate_vintage", "vintage"), ("period_scope", "scope")) if other in facts.columns})
 
 
-def _class(c: Column) -> Column:
+def value_class(c: Column) -> Column:
     """Counts and share counts compare with each other, other types with themselves."""
     return F.when(c == "SHARE_COUNT", "COUNT").otherwise(F.coalesce(c, F.lit("UNKNOWN")))
 
 
-def gates(a: str, b: str) -> Column:
-    """The gates that equal join keys do not already hold: entities (a missing one fits all) and units."""
-    name = lambda t: F.lower(F.trim(F.coalesce(F.col(f"{t}.entity"), F.lit(""))))
-    unit = lambda t: F.lower(F.trim(either(F.coalesce(F.col(f"{t}.normalized_unit"), F.lit("")), F.coalesce(F.col(f"{t}.unit"), F.lit("")))))
-    ea, eb, ua, ub = name(a), name(b), unit(a), unit(b)
-    entity = (ea == "") | (eb == "") | (ea == eb)
-    for stem in L.ENTITY_STEMS:
-        entity = entity | (F.contains(ea, F.lit(stem)) & F.contains(eb, F.lit(stem)))
-    plain = ["inr", "usd", "parcels", "employees", "shares"]
-    return entity & ~(((ua == "%") & ub.isin(plain)) | ((ub == "%") & ua.isin(plain)))
+def entity_key(f: str = "") -> Column:
+    """The name by which entities are compared: of the subject, else of the entity, or the stem that it holds; empty without one."""
+    c = lambda name: F.coalesce(F.col(f"{f}{name}"), F.lit(""))
+    name = F.lower(F.trim(either(c("subject_entity"), c("entity"))))
+    return F.coalesce(*[F.when(F.contains(name, F.lit(stem)), F.lit(stem)) for stem in L.ENTITY_STEMS], name)
+
+
+def unit_key(f: str = "") -> Column:
+    c = lambda name: F.coalesce(F.col(f"{f}{name}"), F.lit(""))
+    return F.lower(F.trim(either(c("normalized_unit"), c("unit"))))
+
+
+def units_fit(a: str, b: str) -> Column:
+    """A share of a hundred does not compare with amounts or counts."""
+    ua, ub, plain = unit_key(f"{a}."), unit_key(f"{b}."), ["inr", "usd", "parcels", "employees", "shares"]
+    return ~(((ua == "%") & ub.isin(plain)) | ((ub == "%") & ua.isin(plain)))
+
+
+def named_metric(f: str = "") -> Column:
+    m = F.lower(F.trim(F.coalesce(F.col(f"{f}metric"), F.lit(""))))
+    return (m != "") & ~m.isin([*L.GENERIC_METRICS, *L.UNIT_WORDS])
+
+
+def comparability(a: str = "a", b: str = "b") -> Column:
+    """struct<score, passed, failed> of any two facts (structs with the columns JUDGED and eligible): the gates in their order,
+    up to the first that fails. The texts of the lists are our own; score is 1 or 0."""
+    of = lambda f: lambda t: f(f"{t}.")
+    (ea, eb), (ua, ub) = (map(of(f), (a, b)) for f in (entity_key, unit_key))
+    ca, cb = (value_class(F.col(f"{t}.value_type")) for t in (a, b))
+    ma, mb = (F.col(f"{t}.canonical_metric") for t in (a, b))
+    both = lambda x, y: F.concat(x, F.lit(" and "), y)
+    gates = [  # what holds, what it is called, what is said of it
+        (F.coalesce(F.col(f"{a}.eligible") & F.col(f"{b}.eligible"), F.lit(False)), "eligible", F.lit("both facts")),
+        ((ea == "") | (eb == "") | (ea == eb), "entity", F.when((ea == "") | (eb == ""), F.lit("implicit")).when(ea == eb, ea).otherwise(both(ea, eb))),
+        (named_metric(f"{a}.") & named_metric(f"{b}."), "metric name", both(F.coalesce(F.col(f"{a}.metric"), F.lit("")), F.coalesce(F.col(f"{b}.metric"), F.lit("")))),
+        (ca == cb, "value type", F.when(ca == cb, ca).otherwise(both(ca, cb))),
+        (ma == mb, "canonical metric", F.when(ma == mb, ma).otherwise(both(ma, mb))),
+        (units_fit(a, b), "unit", F.when((ua == "") & (ub == ""), F.lit("unspecified")).when(ua == ub, ua).otherwise(both(ua, ub))),
+    ]
+    rows = F.array(*[F.struct(holds.alias("holds"), F.concat(F.lit(f"{name}: "), said).alias("said")) for holds, name, said in gates])
+    return let(_gate_lists, rows=rows)
+
+
+def _gate_lists(x: Column) -> Column:
+    first = F.coalesce(F.try_element_at(F.filter(F.transform(x["rows"], lambda r, i: F.when(~r["holds"], i)), lambda i: i.isNotNull()), F.lit(1)), F.lit(99))
+    said = lambda c: F.transform(c, lambda r: r["said"])
+    return F.struct(F.when(first == 99, 1.0).otherwise(0.0).alias("score"), said(F.slice(x["rows"], 1, F.least(first, F.size(x["rows"])))).alias("passed"), said(F.slice(x["rows"], F.least(first, F.size(x["rows"])) + 1, 1)).alias("failed"))
 
 
 def candidate_pairs(facts: DataFrame) -> DataFrame:
-    """a, b (structs), priority: an equi-join on canonical metric and value class, with the gates as its residue; a pair of
-    one document must differ in value. Facts of a frequent metric are split by AQE's skew join."""
-    m = F.lower(F.trim("metric"))
-    ready = with_canonical(facts).where(eligible()).where((m != "") & ~m.isin([*L.GENERIC_METRICS, *L.UNIT_WORDS]))
-    keyed = ready.select(*JUDGED, _class(F.col("value_type")).alias("value_class"))
+    """a, b (structs), priority: an equi-join on canonical metric, value class and entity; units and, within one document,
+    different values are its residue. Facts without an entity fit all entities and are joined on their own without that key:
+    a pair of those holds one of them, so it grows with their number. AQE splits the facts of a frequent key."""
+    ready = with_canonical(facts).where(eligible()).where(named_metric())
+    keyed = ready.select(*JUDGED, value_class(F.col("value_type")).alias("value_class"), entity_key().alias("entity_key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    on = (F.col("a.canonical_metric") == F.col("b.canonical_metric")) & (F.col("a.value_class") == F.col("b.value_class")) & (F.col("a.pos") < F.col("b.pos")) & gates("a", "b")
-    on = on & ((F.col("a.document_id") != F.col("b.document_id")) | (F.col("a.normalized_value") != F.col("b.normalized_value")))
-    pairs = a.join(b, on).select(F.struct(*[F.col(f"a.{c}").alias(c) for c in JUDGED]).alias("a"), F.struct(*[F.col(f"b.{c}").alias(c) for c in JUDGED]).alias("b"))
-    return pairs.withColumn("priority", priority())
+    same = (F.col("a.canonical_metric") == F.col("b.canonical_metric")) & (F.col("a.value_class") == F.col("b.value_class"))
+    fit = units_fit("a", "b") & ((F.col("a.document_id") != F.col("b.document_id")) | (F.col("a.normalized_value") != F.col("b.normalized_value")))
+    sides = [F.struct(*[F.col(f"{t}.{c}").alias(c) for c in JUDGED]).alias(t) for t in "ab"]
+    named = a.where("a.entity_key <> ''").join(b, same & (F.col("a.entity_key") == F.col("b.entity_key")) & (F.col("a.pos") < F.col("b.pos")) & fit).select(*sides)
+    free = a.where("a.entity_key = ''").join(b, same & F.expr("a.pos <> b.pos and (b.entity_key <> '' or a.pos < b.pos)") & fit).select(*sides)
+    turned = F.col("a.pos") > F.col("b.pos")
+    free = free.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return named.unionByName(free).withColumn("priority", priority())
 
 
 def _text(side: str, name: str, up: bool = False) -> Column:
@@ -75,21 +125,37 @@ def priority() -> Column:
 
 
 def ranked(pairs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pairs with their place by priority, ties by position; all of them, for every pair shares its metric exactly and the
-    limit holds for others only (of which the gates leave none)."""
+    """Pairs by priority, ties by position; limit is for a report. (Candidate pairs themselves have no limit: one for pairs
+    whose metrics are merely alike would never apply, for the gates leave none of those.)"""
     order = [F.desc("priority"), "a.pos", "b.pos"]
     top = pairs.orderBy(*order)
     return top.limit(limit) if limit else top
 
 
 def all_pairs(facts: DataFrame, limit: int = L.PREVIEW) -> DataFrame:
-    """The diagnostic listing: pairs across documents with their score, comparable or not, the first ones by position.
-    Quadratic by its definition; for small fact tables."""
-    f = with_canonical(facts).withColumn("eligible", eligible()).withColumn("value_class", _class(F.col("value_type"))).select("pos", "document_id", "entity", "unit", "normalized_unit", "canonical_metric", "value_class", "eligible")
-    a, b = f.alias("a"), f.alias("b")
+    """The diagnostic listing: the first pairs across documents by position, with score and gates, comparable or not.
+
+    The limit first pairs begin with the first facts: every one of these is followed by at least as many partners as facts
+    of other documents come after it, so facts are taken until that many pairs are sure, and only they meet the others."""
+    f = with_canonical(facts).withColumn("eligible", eligible()).select(*JUDGED, "eligible")
+    firsts = [r["pos"] for r in f.select("pos").orderBy("pos").limit(limit).collect()]
+    heads, found = [], 0
+    for pos in firsts:
+        heads.append(pos)
+        one = f.where(F.col("pos") == pos).select("document_id").first()[0]
+        found += f.where((F.col("pos") > pos) & (F.col("document_id") != F.lit(one))).limit(limit).count()
+        if found >= limit:
+            break
+    a, b = f.where(F.col("pos").isin(heads)).alias("a"), f.alias("b")
     pairs = a.join(b, (F.col("a.pos") < F.col("b.pos")) & (F.col("a.document_id") != F.col("b.document_id")))
-    score = F.when(F.col("a.eligible") & F.col("b.eligible") & gates("a", "b") & (F.col("a.value_class") == F.col("b.value_class")) & (F.col("a.canonical_metric") == F.col("b.canonical_metric")), 1.0).otherwise(0.0)
-    return pairs.select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), score.alias("score")).orderBy("pos_a", "pos_b").limit(limit)
+    pairs = pairs.select(*[F.struct(*[F.col(f"{t}.{c}").alias(c) for c in [*JUDGED, "eligible"]]).alias(t) for t in "ab"]).orderBy("a.pos", "b.pos").limit(limit)
+    return pairs.select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), comparability().alias("g")).select("pos_a", "pos_b", "g.score", "g.passed", "g.failed")
+
+
+def pair_count(facts: DataFrame) -> DataFrame:
+    """One row: the number of pairs across documents, from the documents' sizes."""
+    sizes = facts.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return sizes.select(F.coalesce(((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long"), F.lit(0)).alias("pairs"))
 
 
 def first_pairs(pairs: DataFrame, by: str, k: int) -> DataFrame:

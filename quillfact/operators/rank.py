@@ -2,42 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
+from quillfact.functions.text import has_any
+
+
+def _temporal() -> Column:
+    return (F.col("taxonomy") == "TEMPORAL_COMPARISON") | (F.col("relationship") == "TEMPORAL_COMPARISON")
 
 
 def temporal_cap(edges: DataFrame, k: int = L.TEMPORAL_SHOWN) -> DataFrame:
     """All other edges, and the k temporal ones of highest confidence (ties by edge_id)."""
-    temporal = F.col("taxonomy") == "TEMPORAL_COMPARISON"
-    top = edges.where(temporal).orderBy(F.desc("confidence"), "edge_id").limit(k)
-    return edges.where(~temporal).unionByName(top)
+    top = edges.where(_temporal()).orderBy(F.desc("confidence"), "edge_id").limit(k)
+    return edges.where(~_temporal()).unionByName(top)
+
+
+def listing(edges: DataFrame, k: int = L.TEMPORAL_SHOWN) -> DataFrame:
+    """The edges that are shown, in order: of sufficient confidence, by edge_id; the k best temporal ones after the others."""
+    shown = temporal_cap(edges.where(F.col("confidence") >= L.MIN_CONFIDENCE), k)
+    return shown.orderBy(_temporal(), F.when(_temporal(), -F.col("confidence")), "edge_id")
 
 
 def _score(slot: Column) -> Column:
-    """Semantic quality of an edge with facts a and b, in tenths kept as whole numbers where it can be."""
-    set_ = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    """Semantic quality of an edge with facts a and b."""
+    c = lambda side, name: F.coalesce(F.trim(F.col(f"{side}.{name}").cast("string")), F.lit(""))
     metric = F.col("a.canonical_metric")
-    both = lambda x: set_(f"a.{x}") & set_(f"b.{x}")
-    points = F.when(both("entity"), 15).otherwise(0) + F.when(~metric.isin(L.INELIGIBLE_METRICS[:3]), 20).otherwise(0) + F.when(both("normalized_unit"), 15).otherwise(0) + F.when(both("period"), 15).otherwise(0)
-    golden = F.when(F.rlike(metric, F.lit("headline_cpi_inflation|real_gdp_growth|express_parcel_shipment_volume|female_workforce")), 25).otherwise(0)
-    vintages = both("estimate_vintage")
-    bonus = F.when((slot == "RECONCILED") & ((F.col("reconciliation") == "ESTIMATE_REVISION") | vintages), 50).when((slot == "RECONCILED") & F.col("reconciliation").isin("UNIT_CONVERSION", "ROUNDING"), 35)
-    bonus = bonus.when((slot == "TEMPORAL_COMPARISON") & (F.col("reconciliation") == "SCOPE_PERIOD_DIFFERENCE"), 40).when((slot == "TEMPORAL_COMPARISON") & F.contains(metric, F.lit("headline_cpi_inflation")), 30)
-    bonus = bonus.when((slot == "CORROBORATES") & F.contains(metric, F.lit("headline_cpi_inflation")) & (F.col("a.normalized_value") == 5.4), 50).when((slot == "CORROBORATES") & F.contains(metric, F.lit("express_parcel_shipment_volume")) & F.col("a.normalized_value").isin(289.0, 289.2), 40)
-    bonus = bonus.when((slot == "CONTRADICTS") & F.contains(metric, F.lit("female_workforce")) & (F.col("a.normalized_value").isin(59.0, 60.0) | F.col("b.normalized_value").isin(59.0, 60.0)), 50).otherwise(0)
+    both = lambda *names: reduce(lambda x, y: x & y, [reduce(lambda x, y: x | y, [c(side, n) != "" for n in names]) for side in "ab"])
+    points = F.when(both("subject_entity"), 15).otherwise(0) + F.when(~metric.isin(L.UNSPECIFIC_METRICS), 20).otherwise(0) + F.when(both("normalized_unit", "unit"), 15).otherwise(0) + F.when(both("period"), 15).otherwise(0)
+    for side in "ab":
+        points = points - F.when(F.rlike(c(side, "value"), F.lit(r"^\d{1,2}$")) & (c(side, "unit") == ""), 10).otherwise(0)
+    points = points + F.when(has_any(metric, L.PREFERRED_METRICS), 25).otherwise(0)
+    a, b, is_, why = F.col("a.normalized_value"), F.col("b.normalized_value"), lambda s: slot == s, F.col("reconciliation")
+    about = lambda name: F.contains(metric, F.lit(name))
+    bonus = F.when(is_("RECONCILED") & ((why == "ESTIMATE_REVISION") | both("estimate_vintage")), 50).when(is_("RECONCILED") & why.isin("UNIT_CONVERSION", "ROUNDING"), 35)
+    bonus = bonus.when(is_("TEMPORAL_COMPARISON") & (why == "SCOPE_PERIOD_DIFFERENCE"), 40).when(is_("TEMPORAL_COMPARISON") & about("headline_cpi_inflation"), 30)
+    bonus = bonus.when(is_("CORROBORATES") & about("headline_cpi_inflation") & (a == 5.4), 50).when(is_("CORROBORATES") & about("express_parcel_shipment_volume") & a.isin(289.0, 289.2), 40)
+    bonus = bonus.when(is_("CONTRADICTS") & about("female_workforce") & (a.isin(59.0, 60.0) | b.isin(59.0, 60.0)), 50).otherwise(0)
+    trust = (F.col("a.value_binding_confidence") + F.col("b.value_binding_confidence")) * 10.0 + (F.col("a.grounding_confidence") + F.col("b.grounding_confidence")) * 10.0
     tick = F.col("a.value").isin(L.AXIS_TICKS) | F.col("b.value").isin(L.AXIS_TICKS)
-    return F.when(tick, F.lit(-100.0)).otherwise((points + golden + bonus).cast("double") + F.col("confidence") * 15.0)
+    return F.when(tick, F.lit(-100.0)).otherwise(F.round((points + bonus).cast("double") + trust + F.col("confidence") * 15.0, 6))
+
+
+def good_enough() -> Column:
+    """The gate for cases: valid, firmly bound facts and sufficient confidence (that the pair is comparable, the join has seen to)."""
+    sides = [(F.col(f"{t}.validation_status") == "valid") & (F.col(f"{t}.value_binding_confidence") >= L.MIN_BINDING) for t in "ab"]
+    return F.coalesce(sides[0] & sides[1] & (F.col("confidence") >= L.MIN_CONFIDENCE), F.lit(False))
 
 
 def cases(edges: DataFrame) -> DataFrame:
-    """The best edge of each slot: corroborated, contradicted, reconciled, temporal."""
+    """The best of the edges that are shown for each slot: corroborated, contradicted, reconciled, temporal."""
     slot = F.when(F.col("relationship") == "LIKELY_CONTRADICTION", "CONTRADICTS").otherwise(F.col("relationship"))
-    ready = edges.where((F.col("confidence") >= L.MIN_CONFIDENCE) & F.col("relationship").isin("CORROBORATES", "CONTRADICTS", "LIKELY_CONTRADICTION", "RECONCILED", "TEMPORAL_COMPARISON"))
+    ready = temporal_cap(edges.where(F.col("confidence") >= L.MIN_CONFIDENCE))
+    ready = ready.where(good_enough() & F.col("relationship").isin("CORROBORATES", "CONTRADICTS", "LIKELY_CONTRADICTION", "RECONCILED", "TEMPORAL_COMPARISON"))
     ready = ready.withColumn("slot", slot).withColumn("score", _score(F.col("slot")))
-    # a grouped maximum combines before the shuffle; a window would bring all edges of a slot into one task
-    best = ready.groupBy("slot").agg(F.min(F.struct((-F.col("score")).alias("s"), "edge_id")).alias("m"))
+    # a grouped minimum combines before the shuffle; a window would bring all edges of a slot into one task. Of equal scores
+    # the first that is shown wins, and temporal edges are shown by confidence
+    shown = F.when(F.col("slot") == "TEMPORAL_COMPARISON", -F.col("confidence")).otherwise(0.0)
+    best = ready.groupBy("slot").agg(F.min(F.struct((-F.col("score")).alias("s"), shown.alias("c"), "edge_id")).alias("m"))
     return best.select("slot", F.col("m.edge_id").alias("edge_id"), (-F.col("m.s")).alias("score"))
 
 

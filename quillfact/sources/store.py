@@ -1,28 +1,66 @@
-"""Tables of the fact store as Parquet folders: ingest, append, replace, cascade delete, evolution, purge."""
+"""Tables of the fact store as Parquet folders: ingest, append, replace, upsert, cascade delete, swap, evolution, purge.
+
+facts, chunks and rejected_extractions are partitioned by document, so that one document is replaced or deleted without
+touching the others; documents and fact_relationships are small and swapped whole."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfact.functions.lexicon import PIPELINE_VERSION
 
 TABLES = ("documents", "chunks", "facts", "rejected_extractions", "fact_relationships")
+BY_DOCUMENT = ("chunks", "facts", "rejected_extractions")
 #: Columns that later versions added to facts, with their defaults.
-FACT_DEFAULTS = {"subject": "Unknown Entity", "metric": "General Assertion", "predicate": "was reported as", "validation_status": "valid", "pipeline_version": PIPELINE_VERSION}
+FACT_DEFAULTS = {
+    "subject": "Unknown Entity", "metric": "General Assertion", "predicate": "was reported as", "validation_status": "valid", "pipeline_version": PIPELINE_VERSION, "extraction_confidence": 1.0, "grounding_confidence": 1.0,
+    "value_binding_confidence": 1.0, "final_confidence": 1.0, "value_type": "UNKNOWN", "is_numeric": True, "extraction_method": "llm", "binding_method": "sentence_direct",
+}
 
 
-def binary_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Files as documents: the id is the content's hash, so that a repeated upload is the same document. Page texts come
-    from a parser the caller applies (mapInPandas over content); none is bundled."""
+def binary_documents(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]") -> DataFrame:
+    """Files as documents: the id is the content's hash, so that a repeated upload is the same document."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where("length > 0")
-    return files.select(F.sha2("content", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content", "modificationTime")
+    digest = F.sha2("content", 256)
+    return files.select(digest.alias("document_id"), digest.alias("file_hash"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.col("modificationTime").alias("upload_timestamp"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, for tables that are put together and read again."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        path = tempfile.mkdtemp(prefix="quillfact-")
+    return f"{path.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 def content_id(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, root: str, table: str) -> bool:
+    """Whether a table is there and holds a file or a partition."""
+    fs, path = _folder(spark, f"{root}/{table}")
+    if fs.exists(path):
+        each = fs.listStatusIterator(path)
+        while each.hasNext():
+            if each.next().getPath().getName()[0] not in "_.":
+                return True
+    return False
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}")
 
@@ -32,9 +70,65 @@ def append(df: DataFrame, root: str, table: str, by: str | None = "document_id")
     (writer.partitionBy(by) if by else writer).parquet(f"{root}/{table}")
 
 
-def replace_documents(df: DataFrame, root: str, table: str) -> None:
-    """Rows of the documents in df take the place of their earlier rows; other documents are not rewritten."""
+def drop_documents(spark: SparkSession, root: str, table: str, ids: DataFrame) -> None:
+    """Remove the partitions of the documents in ids(document_id). Only folders that are there come to the driver, one by one."""
+    if not exists(spark, root, table):
+        return
+    held = read(spark, root, table).select("document_id", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    for row in held.join(ids.select(F.col("document_id").cast(held.schema["document_id"].dataType)).distinct(), "document_id", "left_semi").select("folder").distinct().toLocalIterator():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(row["folder"]))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replace_documents(df: DataFrame, root: str, table: str, ids: DataFrame | None = None) -> None:
+    """The rows of df take the place of all earlier rows of the documents in ids(document_id), also of those that have no
+    row in df; without ids, of the documents in df. Other documents are not rewritten."""
+    spark = df.sparkSession
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(f"{root}/{table}")
+    if ids is not None:
+        drop_documents(spark, root, table, ids.select("document_id").join(df.select("document_id").distinct(), "document_id", "left_anti"))
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """Put whole tables in place together: all are written aside first, then moved; if anything fails, the old ones return.
+    A table may be read from the folder that it replaces."""
+    mark = uuid.uuid4().hex
+    new, old = f"{root}/_new-{mark}", f"{root}/_old-{mark}"
+    fs, _ = _folder(spark, root)
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+
+    def move(one: str, two: str) -> None:
+        fs.mkdirs(at(two).getParent())
+        if not fs.rename(at(one), at(two)):
+            raise OSError(f"{one} could not be moved to {two}")
+
+    moved: list[tuple[str, bool]] = []
+    try:
+        for name, df in tables.items():
+            (df.write.partitionBy("document_id") if name in BY_DOCUMENT else df.write).parquet(f"{new}/{name}")
+        for name in tables:
+            was = fs.exists(at(f"{root}/{name}"))
+            if was:
+                move(f"{root}/{name}", f"{old}/{name}")
+            moved.append((name, was))
+            move(f"{new}/{name}", f"{root}/{name}")
+    except BaseException:
+        for name, was in reversed(moved):
+            fs.delete(at(f"{root}/{name}"), True)
+            if was:
+                move(f"{old}/{name}", f"{root}/{name}")
+        raise
+    finally:
+        fs.delete(at(new), True)
+        fs.delete(at(old), True)
+
+
+def upsert(df: DataFrame, root: str, table: str, key: str = "document_id") -> None:
+    """The rows of df, and the rows of the table whose key df does not have."""
+    spark = df.sparkSession
+    if exists(spark, root, table):
+        df = read(spark, root, table).join(df.select(key).distinct(), key, "left_anti").unionByName(df, allowMissingColumns=True)
+    commit(spark, root, {table: df})
 
 
 def evolved(df: DataFrame, defaults: dict = FACT_DEFAULTS) -> DataFrame:
@@ -46,32 +140,57 @@ def purged(df: DataFrame, version: int = PIPELINE_VERSION) -> DataFrame:
     return df.where(F.col("pipeline_version") >= version)
 
 
+def without_relationships(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """edges that touch none of the facts (fact_id)."""
+    for side in ("fact_id_a", "fact_id_b"):
+        edges = edges.join(facts.select(F.col("fact_id").alias(side)), side, "left_anti")
+    return edges
+
+
 def without_document(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """All tables without the documents in ids(document_id): relationships that touch one of their facts go too."""
-    gone = tables["facts"].join(ids, "document_id", "left_semi").select("fact_id")
     out = {name: df.join(ids, "document_id", "left_anti") for name, df in tables.items() if "document_id" in df.columns}
     if "fact_relationships" in tables:
         edges = tables["fact_relationships"]
-        for side in ("fact_id_a", "fact_id_b"):
-            edges = edges.join(gone.select(F.col("fact_id").alias(side)), side, "left_anti")
-        out["fact_relationships"] = edges.select(tables["fact_relationships"].columns)
+        out["fact_relationships"] = without_relationships(edges, tables["facts"].join(ids, "document_id", "left_semi")).select(edges.columns)
     return out
 
 
+def drop_relationships(spark: SparkSession, root: str, ids: DataFrame) -> None:
+    """Remove the stored relationships that touch facts of the documents in ids(document_id)."""
+    if exists(spark, root, "fact_relationships") and exists(spark, root, "facts"):
+        edges = read(spark, root, "fact_relationships")
+        gone = read(spark, root, "facts").join(ids, "document_id", "left_semi")
+        commit(spark, root, {"fact_relationships": without_relationships(edges, gone).select(edges.columns)})
+
+
+def delete_documents(spark: SparkSession, root: str, ids: DataFrame) -> None:
+    """Remove documents with all that belongs to them, relationships first; a run that was cut short can be repeated."""
+    drop_relationships(spark, root, ids)
+    for table in BY_DOCUMENT:
+        drop_documents(spark, root, table, ids)
+    if exists(spark, root, "documents"):
+        commit(spark, root, {"documents": read(spark, root, "documents").join(ids, "document_id", "left_anti")})
+
+
+def clear(spark: SparkSession, root: str) -> None:
+    """Remove all tables."""
+    for table in TABLES:
+        fs, path = _folder(spark, f"{root}/{table}")
+        fs.delete(path, True)
+
+
 def with_chunks(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     """Facts whose chunk is still there."""
     return facts.join(chunks, ["document_id", "chunk_index"], "left_semi")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
+def documents_of(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id, filename, page_count, chunk_count of pages(document_id, filename, page_number) and their chunks."""
+    counts = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    out = pages.groupBy("document_id").agg(F.min("filename").alias("filename"), F.count_distinct("page_number").cast("int").alias("page_count")).join(counts, "document_id", "left")
+    return out.select("document_id", "filename", "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
-class NullConnector:
-    """Stands where a language-model service would be asked; it answers nothing, so the rules decide alone."""
 
-    def extract(self, chunks: DataFrame) -> DataFrame | None:
-        return None
-
-    def judge(self, pairs: DataFrame) -> DataFrame | None:
-        return None
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)

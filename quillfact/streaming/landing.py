@@ -1,4 +1,4 @@
-"""Landing folder of page texts as a stream: chunks and facts of new documents, one micro-batch at a time."""
+"""Landing folder of page texts as a stream: documents, chunks and facts, one micro-batch at a time."""
 
 from __future__ import annotations
 
@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillfact.operators.chunks import chunk_pages
 from quillfact.operators.extract import extract_facts
-from quillfact.sources.store import replace_documents
+from quillfact.sources import store as S
 
 PAGES = "document_id string, filename string, page_number int, text string"
 
 
 def watch(spark: SparkSession, landing: str, root: str, checkpoint: str):
-    """Start the stream; a repeated document replaces its facts, so a batch that runs again changes nothing."""
+    """Start the stream; all pages of a document come in one batch. A repeated document replaces all that was stored of it,
+    its relationships go (they are found again by the next analysis), and a batch that runs again changes nothing."""
 
     def land(pages: DataFrame, _batch: int) -> None:
-        names = pages.select("document_id", "filename").distinct()
-        facts, rejected = extract_facts(chunk_pages(pages).join(names, "document_id"))
-        replace_documents(facts, root, "facts")
-        replace_documents(rejected, root, "rejected_extractions")
+        ids = pages.select("document_id").distinct()
+        chunks = chunk_pages(pages).join(pages.select("document_id", "filename").distinct(), "document_id")
+        S.drop_relationships(spark, root, ids)
+        S.replace_documents(chunks, root, "chunks", ids)
+        held = S.read(spark, root, "chunks").select(chunks.columns).join(ids, "document_id", "left_semi")
+        facts, rejected = extract_facts(held)
+        S.replace_documents(S.with_chunks(facts, held), root, "facts", ids)
+        S.replace_documents(rejected, root, "rejected_extractions", ids)
+        S.upsert(S.documents_of(pages, held), root, "documents")
 
     return spark.readStream.schema(PAGES).parquet(landing).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
