@@ -1,16 +1,22 @@
 """Lexical retrieval packing into training sequences.
 
-Each task reads its documents shard by shard. A document's ids fill whole windows first; its tail enters the shard's
-BM25 inverted index. Tails seed sequences in order: the index returns the unused tails that score best for the seed's
-rarest terms, and they fill the window greedily; the last one is cut to fit and its rest stays in the index, so only the
-last sequence of a shard is padded. Nothing is shuffled.
+1. Tokens. Each task tokenises its documents and counts the documents of every term; the counts of all tasks are summed, so
+   that document frequencies and the mean length are those of the whole corpus. (A vector of the vocabulary's size is all
+   that is brought together.) A document's ids fill whole windows first; its tail is what is packed with others.
+2. Shards. A tail goes to the shard of its rarest term that another document has too, wherever in the corpus it was read:
+   documents that share rare terms meet. Terms are dealt to shards of about SHARD_IDS ids by the ids that they bring; a term
+   that brings more has several shards.
+3. Retrieval. In a shard's BM25 inverted index (with the corpus's frequencies) tails seed sequences in order: the index
+   returns the unused tails that score best for the seed's rarest terms, and they fill the window greedily; the last one is
+   cut to fit and its rest stays in the index, so only the last sequence of a shard is padded.
 
 Tokenising is vectorised: the pattern of the byte-level vocabulary is applied to a buffer of code points by character
 class, and every distinct piece is encoded once by the tokenizer.
 
 Defined results: a null or empty text is the single id 0; equal documents are packed each; a repeated or null doc_id
-is kept as it is; the order of rows decides shards, so sequence ids may differ between readings, the pieces' contents
-do not; an empty table gives no pieces.
+is kept as it is; bytes that are no UTF-8 count as replacement characters; a very long text fills windows of its own but
+for its tail; the order of rows decides ties, so sequence ids may differ between readings, the pieces' contents do not; an
+empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfact.llm import bytetext as B
-from quillfact.llm.common import arrow_batches
+from quillfact.llm.common import arrow_batches, settle
 
 WINDOW = 1024
-SHARD_DOCS = 2000
+#: Ids of a shard, about; they bound a task's memory to some 100 MB.
+SHARD_IDS = 500_000
 #: Rarest terms of a seed that query the index.
 QUERY_TERMS = 24
 K1, LENGTH_B = 1.2, 0.75
@@ -176,28 +184,44 @@ class Encoder:
         return [special.get(i, ids[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
 
 
+class Statistics(NamedTuple):
+    """Of the whole corpus: documents of each term, documents, mean length of a tail."""
+
+    df: np.ndarray
+    docs: int
+    mean: float
+
+
+def statistics_of(tails: list[np.ndarray], vocabulary: int) -> Statistics:
+    """The statistics of a corpus of just these tails."""
+    df = np.zeros(vocabulary, np.int64)
+    for t in tails:
+        df[np.unique(t)] += 1
+    return Statistics(df, len(tails), sum(map(len, tails)) / max(len(tails), 1))
+
+
 class Bm25:
     """Inverted index of a shard's tails with BM25 weights in its postings."""
 
-    def __init__(self, tails: list[np.ndarray]):
+    def __init__(self, tails: list[np.ndarray], corpus: Statistics):
         sizes = np.array([len(t) for t in tails], np.int64)
         key = np.repeat(np.arange(len(tails), dtype=np.int64), sizes) + (np.concatenate([*tails, np.zeros(0, np.uint32)]).astype(np.int64) << 32)
         key, tf = np.unique(key, return_counts=True)
         term, self.docs = key >> 32, key & 0xFFFFFFFF
         edges = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
-        self.begins, df = edges[:-1], np.diff(edges)
-        number = np.repeat(np.arange(len(df)), df)
-        idf = np.log(1 + (len(tails) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - LENGTH_B + LENGTH_B * sizes / max(sizes.mean() if len(sizes) else 1, 1))
-        self.weights = idf[number] * tf * (K1 + 1) / (tf + norm[self.docs])
+        self.begins, here = edges[:-1], np.diff(edges)
+        number = np.repeat(np.arange(len(here)), here)
+        df = corpus.df[term]
+        norm = K1 * (1 - LENGTH_B + LENGTH_B * sizes / max(corpus.mean, 1))
+        self.weights = np.log(1 + (corpus.docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[self.docs])
         # the query of each tail: its rarest terms among those that another tail has too
-        shared = np.flatnonzero(df[number] > 1)
-        order = shared[np.lexsort((number[shared], df[number[shared]], self.docs[shared]))]
+        shared = np.flatnonzero(here[number] > 1)
+        order = shared[np.lexsort((number[shared], df[shared], self.docs[shared]))]
         owner = self.docs[order]
         rank = np.arange(len(order)) - np.searchsorted(owner, owner)
         chosen = order[rank < QUERY_TERMS]
         self.queries = np.split(number[chosen], np.searchsorted(self.docs[chosen], np.arange(1, max(len(tails), 1))))
-        self.ends, self.n = self.begins + df, len(tails)
+        self.ends, self.n = self.begins + here, len(tails)
 
     def neighbours(self, seed: int, unused: np.ndarray):
         """Unused tails that share a query term, best first (ties: the earlier one); they are sorted as far as asked for."""
@@ -215,23 +239,15 @@ class Bm25:
             found, ranks = found[~some], ranks[~some]
 
 
-def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece."""
-    out, sequence, tails, owners = [], 0, [], []
-    for doc, x in enumerate(ids):
-        whole = len(x) // window
-        out += [(doc, i * window, window, sequence + i, 0) for i in range(whole)]
-        sequence += whole
-        if len(x) % window:
-            owners.append(doc)
-            tails.append(x[whole * window :])
-    index, begun, left, unused = Bm25(tails), [0] * len(tails), [len(t) for t in tails], np.ones(len(tails))
+def pack_tails(tails: list[np.ndarray], corpus: Statistics, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """(tail, start, length, sequence, offset) of every piece."""
+    out, sequence, index = [], 0, Bm25(tails, corpus)
+    begun, left, unused = [0] * len(tails), [len(t) for t in tails], np.ones(len(tails))
     spare = 0  # tails before it are used up
 
     def put(tail: int, offset: int) -> int:
         size = min(left[tail], window - offset)
-        doc = owners[tail]
-        out.append((doc, len(ids[doc]) // window * window + begun[tail], size, sequence, offset))
+        out.append((tail, begun[tail], size, sequence, offset))
         begun[tail] += size
         left[tail] -= size
         if not left[tail]:
@@ -258,45 +274,128 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
         sequence += 1
 
 
+TOKENS = "doc_id long, n long, ids binary, counts binary"
+TAILS = "doc_id long, n long, key int, ids binary"
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Sequences of whole windows have numbers from here on.
+WHOLE = 1 << 62
 
 
-def _pack(path: str, window: int, with_ids: bool):
-    def run(batches):
-        encoder, base = Encoder.of(path), TaskContext.get().partitionId() << 33
-        held_docs: list = []
-        held_ids: list[np.ndarray] = []
-
-        def shard():
-            nonlocal base
-            pieces = pack_shard(held_ids, window)
-            cols = list(zip(*pieces, strict=True))
-            parts = [np.ascontiguousarray(held_ids[d][s : s + n], "<u4") for d, s, n, _, _ in pieces]
-            arrays = [
-                pa.array([held_docs[d] for d in cols[0]], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                pa.array([len(held_ids[d]) for d in cols[0]], pa.int64()), pa.array([base + s for s in cols[3]], pa.int64()), pa.array(cols[4], pa.int64()),
-            ]
-            if with_ids:
-                arrays.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
-            base += max(cols[3]) + 1
-            held_docs.clear()
-            held_ids.clear()
-            return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in COLUMNS.split(", ")] + ["ids"] * with_ids)
+def _tokens(path: str, kind: str):
+    """Per document its number of ids and the ids; per task one row with the documents of each term."""
 
+    def run(batches):
+        encoder = Encoder.of(path)
+        df = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
+        names = [x.split()[0] for x in TOKENS.split(", ")]
         for docs, bodies in B.chunks(batches, 2, 1_500_000):
-            for doc, x in zip(docs, encoder.encode([b.decode() for b in bodies]), strict=True):
-                held_docs.append(doc)
-                held_ids.append(np.append(x, np.uint32(0)))
-                if len(held_docs) == SHARD_DOCS:
-                    yield shard()
-        if held_docs:
-            yield shard()
+            ids = [np.append(x, np.uint32(0)) for x in encoder.encode([b.decode(errors="replace") for b in bodies])]
+            for x in ids:
+                df[np.unique(x)] += 1
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.nulls(n, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], names)
+
+    return run
+
+
+def _summed(batches):
+    total = sum(np.frombuffer(x, np.int64) for batch in batches for x in batch.column(0).to_pylist())
+    if not isinstance(total, int):
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["term", "n"])
+
+
+def _keys(corpus, kind: str):
+    """Tails with their key: the rarest term that another document has too, -1 without one."""
+
+    def run(batches):
+        df = corpus.value.df
+        for batch in batches:
+            keys = []
+            for x in batch.column(2).to_pylist():
+                terms = np.unique(np.frombuffer(x, kind))
+                terms = terms[df[terms] > 1]
+                keys.append(int(terms[df[terms].argmin()]) if len(terms) else -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int32()), batch.column(2)], [x.split()[0] for x in TAILS.split(", ")])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def _whole(window: int, kind: str, with_ids: bool):
+    """The pieces of whole windows."""
+
+    def run(batches):
+        sequence = WHOLE + (TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            rows, parts = [], []
+            for doc, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = np.frombuffer(ids, kind).astype("<u4")
+                for start in range(0, n - window + 1, window):
+                    part = ids[start : start + window]
+                    rows.append((doc, start, window, zlib.crc32(part.tobytes()), n, sequence, 0))
+                    parts.append(part)
+                    sequence += 1
+            yield _pieces(rows, parts, with_ids)
+
+    return run
+
+
+def _shard(corpus, window: int, kind: str, with_ids: bool):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        docs, sizes = table.column("doc_id").to_pylist(), table.column("n").to_pylist()
+        tails = [np.frombuffer(x, kind).astype("<u4") for x in table.column("ids").to_pylist()]
+        base, rows, parts = key[0].as_py() << 32, [], []
+        for tail, start, length, sequence, offset in pack_tails(tails, corpus.value, window):
+            part = tails[tail][start : start + length]
+            rows.append((docs[tail], sizes[tail] // window * window + start, length, zlib.crc32(part.tobytes()), sizes[tail], base + sequence, offset))
+            parts.append(part)
+        return pa.Table.from_batches([_pieces(rows, parts, with_ids)])
+
+    return run
+
+
+def _pieces(rows: list[tuple], parts: list[np.ndarray], with_ids: bool) -> pa.RecordBatch:
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+    if with_ids:
+        arrays.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+
+
+def _dealt(sizes: dict[int, int], shard_ids: int) -> list[tuple[int, int, int]]:
+    """(key, first shard, shards) from the ids that each key brings: keys share a shard until it is full, a larger one has its own."""
+    out, shard, filled = [], 0, 0
+    for key, size in sorted(sizes.items()):
+        if filled and filled + size > shard_ids:
+            shard, filled = shard + 1, 0
+        n = max(-(-size // shard_ids), 1)
+        out.append((key, shard, n))
+        shard, filled = (shard, filled + size) if n == 1 else (shard + n, 0)
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = False, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids)."""
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    return source.mapInArrow(_pack(tokenizer, window, with_ids), COLUMNS + (", ids array<int>" if with_ids else ""))
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    width = np.dtype(kind).itemsize
+    tokens = settle(source.mapInArrow(_tokens(tokenizer, kind), TOKENS))
+    df = np.zeros(vocabulary, np.int64)
+    for term, n in tokens.where("ids is null").select("counts").mapInArrow(_summed, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # the vocabulary at most
+        df[term] = n
+    tail, has = (F.col("n") % window).cast("int"), tokens.where("ids is not null")
+    count, mean = has.agg(F.count("*"), F.avg(F.when(tail > 0, tail))).first()
+    corpus = spark.sparkContext.broadcast(Statistics(df, count, float(mean or 0)))
+    tails = has.where(tail > 0).select("doc_id", "n", F.substring("ids", ((F.col("n") - tail) * width + 1).cast("int"), tail * width).alias("ids")).mapInArrow(_keys(corpus, kind), TAILS)
+    sizes = tails.groupBy("key").agg(F.sum(tail).alias("size")).collect()  # the vocabulary at most
+    shards = F.broadcast(spark.createDataFrame(_dealt({r["key"]: r["size"] for r in sizes}, shard_ids), "key int, first long, shards long"))
+    dealt = tails.join(shards, "key").select((F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id()), F.col("shards"))).alias("shard"), "doc_id", "n", "ids")
+    schema = COLUMNS + (", ids array<int>" if with_ids else "")
+    whole = has.where(F.col("n") >= window).select("doc_id", "n", "ids").mapInArrow(_whole(window, kind, with_ids), schema)
+    return whole.unionByName(dealt.groupBy("shard").applyInArrow(_shard(corpus, window, kind, with_ids), schema))

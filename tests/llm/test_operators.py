@@ -214,15 +214,54 @@ def test_packing(spark, docs):
 
 
 def test_packing_prefers_neighbours():
-    from quillfact.llm.packing import pack_shard
+    from quillfact.llm.packing import pack_tails, statistics_of
 
     tails = [np.array([t] * 50, np.uint32) for t in (7, 8, 9, 7, 8, 9)]
     found = defaultdict(set)
-    for doc, _, _, sequence, _ in pack_shard(tails, 100):
+    for doc, _, _, sequence, _ in pack_tails(tails, statistics_of(tails, 10), 100):
         found[sequence].add(doc % 3)
     assert all(len(x) == 1 for x in found.values())
 
 
+def test_packing_index_equals_bm25():
+    """Scores, and with them the order of neighbours, against the formula over all pairs."""
+    from quillfact.llm import packing as P
+
+    rnd = np.random.default_rng(3)
+    tails = [rnd.integers(0, 60, rnd.integers(1, 40)).astype(np.uint32) for _ in range(60)]
+    corpus = P.statistics_of([*tails, *tails[:20]], 60)
+    index = P.Bm25(tails, corpus)
+    for seed, query in enumerate(tails):
+        shared = sorted({t for t in query.tolist() if sum(t in x for x in tails) > 1}, key=lambda t: (corpus.df[t], t))[: P.QUERY_TERMS]
+        want = {}
+        for other, x in enumerate(tails):
+            tf = {t: int((x == t).sum()) for t in shared if t in x}
+            idf = {t: math.log(1 + (corpus.docs - corpus.df[t] + 0.5) / (corpus.df[t] + 0.5)) for t in tf}
+            score = sum(idf[t] * n * (P.K1 + 1) / (n + P.K1 * (1 - P.LENGTH_B + P.LENGTH_B * len(x) / corpus.mean)) for t, n in tf.items())
+            if other != seed and score:
+                want[other] = score
+        got = list(index.neighbours(seed, np.ones(len(tails))))
+        assert sorted(got) == sorted(want) and all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_packing_brings_scattered_relatives_together(spark):
+    """Documents that share rare words, read by different tasks, are packed together; shards are many and fill well."""
+    from quillfact.llm.packing import pack
+
+    rnd = random.Random(7)
+    common = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    subjects = [[f"{rnd.choice('qxzjv')}{rnd.randrange(10**6)}ku" for _ in range(6)] for _ in range(40)]
+    rows = [(i, " ".join(rnd.choices(common, k=30) + rnd.choices(subjects[i % 40], k=8))) for i in range(400)]
+    for shard_ids in (500_000, 6000):
+        got = pack(table(spark, rows).repartition(8), TOKENIZER, 512, shard_ids=shard_ids).collect()
+        with_ = defaultdict(list)
+        for r in got:
+            with_[r.sequence_id].append(r)
+        near = [len({r.doc_id % 40 for r in some}) / len({r.doc_id for r in some}) for some in with_.values() if len({r.doc_id for r in some}) > 1]
+        assert np.mean(near) < 0.75
+        assert sum(r.length for r in got) / (512 * len(with_)) > 0.9
+
+
 def shingle_components(rows):
     """Sizes of the shingle sets and smallest reachable ids, by comparing all pairs."""
     sets = {}
