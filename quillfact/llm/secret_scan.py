@@ -6,8 +6,11 @@ window's character counts are kept up incrementally: each step takes one charact
 counts and the sum of c*log2(c). Allow-listed strings (fixed examples, UUIDs, alphabets) and strings that overlap a base
 span are not added; base spans are never suppressed.
 
+Running sums and extremes over an array are made in pieces of PIECE elements with the pieces' own totals added afterwards,
+so that a very long text with very many matches costs in proportion to them.
+
 Defined results: a null text is empty and has no spans; spans count code points, end exclusive; equal rows give equal
-results; an empty table gives no rows; extra columns are not read.
+results; an empty table gives no rows; extra columns are not read; a very long text is scanned whole.
 """
 
 from __future__ import annotations
@@ -32,22 +35,52 @@ CLASSES = {
 ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|0123456789abcdef|abcdefghijklmnop|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
+PIECE, FAR = 256, 2**31 - 1
+
+
+def running(values: Column, op, start: int) -> Column:
+    """For each element of an array of integers, op over all before it; op is associative, and start changes nothing."""
+    none, first = F.array().cast("array<int>"), F.lit(start)
+
+    def fold(array: Column, of=lambda x: x) -> Column:
+        return F.aggregate(array, F.struct(first.alias("at"), none.alias("out")), lambda acc, x: F.struct(op(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    last = F.greatest(F.ceil(F.size(values) / PIECE).cast("int") - 1, F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: fold(F.slice(values, k * PIECE + 1, PIECE)))
+    return F.flatten(F.zip_with(pieces, fold(pieces, lambda p: p["at"])["out"], lambda p, o: F.transform(p["out"], lambda x: op(o, x))))
+
+
+SPAN = "array<struct<start:int,end:int,value:string>>"
+
+
 def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches (none of them empty)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     each = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(1))).alias("gap"), found.alias("hit"), values.alias("value"))
-    kind = "array<struct<start:int,end:int,value:string>>"
-    fold = F.aggregate(
-        each,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), fold).otherwise(F.array().cast(kind))
+
+    def placed(each: Column) -> Column:
+        before = running(F.transform(each, lambda x: F.length(x["gap"]) + F.length(x["hit"])), lambda a, b: a + b, 0)
+        start = lambda x, at: at + F.length(x["gap"])
+        return F.zip_with(each, before, lambda x, at: F.struct(start(x, at).alias("start"), (start(x, at) + F.length(x["hit"])).alias("end"), x["value"].alias("value")))
+
+    return F.when(F.rlike(text, F.lit(pattern)), F.element_at(F.transform(F.array(each), placed), 1).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+
+def clear_of(found: Column, base: Column) -> Column:
+    """The spans of found that overlap none of base: both are sorted together, and the furthest end of base spans before a span
+    and the nearest start of those after it decide."""
+    one = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), (x["value"] if kind else F.lit("")).alias("value")))
+
+    def left(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(0)), F.greatest, 0)
+        starts = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(x["kind"] == 0, x["start"]).otherwise(FAR))), F.least, FAR))
+        marked = F.arrays_zip(both.alias("x"), ends.alias("before"), starts.alias("after"))
+        free = F.filter(marked, lambda m: (m["x"]["kind"] == 1) & (m["before"] <= m["x"]["start"]) & (m["after"] >= m["x"]["end"]))
+        return F.transform(free, lambda m: F.struct(m["x"]["start"].alias("start"), m["x"]["end"].alias("end"), m["x"]["value"].alias("value")))
+
+    both = F.array_sort(F.concat(one(base, 0), one(found, 1)))
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), F.element_at(F.transform(F.array(both), left), 1).cast(SPAN)).otherwise(found)
 
 
 def peak_entropy(value: Column, alphabet: str, window: int) -> Column:
@@ -94,7 +127,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     added = []
     for name, (_, alphabet, window, least) in CLASSES.items():
         high = partial(_is_high, alphabet, window, least)
-        fresh = F.filter(F.col(f"c_{name}"), lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~F.rlike(x["value"], F.lit(ALLOW)))
+        fresh = F.filter(clear_of(F.col(f"c_{name}"), F.col("base")), lambda x: ~F.rlike(x["value"], F.lit(ALLOW)))
         added.append(_spans(F.filter(fresh, lambda x: high(x)), 3))  # noqa: B023  filter calls it at once
     out = out.withColumn("more", F.array_distinct(F.concat(*added)))
     return out.select(
