@@ -3,15 +3,18 @@
 Pages of a host are grouped (large hosts in salted groups of about GROUP pages). In a group, every token (a tag or a word,
 together with the path of containers around it) has an occurrence vector: how often each page has it. Tokens with equal
 vectors form an equivalence class; of a class those count that come in one order in every page that has them, if something
-between them differs from page to page. Pages with equal candidate text are copies and count once, so that a text is not
-taken for template because it is repeated. Words of a
+between them differs from page to page. Valid classes are nested into the template, larger ones first: all of a class must
+lie in one slot of each class that is there, the same in every page, or all of that one in one slot of it; a class that
+crosses another is none. Pages with equal candidate text are copies and count once, so that a text is not
+taken for template because it is repeated. Words of a nested
 class that stand in a run of LEAST_CLASS fixed tokens wherever they stand are the template's own, in articles too; what
 is left are slots. Names of tags and classes choose among the slots: none in containers for menus, headers, footers, side
 bars, notices, adverts, forms and comments; those inside article or main elements, unless the others hold more than
 TEASER times their words (a page without article, or with a mere teaser in it), then all.
 
 Defined results: null html is empty, and an empty page has an empty text; pages without a host form one; repeated rows get
-a row each; white space inside a block becomes one blank; a page's url and other columns do not change its text.
+a row each; white space inside a block becomes one blank; a page's url and other columns do not change its text; a very long
+page is taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,10 +41,12 @@ TEASER = 2
 # Fixed names of elements and of class, id and role words.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-ASIDE = frozenset("nav header footer aside form button select dialog menu fieldset label head".split())
+ASIDE = frozenset("nav header footer aside form button select dialog menu fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOXES = frozenset("article aside body dialog div dl fieldset figure footer form header main menu nav ol section table ul button select label head td th".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail footer foot header masthead topbar toolbar comment comments commentlist disqus reply replies respond related recommended share sharing social subscribe subscription newsletter signup login popup modal overlay widget pagination pager complementary contentinfo search skip toc".split())
+# Fixed words that a class name of such a container may hold besides.
+PLAIN_WORDS = frozenset("site page main global left right top bottom box block wrapper wrap container area section list links link posts stories articles items item content inner outer bar buttons button form js col row primary secondary fixed sticky mobile desktop".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -53,7 +58,12 @@ def _named_aside(attributes: str) -> bool:
         return False
     if HIDDEN.search(attributes):
         return True
-    return any(not ASIDE_WORDS.isdisjoint(WORD.split("".join(m).lower())) for m in MARKS.findall(attributes))
+    for m in MARKS.findall(attributes):
+        for name in "".join(m).lower().split():
+            words = {w for w in WORD.split(name) if w}
+            if words & ASIDE_WORDS and words <= ASIDE_WORDS | PLAIN_WORDS:  # so related-posts, but not related-work
+                return True
+    return False
 
 
 def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
@@ -157,6 +167,22 @@ def candidate(events: Events) -> tuple[str, ...]:
     return tuple(longest) if 2 * len(longest) >= sum(map(len, blocks)) else tuple(w for b in blocks for w in b)
 
 
+Places = tuple[dict[int, list[int]], int]
+
+
+def within(one: Places, two: Places) -> bool:
+    """Whether every instance of a class lies in one slot of another, the same in all pages; a class is the places of its tokens
+    by page, and the tokens of an instance. What is before the first and after the last token is one slot."""
+    slots = set()
+    for page, places in one[0].items():
+        if others := two[0].get(page):
+            found = [bisect_left(others, p) for p in places]
+            if any(found[k] != found[k + one[1] - 1] for k in range(0, len(found), one[1])):
+                return False
+            slots.update(f % two[1] for f in found[:: one[1]])
+    return len(slots) <= 1
+
+
 class Template:
     """The template of a group of pages: own: its words, with how often a page has them at most."""
 
@@ -182,11 +208,15 @@ class Template:
         classes: dict[tuple[int, ...], set[Token]] = defaultdict(set)
         for token in often:
             classes[tuple(vectors[token])].add(token)
-        for vector, held in classes.items():
+        #: The nested classes.
+        self.nested: list[Places] = []
+        # larger classes first: of more pages, then of more tokens (ties: in the order of the first page that has one)
+        for vector, held in sorted(classes.items(), key=lambda c: (c[0].count(0), -len(c[1]))):
             if len(held) >= LEAST_CLASS:
-                self._add(held, [(tokens, n) for tokens, n in zip(streams, vector, strict=True) if n])
+                self._add(held, [(i, tokens, n) for i, (tokens, n) in enumerate(zip(streams, vector, strict=True)) if n])
 
-    def _add(self, held: set[Token], pages: list[tuple[list[Token], int]]) -> None:
+    def _add(self, held: set[Token], some: list[tuple[int, list[Token], int]]) -> None:
+        pages = [(tokens, n) for _, tokens, n in some]
         orders = [[t for t in tokens if t in held] for tokens, _ in pages]
         if all(n == 1 for _, n in pages):
             order = _common(orders)
@@ -203,6 +233,10 @@ class Template:
             spans.append(tokens[places[0] : places[-1] + 1])
         if all(x == spans[0] for x in spans):  # nothing is filled in: a passage that pages share, not their template
             return
+        places = {i: [k for k, t in enumerate(tokens) if t in held] for i, tokens, _ in some}, len(order)
+        if not all(within(places, other) or within(other, places) for other in self.nested):
+            return
+        self.nested.append(places)
         most = max(n for _, n in pages)
         self.own.update((t, most) for t in order if not t[1].startswith(("<", "</")) and self._run(t) >= LEAST_CLASS)
 
