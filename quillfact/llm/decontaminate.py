@@ -1,18 +1,22 @@
 """Benchmark decontamination by a document-partitioned positional inverted index.
 
-Index: each chunk of training documents becomes a segment, that is for every term of the test set the sorted word
-positions at which it occurs (documents are set apart by a gap). Search: the windows of the test set are matched
-against each segment by intersecting offset-adjusted position lists, from the term that is rarest over the whole
-corpus; what is left are exact phrase matches. Proximity matches are items of which the other two of the three rarest
-terms occur within NEAR words of a place of the rarest, in one document. No posting is shuffled: segments stay where their documents were read, the test set
-travels to them in blocks of bounded size.
+Index: each chunk of training documents becomes a segment, that is for every term of its texts the sorted word positions at
+which it occurs (documents are set apart by a gap). The index is stored once and serves any test set. Search: the windows of
+the test set are matched against each segment by intersecting offset-adjusted position lists, from the term that is rarest
+over the whole corpus; what is left are exact phrase matches. Proximity matches are items of which the other two of the
+three rarest terms occur within NEAR words of a place of the rarest, in one document. No posting is shuffled: segments stay
+where their documents were read, the test set travels to them in blocks of bounded size.
 
 Defined results: a null text has no words; an item without words has no window; a test set of no items leaves all
-documents clean; repeated item rows count by item_id, a null item_id is no item; repeated documents get a row each.
+documents clean; repeated item rows count by item_id, a null item_id is no item; repeated documents get a row each, an empty
+table of documents gives none; a very long text is a segment of its own, and a very long item a block of its own; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,9 +27,10 @@ from quillfact.llm import bytetext as B
 from quillfact.llm.common import arrow_batches, settle
 
 WINDOW, NEAR, GAP = 10, 20, 64
-#: Items that are sent to the tasks at a time (about 5 MB); a larger test set is searched block by block.
-BLOCK_ITEMS = 20_000
-SEGMENT = "row_id long, doc_ids binary, null_ids binary, bases binary, n_words binary, counts binary, postings binary"
+#: Items, and bytes of their texts, that are sent to the tasks at a time; a larger test set is searched block by block.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 5_000_000
+SEGMENT = "row_id long, doc_ids binary, null_ids binary, bases binary, n_words binary, terms binary, counts binary, postings binary"
+SEGMENT_TYPES = (np.int64, bool, np.int32, np.int32, np.uint64, np.int32, np.int32)
 HITS = "row_id long, doc_id long, n_words long, hits array<int>, items array<string>, near array<string>"
 
 
@@ -45,6 +50,8 @@ class Queries:
                 of.setdefault(tuple(w[i : i + WINDOW].tolist()), []).append(item)
         self.windows = [(np.array(w), np.array(sorted(set(owners)))) for w, owners in of.items()]
         self.near: list[np.ndarray] = []
+        #: The windows' terms as a matrix; short windows repeat their last one.
+        self.matrix = np.array([w + w[-1:] * (WINDOW - len(w)) for w in of], np.int64).reshape(-1, WINDOW)
 
     def rank(self, df: np.ndarray) -> None:
         """Order the terms of each window, and choose those of the proximity match, by corpus frequency."""
@@ -52,31 +59,45 @@ class Queries:
         self.near = [np.unique(w)[np.argsort(df[np.unique(w)], kind="stable")][:3] for w in self.words]
 
 
-def _build(terms: np.ndarray):
-    def run(batches):
-        row = TaskContext.get().partitionId() << 33
-        for ids, bodies in B.chunks(batches, 2):
-            buf, begins = B.joined(bodies)
-            starts, ends, first = B.words(buf, begins, B.ALNUM)
-            hashed, per_doc = B.hashes(B.running(buf), starts, ends), np.diff(first)
-            places = np.arange(len(starts)) + np.repeat(np.arange(len(bodies)) * GAP, per_doc)
-            at = np.minimum(np.searchsorted(terms, hashed), max(len(terms) - 1, 0))
-            known = terms[at] == hashed if len(terms) else np.zeros(len(at), bool)
-            at, places = at[known], places[known].astype(np.int32)
-            order = np.argsort(at, kind="stable")
-            one = (row, np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids]), (first[:-1] + np.arange(len(bodies)) * GAP).astype(np.int32), per_doc.astype(np.int32), np.bincount(at, minlength=len(terms)).astype(np.int32), places[order])
-            yield pa.RecordBatch.from_arrays([pa.array([one[0]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in one[1:]]], [x.split()[0] for x in SEGMENT.split(", ")])
-            row += len(bodies)
+def _build(batches):
+    """A segment for each chunk of documents."""
+    row = TaskContext.get().partitionId() << 33
+    for ids, bodies in B.chunks(batches, 2):
+        buf, begins = B.joined(bodies)
+        starts, ends, first = B.words(buf, begins, B.ALNUM)
+        hashed, per_doc = B.hashes(B.running(buf), starts, ends), np.diff(first)
+        places = (np.arange(len(starts)) + np.repeat(np.arange(len(bodies)) * GAP, per_doc)).astype(np.int32)
+        order = np.argsort(hashed, kind="stable")
+        hashed = hashed[order]
+        edge = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.zeros(0, np.int64)
+        bases = (first[:-1] + np.arange(len(bodies)) * GAP).astype(np.int32)
+        one = (np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids]), bases, per_doc.astype(np.int32), hashed[edge], np.diff(np.append(edge, len(hashed))).astype(np.int32), places[order])
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in one]], [x.split()[0] for x in SEGMENT.split(", ")])
+        row += len(bodies)
 
-    return run
+
+def _of_terms(terms: np.ndarray, held: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the terms its count in a segment, and where its positions begin."""
+    if not len(held):
+        return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    at = np.minimum(np.searchsorted(held, terms), len(held) - 1)
+    begins = np.cumsum(counts, dtype=np.int64) - counts
+    return np.where(held[at] == terms, counts[at], 0).astype(np.int64), begins[at]
 
 
-def _counts(batches):
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for batch in batches for x in batch.column(0).to_pylist())
-    if not isinstance(total, int):
+def _counts(terms: np.ndarray):
+    """How often each of the test set's terms occurs in the segments of a task."""
+
+    def run(batches):
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for held, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += _of_terms(terms, np.frombuffer(held, np.uint64), np.frombuffer(counts, np.int32))[0]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["term", "n"])
 
+    return run
+
 
 def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at = np.searchsorted(values, wanted)
@@ -87,18 +108,16 @@ def _search(queries: Queries):
     def run(batches):
         for batch in batches:
             for row, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, nulls, bases, n_words, counts, postings = (np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, bool, np.int32, np.int32, np.int32, np.int32), strict=True))
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                lists = lambda t: postings[bounds[t] : bounds[t + 1]]  # noqa: E731, B023
+                ids, nulls, bases, n_words, held, counts, postings = (np.frombuffer(b, t) for b, t in zip(blobs, SEGMENT_TYPES, strict=True))
+                counts, begins = _of_terms(queries.terms, held, counts)
+                lists = lambda t: postings[begins[t] : begins[t] + counts[t]]  # noqa: E731, B023
                 marks = np.zeros(int(bases[-1]) + int(n_words[-1]) + WINDOW + 2, np.int32)
                 found: dict[int, set[str]] = {}
-                for window, order, owners in queries.windows:
-                    if not counts[window[order[0]]]:
-                        continue
+                for number in np.flatnonzero((counts[queries.matrix] > 0).all(axis=1)).tolist() if len(counts) else ():  # windows of which all terms occur here
+                    window, order, owners = queries.windows[number]
                     at = lists(window[order[0]]) - order[0]
                     for k in order[1:]:
-                        if not len(at) or not counts[window[k]]:
-                            at = at[:0]
+                        if not len(at):
                             break
                         at = at[_within(lists(window[k]), at + k)]
                     if len(at):
@@ -130,31 +149,31 @@ def _search(queries: Queries):
 
 
 def _blocks(benchmark: DataFrame):
-    """Lists of at most BLOCK_ITEMS items or so each, one at a time on the driver."""
+    """Lists of at most BLOCK_ITEMS items and BLOCK_BYTES bytes or so each, one at a time on the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    n = -(-items.count() // BLOCK_ITEMS)
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).orderBy("item_id", "text").collect()
-        yield [(r["item_id"], r["text"].encode()) for r in rows]
+        if rows:
+            yield [(r["item_id"], r["text"].encode()) for r in rows]
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_id, doc_id, n_words, hits (word numbers), items (ids with an exact match), near (ids with a proximity match), for each row of docs."""
     arrow_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    segments = settle(source.mapInArrow(_build, SEGMENT))
     parts = []
-    for items in _blocks(benchmark):
-        queries = Queries(items)
-        segments = settle(source.mapInArrow(_build(queries.terms), SEGMENT))
+    for items in chain(_blocks(benchmark), [[]]):
+        if not items and parts:
+            break
+        queries = Queries(items)  # of no items if there are none
         df = np.zeros(len(queries.terms), np.int64)
-        for term, n in segments.select("counts").mapInArrow(_counts, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        for term, n in segments.select("terms", "counts").mapInArrow(_counts(queries.terms), "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # terms of the block
             df[term] = n
         queries.rank(df)
         parts.append(segments.mapInArrow(_search(queries), HITS))
-    if not parts:
-        nothing = Queries([])
-        nothing.rank(np.zeros(0))
-        return source.mapInArrow(_build(nothing.terms), SEGMENT).mapInArrow(_search(nothing), HITS)
     if len(parts) == 1:
         return parts[0]
     whole = parts[0]
