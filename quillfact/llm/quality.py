@@ -8,7 +8,8 @@ with the smallest hashes of doc_id); features are made, and scores given, for al
 
 Defined results: a null or empty text has zero features and is scored like any other; repeated rows get equal scores;
 labels of a document that disagree are averaged; null labels are not used; without labels of both kinds every score is the
-mean label (1 without any); a null doc_id is not held out.
+mean label (1 without any); a null doc_id is not held out; features are of the whole of a very long text; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
