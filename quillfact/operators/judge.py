@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
 from quillfact.functions.text import has_any, let, short
-from quillfact.operators.pairs import _text, candidate_pairs, comparability, pair_count
+from quillfact.operators.pairs import _text, candidate_pairs, comparability, filled, pair_count
 
 
 def percent_delta(a: Column, b: Column) -> Column:
@@ -123,7 +123,7 @@ def rescored(facts: DataFrame, edges: DataFrame) -> DataFrame:
     cents = F.round(F.col("confidence") * 100).cast("long")
     sums = edges.select(F.col("a.fact_id").alias("fact_id"), cents.alias("c")).unionAll(edges.select(F.col("b.fact_id"), cents)).groupBy("fact_id").agg(F.sum("c").alias("c"))
     base = F.coalesce("extraction_confidence", F.lit(1.0)) * F.coalesce("grounding_confidence", F.lit(1.0)) * F.coalesce("value_binding_confidence", F.lit(1.0))
-    return facts.join(sums, "fact_id", "left").select("fact_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + F.coalesce("c", F.lit(0)) / F.lit(100.0))), 3).alias("confidence"))
+    return filled(facts).join(sums, "fact_id", "left").select("fact_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + F.coalesce("c", F.lit(0)) / F.lit(100.0))), 3).alias("confidence"))
 
 
 def dashboard(edges: DataFrame) -> DataFrame:

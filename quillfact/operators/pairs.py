@@ -31,11 +31,15 @@ def eligible(f: str = "") -> Column:
     )
 
 
+def filled(facts: DataFrame) -> DataFrame:
+    """Facts with all columns that pairing reads."""
+    return facts.withColumns({c: F.lit(v).cast("string") if v is None else F.lit(v) for c, v in ABSENT.items() if c not in facts.columns})
+
+
 def with_canonical(facts: DataFrame) -> DataFrame:
     """Facts with their canonical metric and all columns that pairing reads: absent ones are filled, and an empty vintage or
     scope of the period is taken from the columns vintage and scope where there are such."""
-    out = facts.withColumn("canonical_metric", canonical_metric(F.col("metric")))
-    out = out.withColumns({c: F.lit(v).cast("string") if v is None else F.lit(v) for c, v in ABSENT.items() if c not in facts.columns})
+    out = filled(facts).withColumn("canonical_metric", canonical_metric(F.col("metric")))
     return out.withColumns({c: either(F.col(c), F.col(other)) for c, other in (("estimate_vintage", "vintage"), ("period_scope", "scope")) if other in facts.columns})
 
 

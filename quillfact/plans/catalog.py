@@ -163,7 +163,7 @@ def document_counts(spark, sf_dir):
     return S.documents_of(pages, C.chunk_pages(pages))
 
 
-@query(FACTS_SQL + "SELECT (SELECT count(*) FROM f) AS accepted_facts_count, (SELECT count(*) FROM part WHERE p_partkey % 8 <> 2) AS rejected_candidates_count, (SELECT count(*) FROM f a JOIN f b ON a.pos < b.pos AND a.document_id <> b.document_id) AS candidate_pairs_evaluated")
+@query(FACTS_SQL + "SELECT (SELECT count(*) FROM f) AS accepted_facts_count, (SELECT count(*) FROM part WHERE p_partkey % 13 <> 2) AS rejected_candidates_count, (SELECT count(*) FROM f a JOIN f b ON a.pos < b.pos AND a.document_id <> b.document_id) AS candidate_pairs_evaluated")
 def pipeline_counts(spark, sf_dir):
     return J.pipeline_counts(order_facts(spark, sf_dir), _candidates(spark, sf_dir).where("failure_type is not null"))
 
@@ -334,7 +334,42 @@ def section_prefix(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", R.section_prefix(line, F.concat(F.lit("2."), key)).alias("prefixed"))
 
 
-@query()
+BLANKS = r"[\t\n\x0B\f\r ]"
+BPS_SQL = r"regexp_matches(low, '\b(?:bps?|basis\s+points?)\b')"
+OUTLINE_SQL = r"(?:(?:[a-z0-9]+\.)+[a-z0-9]+|[0-9]+[a-z]\.[0-9]+|[ivxlcdm]+(?:\.[0-9]+)+)"
+# the ladder of number_role in SQL, for a number without a unit: num and its pattern n, the line txt, all of it in small letters
+ROLE_RULES_SQL = [
+    (r"in_title OR (found <> '' AND NOT is_unit AND ((lead <> '' AND num = lead) OR num = stem))", "PARAGRAPH_IDENTIFIER", 0.99),
+    (r"regexp_matches(num, '^[-+]?\d{1,3}$') AND regexp_matches(txt, '^[-+]?\d{1,3}$')", "CHART_AXIS_TICK", 0.99),
+    (BPS_SQL + r" AND regexp_matches(low, '\b(?:above|below)\b')", "SPREAD", 0.99),
+    (BPS_SQL + r" AND (regexp_matches(low, '\b(?:reduced|decreased|cut|lowered|increased|raised|hiked|change(?:d)?|movement)\s+(?:by\s+)?\b') OR regexp_matches(low, '\bby\s+' || n || '\s*(?:bps?|basis\s+points?)\b'))", "BASIS_POINT_CHANGE", 0.99),
+    (r"regexp_matches(low, '\b(?:percentage\s+points?|pp)\b')", "PERCENTAGE_POINT_CHANGE", 0.99),
+    (r"regexp_matches(txt, '(?:[A-Za-z]|\))' || n || '(?:\s|$|[,\.;\)])')", "FOOTNOTE_REFERENCE", 0.98),
+    (r"regexp_matches(num, '^\d{1,3}$') AND regexp_matches(txt, '^' || n || '\s+[A-Za-z]')", "FOOTNOTE_REFERENCE", 0.98),
+    (r"regexp_matches(num, '^\d{1,2}$') AND regexp_matches(txt, '^\(?\d{1,2}[\.\)]\s+[A-Za-z]') AND regexp_matches(txt, '^\(?' || n)", "ROW_IDENTIFIER", 0.98),
+    (r"whole = base_year", "INDEX_BASE_YEAR", 0.99),
+    (r"whole = base_value", "INDEX_BASE_VALUE", 0.99),
+    (r"regexp_matches(num, '^\d{1,2}$') AND regexp_matches(txt, '^(?:\d{1,2}\s+){3,}\d{1,2}$')", "COLUMN_IDENTIFIER", 0.98),
+    (NAVIGATION_SQL.format("txt") + r" OR regexp_matches(low, '\b(?:page|p\.?)\s*' || n || '\b')", "PAGE_REFERENCE", 0.95),
+    (r"regexp_matches(low, '\b(?:note|footnote)\s*' || n || '\b')", "NOTE_REFERENCE", 0.95),
+    (r"regexp_matches(num, '^(?:19|20)\d{2}$') AND regexp_matches(low, '\b(?:fy|fiscal|quarter|q[1-4]|year|ended|as at|march|december|june|september)\b')", "YEAR", 0.95),
+    (r"regexp_matches(num, '^(?:19|20)\d{2}$')", "YEAR", 0.90),
+    (r"regexp_matches(num, '^\d{2}$') AND regexp_matches(low, '\b(?:fy|fiscal|q[1-4]\s*fy|20)\s*' || n || '\b')", "YEAR", 0.95),
+    (rf"regexp_matches(low, '\b(?:{L.MONTHS})\s+' || n || '\b') OR regexp_matches(low, '\b' || n || '\s+(?:months?|days?)\s+ended\b')", "DATE_COMPONENT", 0.95),
+    (r"regexp_matches(low, '\b' || n || '\s+(?:equity|preference)?\s*shares?\b')", "SHARE_COUNT", 0.90),
+    (r"regexp_matches(low, '(?:₹|\$|inr|usd|rs\.?)\s*(?:\w+\s+){0,2}' || n)", "MONEY", 0.90),
+    (r"regexp_matches(low, '\b' || n || '\s*(?:\%|percent|percentage)\b')", "PERCENT", 0.90),
+    (r"regexp_matches(low, '\b(?:parcels?|orders?|shipments?|employees?|headcount|workers?|facilities|hubs|vehicles|centres|tonnes|metric tonnes)\b')", "COUNT", 0.90),
+]
+
+
+@query(LINES_SQL + rf""", t AS (SELECT document_id, line_no, line, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(line, '[-+]?[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?') AS w FROM l)),
+u AS (SELECT *, line AS txt, lower(' ' || token || '   ' || line) AS low, format('{{:g}}', CAST(replace(token, ',', '') AS DOUBLE)) AS num, lower(line) AS c FROM t),
+v AS (SELECT *, replace(replace(num, '.', '\.'), '+', '\+') AS n, regexp_extract(c, '^\s*(?:appendix\s+table|table|chart|figure|box)\s+([a-z0-9\.\-]+)', 1) AS title, regexp_extract(c, '^\s*\(?({OUTLINE_SQL})\)?\s+([a-z%])', 1) AS found,
+  trim(regexp_replace(c, '^\s*\(?{OUTLINE_SQL}', '')) AS rest, TRY_CAST(nullif(regexp_extract(num, '^[-+]?(\d+)(?:\.\d+)?$', 1), '') AS BIGINT) AS whole, TRY_CAST(nullif(regexp_extract(txt, '{{0}}', 1), '') AS BIGINT) AS base_year, TRY_CAST(nullif(regexp_extract(txt, '{{0}}', 2), '') AS BIGINT) AS base_value FROM u),
+x AS (SELECT *, trim(regexp_replace(found, '^[a-z.]+', '')) AS stem, regexp_extract(trim(regexp_replace(found, '^[a-z.]+', '')), '^\d+') AS lead, title <> '' AND (num = title OR list_contains(string_split(title, '.'), num)) AS in_title, regexp_matches(rest, '^(?:per cent|percent|%|bps|basis\s+points|crore|million|billion|lakh|shares)') AS is_unit FROM v)
+SELECT document_id, CAST(line_no AS INT) AS line_no, CAST(pos AS INT) AS pos, token, CASE """.replace("{0}", r"(?i)(?:[\[\(]|\b)(?:FY\s*)?(\d{4})(?:-\d{2,4})?\s*=\s*(\d+)(?:[\]\)]|\b)")
+    + " ".join(f"WHEN {rule} THEN '{role}'" for rule, role, _ in ROLE_RULES_SQL) + " ELSE 'METRIC_VALUE' END AS role, CAST(CASE " + " ".join(f"WHEN {rule} THEN {confidence}" for rule, _, confidence in ROLE_RULES_SQL) + " ELSE 0.7 END AS DOUBLE) AS confidence FROM x")
 def number_roles(spark, sf_dir):
     """Roles of all numbers of the fixture's texts, by line."""
     lines = C.nonblank_lines(_pages(spark, sf_dir), "document_id")
@@ -365,6 +400,27 @@ def normalize_values(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", N.normalized(size, unit, F.lit(""), F.lit("revenue")).alias("n")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.value_type")
 
 
+_MAGNITUDES_SQL = "(VALUES " + ", ".join(f"({i}, '{m}', CAST({f} AS DOUBLE))" for i, (m, f) in enumerate(L.MAGNITUDES)) + ") m(i, word, factor)"
+
+
+@query(f"""SELECT p_partkey, v AS normalized_value, 'INR' AS normalized_unit, factor AS scale, 'INR' AS currency, p_size || ' ' || unit || ' is ' || format('{{:g}}', v) || ' INR (times ' || format('{{:g}}', factor) || ')' AS explanation
+FROM (SELECT *, round(p_size * factor, 4) AS v, CASE WHEN p_partkey % 2 = 0 THEN 'INR ' || word ELSE 'INR' END AS unit FROM part JOIN {_MAGNITUDES_SQL} ON i = p_partkey % {len(L.MAGNITUDES)})""")
+def normalize_magnitudes(spark, sf_dir):
+    """All magnitudes, in the unit or only near the value in the quote."""
+    words = F.element_at(F.array(*[F.lit(m) for m, _ in L.MAGNITUDES]), (F.col("p_partkey") % len(L.MAGNITUDES) + 1).cast("int"))
+    even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
+    unit, quote = F.when(even, F.concat(F.lit("INR "), words)).otherwise("INR"), F.when(even, "").otherwise(F.concat(F.lit("it sold for "), size, F.lit(" or so "), words))
+    n = N.normalized(size, unit, quote, F.lit("sales"))
+    return read(spark, sf_dir, "part").select("p_partkey", n.alias("n")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.scale", "n.currency", "n.explanation")
+
+
+@query("SELECT p_partkey, ([" + _quoted(L.METRIC_ALIASES.values()) + f"])[CAST(p_partkey % {len(L.METRIC_ALIASES)} AS INT) + 1] AS canonical FROM part")
+def metric_aliases(spark, sf_dir):
+    """All names that are known for a metric, in other letters and with blanks around them."""
+    name = F.element_at(F.array(*[F.lit(f" {a.title()} ") for a in L.METRIC_ALIASES]), (F.col("p_partkey") % len(L.METRIC_ALIASES) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", R.canonical_metric(name).alias("canonical"))
+
+
 @query("SELECT o_orderkey, 'FY ' || year(o_orderdate) AS period, CASE WHEN o_orderkey % 3 = 0 THEN 'APR_DEC' WHEN o_orderkey % 3 = 1 THEN 'FULL_YEAR' END AS scope, CASE WHEN o_orderkey % 2 = 0 THEN 'FIRST_ADVANCE_ESTIMATE' ELSE 'SECOND_ADVANCE_ESTIMATE' END AS vintage FROM orders")
 def period_scope_vintage(spark, sf_dir):
     k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
@@ -392,20 +448,29 @@ def header_label(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Candidates of which each kind breaks another rule of the validator."""
-    k = F.col("p_partkey")
+    """Candidates of thirteen kinds: one breaks no rule of the validator (2), each of the others another rule."""
+    k, kinds = F.col("p_partkey"), 13
     size = (F.col("p_size") + 100).cast("string")
-    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (k % 8 + 1).cast("int"))
-    quote = pick("Contents .... 12", "abc", F.concat(F.lit("Revenue was INR "), size, F.lit(" million")), "inflation was seven of", F.concat(F.lit("Revenue of "), size), F.concat(F.lit("Sales: ₹"), size), F.concat(F.lit("Volume was INR "), size, F.lit(" crore")), "see the notes")
-    number = F.when(k % 8 < 7, (F.col("p_size") + 100).cast("double"))
-    metric = pick("Revenue", "Revenue", "Revenue", "Core Inflation", "Revenue", "Total", "Volume", "Policy")
-    unit = pick("", "", "INR million", "", "", "INR", "INR crore", "")
-    value = F.when(k % 8 < 7, size).otherwise("n/a")
-    fails = V.failure_type(value, metric, unit, quote, number, F.when(k % 8 == 6, 0.5).otherwise(0.9), F.lit(0.9))
-    return read(spark, sf_dir, "part").select(k.alias("reject_id"), value.alias("candidate_text"), fails.alias("failure_type"))
+    said = lambda before, after="": F.concat(F.lit(before), size, F.lit(after))
+    rows = [  # quote, metric, unit, value, number
+        ("Contents .... 12", "Revenue", ""), ("abc", "Revenue", ""), (said("Revenue was INR ", " million"), "Revenue", "INR million"), ("inflation was seven of", "Core Inflation", ""), (said("Revenue of "), "Revenue", ""),
+        (said("Sales: ₹"), "Total", "INR"), (said("Volume was INR ", " crore"), "Volume", "INR crore"), ("see the notes", "Policy", ""), (said("as Note ", " says of the books"), "Revenue", "INR million"),
+        (said("", ".10 Growth of output"), "Growth", ""), (said("The rate was cut by ", " bps today"), "Policy Repo Rate", "bps"), (said("Sales came to ₹", " then"), "", "INR"), (said("Volume was INR ", " crore"), "Volume", "INR crore"),
+    ]
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) if isinstance(r[i], str) else r[i] for r in rows]), (k % kinds + 1).cast("int"))
+    value = F.when(k % kinds == 7, "n/a").when(k % kinds == 9, said("", ".10")).otherwise(size)
+    number = F.when(k % kinds == 9, F.col("p_size") + 100.1).when(k % kinds != 7, (F.col("p_size") + 100).cast("double"))
+    fails = V.failure_type(value, pick(1), pick(2), pick(0), number, F.when(k % kinds == 6, 0.5).otherwise(0.9), F.when(k % kinds == 12, 0.3).otherwise(0.9))
+    return read(spark, sf_dir, "part").select(k.alias("reject_id"), value.alias("candidate_text"), fails.alias("failure_type"), V.reason(fails, value, pick(1), pick(2)).alias("rejection_reason"))
+
+
+FAILURES = "CASE p_partkey % 13 WHEN 0 THEN 'NAVIGATION_REFERENCE' WHEN 1 THEN 'INSUFFICIENT_CONTEXT' WHEN 3 THEN 'MISSING_PERCENT_UNIT' WHEN 4 THEN 'MISSING_CURRENCY_UNIT' WHEN 5 THEN 'TABLE_HEADER_WITHOUT_VALUE' WHEN 6 THEN 'LOW_BINDING_CONFIDENCE' WHEN 7 THEN 'INSUFFICIENT_CONTEXT' WHEN 8 THEN 'INVALID_NUMBER_ROLE' WHEN 9 THEN 'SECTION_IDENTIFIER_AS_VALUE' WHEN 10 THEN 'DELTA_SPREAD_AS_LEVEL' WHEN 11 THEN 'VALUE_WITHOUT_METRIC' WHEN 12 THEN 'LOW_CONFIDENCE' END"
 
 
-FAILURES = "CASE p_partkey % 8 WHEN 0 THEN 'NAVIGATION_REFERENCE' WHEN 1 THEN 'INSUFFICIENT_CONTEXT' WHEN 3 THEN 'MISSING_PERCENT_UNIT' WHEN 4 THEN 'MISSING_CURRENCY_UNIT' WHEN 5 THEN 'TABLE_HEADER_WITHOUT_VALUE' WHEN 6 THEN 'LOW_BINDING_CONFIDENCE' WHEN 7 THEN 'INSUFFICIENT_CONTEXT' END"
+@query(f"SELECT reject_id, count(*) FILTER (failure_type IS NOT NULL) OVER (PARTITION BY failure_type) > 0 AS has_reason FROM (SELECT p_partkey AS reject_id, {FAILURES} AS failure_type FROM part)")
+def rejection_reasons(spark, sf_dir):
+    """Every rejected candidate, and no other, has a reason."""
+    return _candidates(spark, sf_dir).select("reject_id", (F.col("rejection_reason").isNotNull() & ~F.contains("rejection_reason", F.lit("{"))).alias("has_reason"))
 
 
 @query(f"SELECT p_partkey AS reject_id, {FAILURES} AS failure_type FROM part")
@@ -413,12 +478,12 @@ def validate_verdict(spark, sf_dir):
     return _candidates(spark, sf_dir).select("reject_id", "failure_type")
 
 
-@query("SELECT b.bucket, count(x.p_partkey) AS n FROM (SELECT unnest(['TABLE_HEADERS', 'BARE_UNITS', 'VALUES_WITHOUT_METRIC', 'NAVIGATION_REFERENCES', 'INVALID_NUMBER_ROLE', 'LOW_BINDING_CONFIDENCE', 'AMBIGUOUS_CLAIMS']) AS bucket) b LEFT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 8 = 6 THEN 'LOW_BINDING_CONFIDENCE' ELSE 'AMBIGUOUS_CLAIMS' END AS bucket FROM part WHERE p_partkey % 8 <> 2) x ON x.bucket = b.bucket GROUP BY b.bucket")
+@query("SELECT b.bucket, count(x.p_partkey) AS n FROM (SELECT unnest(['TABLE_HEADERS', 'BARE_UNITS', 'VALUES_WITHOUT_METRIC', 'NAVIGATION_REFERENCES', 'INVALID_NUMBER_ROLE', 'LOW_BINDING_CONFIDENCE', 'AMBIGUOUS_CLAIMS']) AS bucket) b LEFT JOIN (SELECT p_partkey, CASE p_partkey % 13 WHEN 6 THEN 'LOW_BINDING_CONFIDENCE' WHEN 8 THEN 'INVALID_NUMBER_ROLE' ELSE 'AMBIGUOUS_CLAIMS' END AS bucket FROM part WHERE p_partkey % 13 <> 2) x ON x.bucket = b.bucket GROUP BY b.bucket")
 def ledger_groups(spark, sf_dir):
     return K.ledger_groups(spark, _candidates(spark, sf_dir).where("failure_type is not null"))
 
 
-@query(f"SELECT p_partkey AS reject_id, {FAILURES} AS failure_type FROM part WHERE p_partkey % 8 = 5 ORDER BY p_partkey LIMIT 1")
+@query(f"SELECT p_partkey AS reject_id, {FAILURES} AS failure_type FROM part WHERE p_partkey % 13 IN (5, 9) ORDER BY p_partkey LIMIT 1")
 def failure_case(spark, sf_dir):
     return K.failure_case(_candidates(spark, sf_dir).where("failure_type is not null")).select("reject_id", "failure_type")
 
@@ -457,7 +522,10 @@ def series_align(spark, sf_dir):
     return X.series_candidates(C.nonblank_lines(_report(spark, sf_dir), *X.KEYS), *X.KEYS).select("document_id", "period", "value", "unit")
 
 
-@query()
+@query(YEARS_SQL + """SELECT CAST(y AS VARCHAR) AS document_id, m AS metric, v AS value, u AS unit, p AS period, CAST(x AS DOUBLE) AS normalized_value, nu AS normalized_unit, t AS value_type, b AS binding_method, round(CAST(e AS DOUBLE) * CAST(c AS DOUBLE), 3) AS final_confidence FROM (
+  SELECT y, 'Net Profit' AS m, '₹' || n || ' million' AS v, '₹' AS u, 'FY ' || y AS p, n * 1000000 AS x, 'INR' AS nu, 'MONEY' AS t, 'sentence_direct' AS b, 0.85 AS e, 0.85 AS c FROM s
+  UNION ALL SELECT y, 'Express Parcel Shipment Volume', CAST(n + 3000 AS VARCHAR), 'million parcels', 'FY ' || y, n + 3000, 'million_parcels', 'COUNT', 'table_series_alignment', 0.92, 0.98 FROM s
+  UNION ALL SELECT y, 'Express Parcel Shipment Volume', CAST(u + 3000 AS VARCHAR), 'million parcels', 'FY ' || (y + 1), u + 3000, 'million_parcels', 'COUNT', 'table_series_alignment', 0.92, 0.98 FROM s)""")
 def extract_facts(spark, sf_dir):
     facts, _ = X.extract_facts(_report(spark, sf_dir))
     return facts.select("document_id", "metric", "value", "unit", "period", "normalized_value", "normalized_unit", "value_type", "binding_method", "final_confidence")

@@ -62,7 +62,7 @@ def test_token_estimate_and_grounding(spark):
 
 CHUNKS = [
     ("series", "Express parcel shipment volume (million)\nFY18 FY19 FY20 FY21\n110 152 201 260"),
-    ("stack", "\n".join(["Total income", *(str(100 + i) for i in range(45)), " ".join(f"FY{1950 + i}" for i in range(45))])),
+    ("stack", "\n".join(["Headcount", *(str(100 + i) for i in range(45)), " ".join(f"FY{1950 + i}" for i in range(45))])),
     ("seller", "Harbour Light Holdings 1,250,000 Equity Shares aggregating to ₹625 million"),
     ("columns", "1 2 3 4 5 6 7 8 9 10"),
     ("period", "FY22 brought the first EBITDA above zero."),
@@ -202,13 +202,12 @@ def test_a_case_needs_firm_valid_facts(spark):
     assert [tuple(r) for r in K.cases(e).collect()] == [("CORROBORATES", 1, 92.25)]
 
 
-def answer(text, filename, page):
-    if "dead" in text:
-        raise TimeoutError("line is dead")
-    return json.dumps({"facts": [{"metric": "Sales", "value": 12.5, "unit": "INR crore", "raw_quote": text}]}) if "odd" not in text else "[1]"
-
-
 def test_model_extraction_falls_back(spark, tmp_path):
+    def answer(text, filename, page):
+        if "dead" in text:
+            raise TimeoutError("line is dead")
+        return json.dumps({"facts": [{"metric": "Sales", "value": 12.5, "unit": "INR crore", "raw_quote": text}]}) if "odd" not in text else "[1]"
+
     texts = {"good": ["Sales came to 12.5 crore"], "late": ["Sales of the mill: 3 crore", "the line is dead, net profit was ₹5 million", "Sales again 9 crore"], "odd": ["odd answer"]}
     chunks = spark.createDataFrame([(d, "x.pdf", 1, i, t) for d, some in texts.items() for i, t in enumerate(some)], "document_id string, filename string, page_number int, chunk_index int, text string")
     facts, rejected, modes = A.extract_with_model(chunks, answer, f"{tmp_path}/answers")
@@ -218,14 +217,13 @@ def test_model_extraction_falls_back(spark, tmp_path):
     assert all(r.rejection_reason for r in rejected.collect())
 
 
-def opinion(question):
-    pair = json.loads(question)
-    if pair["a"]["pos"] == 1:
-        raise TimeoutError
-    return json.dumps({"taxonomy_category": "contextual_difference", "confidence_delta": 0.9})
-
-
 def test_model_judges_what_rules_leave_open(spark, tmp_path):
+    def opinion(question):
+        pair = json.loads(question)
+        if pair["a"]["pos"] == 1:
+            raise TimeoutError
+        return json.dumps({"taxonomy_category": "contextual_difference", "confidence_delta": 0.9})
+
     facts = facts_table(spark, [{}, {}, {"period": None}])
     got = {(r.a.pos, r.b.pos): (r.relationship, r.taxonomy, r.confidence) for r in A.judge_with_model(opinion, f"{tmp_path}/said")(P.candidate_pairs(facts)).collect()}
     assert got == {(0, 1): ("CORROBORATES", "CORROBORATES", 0.95), (0, 2): ("RECONCILED", "CONTEXTUAL_DIFFERENCE", 0.9), (1, 2): ("UNRELATED", "UNRELATED", 0.0)}
