@@ -3,12 +3,13 @@
 1. Anchors. In every 100-byte string the 24-gram of smallest hash (the rightmost of equal ones) is its anchor: equal
    strings have equal anchors, so repeats meet under the anchor's hash. Each task sends each distinct pair (anchor,
    context) once, where the context is the text that all strings with this anchor can cover.
-2. Contexts of an anchor that are equal byte for byte: all but the earliest are covered whole. Different contexts of
+2. Contexts of an anchor that are equal (by their hashes): all but the earliest are covered whole. Different contexts of
    an anchor that agree on one side of it may share a string; the earliest of each goes to an index.
 3. Index. The contexts of a bucket of anchors are suffix-sorted; of the Burrows-Wheeler transform only the runs and the
    suffix samples at the run ends are kept. The match length with the lexicographic neighbour is computed at run heads
-   only and streamed over the text (inside a run it falls by one from byte to byte): strings with matching statistics
-   of at least 100 form classes, of which all but the earliest are marked.
+   only; lengths and neighbours are streamed over the text from the samples (inside a run a length falls by one from byte
+   to byte, and the neighbour moves along). Strings with matching statistics of at least 100 are linked with their
+   neighbours into classes, of which all but the earliest are marked.
 4. Contexts of an anchor that has more than HOT_BYTES of them do not meet in one index: each of their strings goes to
    the bucket of its own hash, once a chunk of a task, and all but the earliest place of a string are marked.
 5. The marked stretches of a document are merged and cut out.
@@ -16,7 +17,8 @@
 Hashes are 64 bits (anchors together with contexts or strings 128); index matches compare bytes.
 
 Defined results: a null text is empty; matches never cross documents; a null doc_id comes before all others; rows that
-repeat a doc_id are one document (an equal place in them is no earlier occurrence); an empty table gives no rows.
+repeat a doc_id are one document (an equal place in them is no earlier occurrence); an empty table gives no rows; a very
+long text is treated whole, block by block; other columns are not read.
 """
 
 from __future__ import annotations
@@ -321,7 +323,6 @@ class RunLengthIndex:
         self.heads = before[self.run_starts]
         run_ends = np.append(self.run_starts[1:], self.n) - 1
         self.first_samples, self.last_samples = order[self.run_starts], order[run_ends]
-        self.order = order
         # at a run's head the suffix before it in the order is the last sample of the run before
         one, two = self.first_samples[1:].copy(), self.last_samples[:-1].copy()
         same = np.zeros(len(one), np.int64)
@@ -335,14 +336,25 @@ class RunLengthIndex:
                 x[hit] += 1
         self.matches = np.append(0, same)
 
+    def _sample(self) -> np.ndarray:
+        """For every place the last place up to it that begins a run."""
+        sampled = np.zeros(self.n, np.int64)
+        sampled[self.first_samples] = self.first_samples
+        return np.maximum.accumulate(sampled)
+
     def matching_statistics(self) -> np.ndarray:
         """For every place of the text, the length of its match with the suffix before it, streamed from the samples."""
-        place = np.arange(self.n)
         reach = np.zeros(self.n, np.int64)  # where a sample's match ends
         reach[self.first_samples] = self.first_samples + self.matches
-        sampled = np.zeros(self.n, np.int64)
-        sampled[self.first_samples] = self.first_samples
-        return np.maximum(reach[np.maximum.accumulate(sampled)] - place, 0)
+        return np.maximum(reach[self._sample()] - np.arange(self.n), 0)
+
+    def neighbours(self) -> np.ndarray:
+        """For every place of the text, the suffix before it in the order (-1 for the first), streamed from the samples."""
+        before = np.full(self.n, -1, np.int64)
+        before[self.first_samples[1:]] = self.last_samples[:-1]
+        sample = self._sample()
+        base = before[sample]
+        return np.where(base < 0, -1, base + np.arange(self.n) - sample)
 
 
 def repeats(docs: np.ndarray, lo: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -354,10 +366,12 @@ def repeats(docs: np.ndarray, lo: np.ndarray, bodies: list[bytes]) -> tuple[np.n
     owner = np.repeat(np.arange(len(bodies)), sizes)
     number = np.unique(docs, return_inverse=True)[1]
     place = (number[owner].astype(np.int64) << 32) + lo[owner] + np.arange(index.n) - begins[owner]
-    in_order = ~long[index.order]
-    first = np.minimum.reduceat(place[index.order], np.flatnonzero(in_order))
-    marked = np.zeros(index.n, bool)
-    marked[index.order] = place[index.order] > first[np.cumsum(in_order) - 1]
+    root = np.where(long, index.neighbours(), np.arange(index.n))
+    while not np.array_equal(root, further := root[root]):  # the head of each class, in doubling steps
+        root = further
+    first = np.full(index.n, np.iinfo(np.int64).max)
+    np.minimum.at(first, root, place)
+    marked = place > first[root]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]]).view(np.int8)))
     starts, stops = edge[0::2], edge[1::2]
     at = lo[owner[starts]] + starts - begins[owner[starts]]

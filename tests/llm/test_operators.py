@@ -643,9 +643,14 @@ def test_run_length_index_streams_true_match_lengths():
     index = RunLengthIndex(texts)
     ends = np.cumsum([len(t) + 1 for t in texts])
     rest = [b"".join(t + b"\0" for t in texts)[i : ends[np.searchsorted(ends, i, side="right")] - 1] for i in range(index.n)]
-    before = dict(zip(index.order[1:].tolist(), index.order[:-1].tolist(), strict=True))
-    ms = index.matching_statistics()
-    for i, j in before.items():
+    # suffixes in order: an end mark is less than all bytes, and the marks differ
+    order = sorted(range(index.n), key=lambda i: (rest[i] + b"\0", i))
+    ms, before = index.matching_statistics(), index.neighbours().tolist()
+    assert sorted(before) == sorted([-1, *(i for i in range(index.n) if i != order[-1])])
+    assert all(rest[j] <= rest[i] for i, j in enumerate(before) if j >= 0)
+    for i, j in enumerate(before):
+        if j < 0:
+            continue
         n = 0
         while n < min(len(rest[i]), len(rest[j])) and rest[i][n] == rest[j][n]:
             n += 1
