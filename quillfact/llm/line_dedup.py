@@ -51,8 +51,9 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     doc, places = (free_name(c, docs.columns) for c in ("__doc", "__cut"))
     cut = cut.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("pos").alias(places))
     parts = F.split("text", "\n", -1)
-    # array_except hashes, so that many lines of which many go are no square
-    left = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.transform(F.col(places), lambda i: i + 1))
-    kept = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(parts, i)), "\n"))
+    # array_except hashes, so that many lines of which many go are no square; the lines are bound once, not split for each of them
+    left = lambda p: F.array_except(F.sequence(F.lit(1), F.size(p)), F.transform(F.col(places), lambda i: i + 1))
+    rest = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(left(p), lambda i: F.element_at(p, i)), "\n")), 1)
+    kept = F.when(F.col(places).isNull(), F.col("text")).otherwise(rest)
     out = docs.join(cut, docs["doc_id"].cast("long") == F.col(doc), "left")
     return out.select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size(F.col(places)), F.lit(0)).cast("long").alias("__n_removed"))
