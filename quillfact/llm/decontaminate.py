@@ -27,6 +27,8 @@ from quillfact.llm import bytetext as B
 from quillfact.llm.common import arrow_batches, settle
 
 WINDOW, NEAR, GAP = 10, 20, 64
+#: Bytes of texts in a segment.
+SEGMENT_BYTES = 1_000_000
 #: Items, and bytes of their texts, that are sent to the tasks at a time; a larger test set is searched block by block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 5_000_000
 SEGMENT = "row_id long, doc_ids binary, null_ids binary, bases binary, n_words binary, terms binary, counts binary, postings binary"
@@ -62,7 +64,7 @@ class Queries:
 def _build(batches):
     """A segment for each chunk of documents."""
     row = TaskContext.get().partitionId() << 33
-    for ids, bodies in B.chunks(batches, 2):
+    for ids, bodies in B.chunks(batches, 2, SEGMENT_BYTES):
         buf, begins = B.joined(bodies)
         starts, ends, first = B.words(buf, begins, B.ALNUM)
         hashed, per_doc = B.hashes(B.running(buf), starts, ends), np.diff(first)

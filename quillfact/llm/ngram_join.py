@@ -40,6 +40,8 @@ FREQUENT = 2
 #: Frequent shingles that shape the order, at most (at 9 bytes each in every task): whole frequency classes from the top.
 ORDERED = 1 << 20
 CLASS_BITS = np.uint64(6)
+#: Bytes of texts that a task hashes at a time, and within which shingles are counted.
+CHUNK_BYTES, COUNT_BYTES = 1_500_000, 4_000_000
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4"), ("need", "<i4")])
 FINISH = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of postings that meet in one bucket, on average.
@@ -80,25 +82,33 @@ SETS = "doc_id long, n long, s1 long, s2 long, tokens binary, counts binary"
 
 
 def _sets(batches):
-    """A row per document (size and 128-bit hash of its set), and per chunk one row with its frequent shingles."""
+    """A row per document (size and 128-bit hash of its set), and per COUNT_BYTES of texts one row with their frequent shingles."""
     names = [x.split()[0] for x in SETS.split(", ")]
-    for ids, bodies in B.chunks(batches, 2):
-        hashed, begins = shingles(bodies)
-        parts = [np.unique(hashed[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-        sums = [(int(p.sum()), int((p ^ (p >> np.uint64(7)) * FINISH).sum())) for p in parts]
-        one = np.sort(np.concatenate([*dict(zip(sums, parts, strict=True)).values()]))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    held: dict[tuple[int, int], np.ndarray] = {}
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        one = np.sort(np.concatenate([*held.values(), np.zeros(0, np.uint64)]))
         edge = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])) if len(one) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(one)))
         tokens, count = one[edge][count >= FREQUENT], count[count >= FREQUENT].astype(np.int32)
-        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([tokens.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names)
+
+    for ids, bodies in B.chunks(batches, 2, CHUNK_BYTES):
+        hashed, begins = shingles(bodies)
+        parts = [np.unique(hashed[a:b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+        sums = [(int(p.sum()), int((p ^ (p >> np.uint64(7)) * FINISH).sum())) for p in parts]
         k = len(ids)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*ids, None], pa.int64()), pa.array([*map(len, parts), None], pa.int64()), pa.array([*(signed(a % 2**64) for a, _ in sums), None], pa.int64()),
-                pa.array([*(signed(b % 2**64) for _, b in sums), None], pa.int64()), pa.array([None] * k + [tokens.tobytes()], pa.binary()), pa.array([None] * k + [count.tobytes()], pa.binary()),
-            ],
-            names,
-        )
+        cols = [pa.array(ids, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), *(pa.array([signed(x[i] % 2**64) for x in sums], pa.int64()) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
+        held |= zip(sums, parts, strict=True)
+        size += sum(map(len, bodies))
+        if size >= COUNT_BYTES:
+            yield counted()
+            held, size = {}, 0
+    if held:
+        yield counted()
 
 
 def _frequent(batches):
@@ -123,7 +133,7 @@ def _postings(frequent, buckets: int):
     def run(batches):
         tokens, classes = frequent.value
         seen: set[tuple[int, int]] = set()
-        for salt, (ids, bodies) in enumerate(B.chunks(batches, 2)):
+        for salt, (ids, bodies) in enumerate(B.chunks(batches, 2, CHUNK_BYTES)):
             hashed, begins = shingles(bodies)
             hashed = ordered(hashed, tokens, classes)
             some = []
@@ -170,7 +180,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _token_lists(batches):
-    for ids, bodies in B.chunks(batches, 2):
+    for ids, bodies in B.chunks(batches, 2, CHUNK_BYTES):
         hashed, begins = shingles(bodies)
         parts = [np.unique(hashed[a:b]).view(np.int64) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32), np.concatenate(parts))], ["doc", "tokens"])
@@ -191,7 +201,7 @@ BITS = "doc long, n int, bits array<long>, brief array<long>"
 def _bits(batches):
     """Per document the size of its set and a bitmap: which of some buckets (a power of two, at least the size) hold an odd
     number of its shingles; brief is the same, folded to BRIEF bits at most."""
-    for ids, bodies in B.chunks(batches, 2):
+    for ids, bodies in B.chunks(batches, 2, CHUNK_BYTES):
         hashed, begins = shingles(bodies)
         sizes, maps, briefs = [], [], []
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):

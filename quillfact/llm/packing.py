@@ -294,6 +294,7 @@ def _tokens(path: str, kind: str):
                 df[np.unique(x)] += 1
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.nulls(n, pa.binary())], names)
+        encoder._forget()  # the worker serves other stages next
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], names)
 
     return run
