@@ -199,14 +199,14 @@ BITS = "doc long, n int, bits array<long>, brief array<long>"
 
 
 def _bits(batches):
-    """Per document the size of its set and a bitmap: which of some buckets (a power of two, at least the size) hold an odd
+    """Per document the size of its set and a bitmap: which of some buckets (a power of two, at least four times the size) hold an odd
     number of its shingles; brief is the same, folded to BRIEF bits at most."""
     for ids, bodies in B.chunks(batches, 2, CHUNK_BYTES):
         hashed, begins = shingles(bodies)
         sizes, maps, briefs = [], [], []
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             one = np.unique(hashed[a:b])
-            width = max(64, 1 << max(len(one) - 1, 0).bit_length())
+            width = max(256, 4 << max(len(one) - 1, 0).bit_length())
             odd = np.bincount((one & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
             sizes.append(len(one))
             for out, some in ((maps, odd), (briefs, np.bitwise_xor.reduce(odd.reshape(-1, min(width, BRIEF))))):
@@ -233,7 +233,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def verified(source: DataFrame, pairs: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are similar enough. Bitmaps of an eighth of a byte a shingle rule out
+    """The pairs (a, b) of documents whose sets are similar enough. Bitmaps of half a byte a shingle or more rule out
     almost all others (they bound the difference of two sets, so no link is lost); whole sets are compared of the rest."""
     maps = maps or settle(_of_documents(source, _ends(pairs)).mapInArrow(_bits, BITS))
     one, two = (maps.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab")
