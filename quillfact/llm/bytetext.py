@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: One random 64-bit value for each byte, and an odd base with its inverse modulo 2**64.
@@ -13,6 +16,9 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Multipliers by which the words of a shingle are added up.
 SHINGLE_KEYS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Powers that a worker keeps between tasks; a very long text makes more for itself.
+KEPT_POWERS = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = np.ones(1, np.uint64)
 _unpowers = np.ones(1, np.uint64)
 
@@ -29,6 +35,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _unpowers[:n]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, beside those of other stages."""
+    global _powers, _unpowers
+    if len(_powers) > KEPT_POWERS:
+        _powers, _unpowers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * MIX
@@ -90,3 +106,5 @@ def chunks(batches, columns: int, most_bytes: int = 4_000_000):
                 held, size = [[] for _ in range(columns)], 0
     if held[0]:
         yield held
+    held = None
+    release()

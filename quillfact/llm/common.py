@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a single-column id table that may be broadcast (about 64 MB in executors); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rows in one Arrow batch: whole texts are long, so batches stay small.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch: whole texts are long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,9 +50,10 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of text columns by rows, so that a Python worker holds a few MB at a time."""
+    """Bound the Arrow batches of text columns by rows and bytes, so that a Python worker holds a few MB at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -28,7 +28,7 @@ from quillfact.llm.common import arrow_batches, settle
 
 WINDOW, NEAR, GAP = 10, 20, 64
 #: Bytes of texts in a segment.
-SEGMENT_BYTES = 1_000_000
+SEGMENT_BYTES = 750_000
 #: Items, and bytes of their texts, that are sent to the tasks at a time; a larger test set is searched block by block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 5_000_000
 SEGMENT = "row_id long, doc_ids binary, null_ids binary, bases binary, n_words binary, terms binary, counts binary, postings binary"

@@ -41,7 +41,7 @@ FREQUENT = 2
 ORDERED = 1 << 20
 CLASS_BITS = np.uint64(6)
 #: Bytes of texts that a task hashes at a time, and within which shingles are counted.
-CHUNK_BYTES, COUNT_BYTES = 1_500_000, 4_000_000
+CHUNK_BYTES, COUNT_BYTES = 750_000, 4_000_000
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4"), ("need", "<i4")])
 FINISH = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of postings that meet in one bucket, on average.

@@ -43,7 +43,7 @@ SHARD_IDS = 500_000
 QUERY_TERMS = 24
 K1, LENGTH_B = 1.2, 0.75
 #: Distinct pieces that a worker remembers (a power of two), before it starts afresh.
-CACHE_SLOTS = 1 << 20
+CACHE_SLOTS = 1 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Fixed value: the vocabulary's special token.
 SPECIAL = "<|endoftext|>"
@@ -84,9 +84,11 @@ class Encoder:
             cls._at[path] = cls(path)
         return cls._at[path]
 
-    def _forget(self) -> None:
+    def _forget(self, need: int = 0) -> None:
+        """Start afresh, with room for as many pieces (those of a very long text may be more than CACHE_SLOTS)."""
+        slots = max(CACHE_SLOTS, 1 << need.bit_length())
         self.known = 0
-        self.table, self.numbers = np.zeros(4 * CACHE_SLOTS, np.uint64), np.zeros(4 * CACHE_SLOTS, np.int32)
+        self.table, self.numbers = np.zeros(4 * slots, np.uint64), np.zeros(4 * slots, np.int32)
         self.offsets, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint32)
         self.used = 0
 
@@ -169,7 +171,7 @@ class Encoder:
         np.cumsum(self.keys[codes] * up[:-1], out=run[1:])
         numbers, distinct = pd.factorize(B.mixed((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
         if self.known + len(distinct) > CACHE_SLOTS:
-            self._forget()
+            self._forget(len(distinct))
         slots = self._find(distinct)
         new = np.flatnonzero(slots < 0)
         if len(new):
@@ -288,7 +290,7 @@ def _tokens(path: str, kind: str):
         encoder = Encoder.of(path)
         df = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
         names = [x.split()[0] for x in TOKENS.split(", ")]
-        for docs, bodies in B.chunks(batches, 2, 1_500_000):
+        for docs, bodies in B.chunks(batches, 2, 750_000):
             ids = [np.append(x, np.uint32(0)) for x in encoder.encode([b.decode(errors="replace") for b in bodies])]
             for x in ids:
                 df[np.unique(x)] += 1

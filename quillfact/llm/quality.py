@@ -69,7 +69,7 @@ def features(bodies: list[bytes]) -> np.ndarray:
 
 
 def _featured(batches):
-    for ids, bodies in B.chunks(batches, 2, 1_000_000):
+    for ids, bodies in B.chunks(batches, 2, 750_000):
         x = features(bodies).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "x"])
 
