@@ -275,6 +275,17 @@ def test_packing(spark, docs):
     assert pack(table(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_encodes_more_pieces_than_it_remembers(monkeypatch):
+    from quillfact.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_SLOTS", 16)
+    encoder, rnd = packing.Encoder(TOKENIZER), random.Random(3)
+    for size in (5, 400, 7, 30):
+        texts = [" ".join("".join(rnd.choice("abcdef") for _ in range(6)) for _ in range(size)) for _ in range(2)]
+        got = encoder.encode(texts)
+        assert [x.tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_prefers_neighbours():
     from quillfact.llm.packing import pack_tails, statistics_of
 
