@@ -27,20 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/quillfact-{context.applicationId}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, nothing is computed twice,
-    and the table outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (a new one, or path) and read it back: lineage is cut, nothing is computed
+    twice, and the table outlives any executor. by: a column whose values get folders of their own."""
+    path = path or new_folder(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all tables that settle has written; to be called when no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled; no result that reads them may be used afterwards."""
+    delete(spark, shared_dir(spark))
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, lengthened until no column (upper and lower case are equal) has it."""
     held = {c.lower() for c in taken}

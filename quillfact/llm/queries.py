@@ -79,6 +79,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.filter_audit import audit
+
+    return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.resampling import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Letters, digits and all non-ASCII characters.
@@ -121,9 +133,38 @@ h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_filter_audit": rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, unnest([
+    {{'x': 'A', 'fails': len(w) < 200}}, {{'x': 'B', 'fails': 100 * len(list_distinct(w)) < 50 * len(w)}}, {{'x': 'C', 'fails': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text)}},
+    {{'x': 'D', 'fails': regexp_matches(text, '[#$%&*|]')}}, {{'x': 'E', 'fails': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)}}], recursive := true), doc_id, row_number() OVER () AS r FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, coalesce(string_agg(x, '' ORDER BY x) FILTER (fails), '') AS fails FROM f GROUP BY r, part, good, toxic),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE length(o) < 5 AND NOT contains(o, x)),
+s AS (SELECT o AS filter_order, step::INTEGER AS step, o[step] AS x, left(o, step - 1) AS before FROM o, range(1, 6) r(step) WHERE length(o) = 5),
+g AS (SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS fails, fails = x AS alone, before <> '' AND regexp_matches(fails, '[' || before || 'x]') AS gone FROM n, s),
+c AS (SELECT part, filter_order, step, x, count(*) AS masks, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost
+  FROM g GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM c""",
+    "op13_resampling": rf"""WITH RECURSIVE k AS (SELECT i AS i, 0 AS step, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM k WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS crc FROM k WHERE step = 8),
+d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d),
+y AS (SELECT g, count(*) AS s, 0 AS t FROM x GROUP BY g UNION ALL SELECT g, 0, count(*) FROM (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM b) GROUP BY g),
+z AS (SELECT g, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t, hex(encode(g)) AS h FROM y GROUP BY g),
+v AS (SELECT g, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ((strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1)::BIGINT)), lambda a, e: xor(a >> 8, crc[(xor(a, e) & 255) + 1])), 4294967295) % 10000 AS bucket FROM z, crc),
+u AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM v GROUP BY bucket),
+n AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM u) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM u) + 10000)::DOUBLE)))::BIGINT AS gain FROM u),
+e AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM x JOIN v USING (g) JOIN n USING (bucket) GROUP BY doc_id),
+q AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || left(sha256('7:' || doc_id), 8))::BIGINT AS h FROM d LEFT JOIN e USING (doc_id)),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM q),
+a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM a) // 100 THEN rank END AS rank FROM r LEFT JOIN a USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op8_html_extract, op9_decontaminate, op9_proximity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op8_html_extract, op9_decontaminate, op9_proximity, op10_suffix_dedup, op11_filter_audit, op13_resampling)}
 
 
 def queries() -> dict:
