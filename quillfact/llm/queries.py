@@ -85,6 +85,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillfact.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillfact.llm.resampling import resample
 
@@ -164,7 +170,7 @@ a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FRO
 SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM a) // 100 THEN rank END AS rank FROM r LEFT JOIN a USING (doc_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op8_html_extract, op9_decontaminate, op9_proximity, op10_suffix_dedup, op11_filter_audit, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality, op4_exact_dedup, op5_chat_format, op6_packing, op7_ngram_join, op8_html_extract, op9_decontaminate, op9_proximity, op10_suffix_dedup, op11_filter_audit, op12_embedding_dedup, op13_resampling)}
 
 
 def queries() -> dict:
