@@ -2,53 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfact.sources.scratch import release, settle, shared_dir  # noqa: F401
+
 #: Rows of a single-column id table that may be broadcast (about 64 MB in executors); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rows and bytes in one Arrow batch: whole texts are long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder that all executors share (spark.checkpoint.dir). Where the session names none,
-    a local master gets a temporary folder; on a cluster that is an error, for executors would write to their own disks."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        path = tempfile.mkdtemp(prefix="quillfact-")
-        context.setCheckpointDir(path)
-    return f"{path.rstrip('/')}/quillfact-{context.applicationId}"
-
-
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder (a new one, or path) and read it back: lineage is cut, nothing is computed
-    twice, and the table outlives any executor. by: a column whose values get folders of their own."""
-    path = path or new_folder(df.sparkSession)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this application has settled; no result that reads them may be used afterwards."""
-    delete(spark, shared_dir(spark))
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """name, lengthened until no column (upper and lower case are equal) has it."""
     held = {c.lower() for c in taken}

@@ -1,8 +1,8 @@
 """Target-distribution importance resampling over a dictionary of the distinct n-gram strings of the corpus.
 
-1. Texts are taken in chunks. A chunk numbers its words and word pairs, so each distinct string is held once; its
-   documents keep the numbers of their distinct features, with counts. The strings go to shards of the dictionary, in
-   blobs by shard.
+1. Texts are taken in chunks. A chunk numbers its words and word pairs as they first occur, so each distinct string is
+   held once; its documents keep the numbers of their distinct features, with counts. The strings go to shards of the
+   dictionary, in blobs by shard; the documents' counts pass through the same shuffle beside them.
 2. A shard counts each string over all chunks, of documents and of target texts, and hashes each distinct string once.
    It sends every chunk the buckets of the chunk's strings, in the order in which they came, and the sums of its strings
    by bucket.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfact.llm import bytetext as B
-from quillfact.llm.common import arrow_batches, delete, new_folder, settle
+from quillfact.llm.common import arrow_batches, settle
 
 BUCKETS = 10_000
 #: Bytes of texts whose strings are numbered together.
@@ -42,18 +42,20 @@ MIN_WORDS, SHARE, SEED = 20, 25, 7
 #: Slices of doc_ids within a score, when documents are ranked.
 SLICES = 256
 
-SENT = "kind int, chunk long, shard int, target boolean, strings binary, counts binary, doc_ids array<long>, words array<int>, sizes array<long>"
-CODEC = pa.Codec("zstd", 1)
+#: route: the shard of strings; of a chunk's documents a number below 0.
+SENT = "route long, chunk long, target boolean, strings binary, counts binary, shards binary, doc_ids array<long>, words array<int>, sizes array<long>"
+CODEC = pa.Codec("zstd", 3)
 
 
-def packed(x: np.ndarray | bytes) -> bytes:
-    """Compressed bytes, after their length."""
-    raw = x if isinstance(x, bytes) else x.tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, compressed byte plane by byte plane, after their length."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
     return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
 
 
-def unpacked(blob: bytes) -> memoryview:
-    return memoryview(CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little")))
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little")), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def slots(texts: list[bytes]):
@@ -85,42 +87,45 @@ def chunk_features(texts: list[bytes]):
     feature, owner = np.concatenate([number, v + pair]), np.concatenate([text, text[1:][together]])
     f = len(hashed)
     counts = np.bincount(feature, minlength=f)
-    held, times = np.unique(owner * np.int64(max(f, 1)) + feature, return_counts=True)
+    held = np.unique(owner * np.int64(max(f, 1)) + feature) % max(f, 1)
+    first = np.empty(f, np.int64)
+    first[held[::-1]] = np.arange(len(held))[::-1]  # the document's place in which a feature is held first
+    order = np.argsort(first, kind="stable")
+    number = np.empty(f, np.int64)
+    number[order] = np.arange(f)
+    held, times = np.unique(owner * np.int64(max(f, 1)) + number[feature], return_counts=True)
     sizes = np.bincount(held // max(f, 1), minlength=len(texts))
-    return pa.concat_arrays([strings, both.cast(pa.binary())]), hashed, counts, sizes, held % max(f, 1), times, n_words
+    return pa.concat_arrays([strings, both.cast(pa.binary())]).take(pa.array(order)), hashed[order], counts[order], sizes, held % max(f, 1), times, n_words
 
 
 def _send(shards: int, target: bool):
-    """Rows of kind 0: a chunk's strings of one shard, with counts. Rows of kind 1: the documents of a chunk, with the numbers
-    of their distinct features (ascending, as differences) and counts in place of strings and counts."""
+    """A chunk's strings by shard, with counts, and a row of its documents: the numbers of their distinct features (ascending
+    in each, as differences) and counts in place of strings and counts, and the shard of each of the chunk's strings."""
     names = [x.split()[0] for x in SENT.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    narrow = np.min_scalar_type(shards)
 
     def run(batches):
         for ids, texts in B.chunks(batches, 2, CHUNK_BYTES):
-            chunk = uuid.uuid4().int >> 65  # the table that is written holds one attempt of a task
+            chunk = uuid.uuid4().int >> 65
             strings, hashed, counts, sizes, held, times, n_words = chunk_features(texts)
             shard = (hashed % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")  # features are numbered by shard, as their buckets will come back
             if not target:
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                again = np.lexsort((place[held], np.repeat(np.arange(len(sizes)), sizes)))
-                held, times = place[held][again], times[again]
                 first = (np.cumsum(sizes) - sizes)[sizes > 0]
                 step = np.diff(held, prepend=0)
                 step[first] = held[first]
-                yield batch_of([(1, chunk, None, None, packed(step.astype(np.uint32)), packed(times.astype(np.uint32)), ids, n_words.tolist(), sizes.tolist())])
-            if not len(order):
+                yield batch_of([(-1 - chunk, chunk, None, packed(step.astype(np.uint32)), packed(times.astype(np.uint32)), packed(shard.astype(narrow)), ids, n_words.tolist(), sizes.tolist())])
+            if not len(shard):
                 continue
+            order = np.argsort(shard, kind="stable")
             strings, counts, shard = strings.take(pa.array(order)), counts[order].astype(np.uint32), shard[order]
             offsets, data = (np.frombuffer(x, t) for x, t in zip(strings.buffers()[1:], (np.int32, np.uint8), strict=True))
             edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).tolist()
             rows = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 blob = packed(np.diff(offsets[a : b + 1]).astype(np.uint32))
-                rows.append((0, chunk, int(shard[a]), target, len(blob).to_bytes(8, "little") + blob + packed(data[offsets[a] : offsets[b]]), packed(counts[a:b]), None, None, None))
+                rows.append((int(shard[a]), chunk, target, len(blob).to_bytes(8, "little") + blob + packed(data[offsets[a] : offsets[b]]), packed(counts[a:b]), None, None, None, None))
                 if len(rows) == 64:
                     yield batch_of(rows)
                     rows = []
@@ -130,20 +135,28 @@ def _send(shards: int, target: bool):
     return run
 
 
-ROUTED = "chunk long, shard int, buckets binary, sums array<struct<bucket: int, s: long, t: long>>"
+ROUTED = "chunk long, shard long, buckets binary, sums array<struct<bucket: int, s: long, t: long>>, strings binary, counts binary, shards binary, doc_ids array<long>, words array<int>, sizes array<long>"
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One shard: each distinct string's counts and bucket; rows with the buckets of each chunk's strings, one row of sums."""
-    chunks, targets, shard = table.column("chunk").to_pylist(), table.column("target").to_pylist(), table.column("shard")[0].as_py()
+    """One shard: each distinct string's counts and bucket; rows with the buckets of each chunk's strings, one row of sums. The
+    documents of a chunk pass as they are."""
+    names = ["chunk", "shard", "buckets", "sums", "strings", "counts", "shards", "doc_ids", "words", "sizes"]
+    sums_type = pa.list_(pa.struct([("bucket", pa.int32()), ("s", pa.int64()), ("t", pa.int64())]))
+    shard = table.column("route")[0].as_py()
+    if shard < 0:
+        k = table.num_rows
+        none = [pa.nulls(k, t) for t in (pa.int64(), pa.binary(), sums_type)]
+        return pa.table([table.column("chunk"), *none, *(table.column(c) for c in names[4:])], names)
+    chunks, targets = table.column("chunk").to_pylist(), table.column("target").to_pylist()
     parts, sizes, counts = [], [], []
     for blob, count in zip(table.column("strings").to_pylist(), table.column("counts").to_pylist(), strict=True):
         head = int.from_bytes(blob[:8], "little")
-        lengths = np.frombuffer(unpacked(blob[8 : 8 + head]), np.uint32)
+        lengths = unpacked(blob[8 : 8 + head], np.uint32)
         offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-        parts.append(pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(bytes(unpacked(blob[8 + head :])))]))
+        parts.append(pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(unpacked(blob[8 + head :], np.uint8))]))
         sizes.append(len(lengths))
-        counts.append(np.frombuffer(unpacked(count), np.uint32))
+        counts.append(unpacked(count, np.uint32))
     coded = pa.concat_arrays(parts).dictionary_encode()
     code, strings = coded.indices.to_numpy(), coded.dictionary
     bucket = np.fromiter((zlib.crc32(x) for x in strings.to_pylist()), np.int64, len(strings)) % BUCKETS
@@ -153,20 +166,24 @@ def _count(table: pa.Table) -> pa.Table:
     some = np.flatnonzero(sums[0] + sums[1])
     total = [{"bucket": b, "s": s, "t": t} for b, s, t in zip(some.tolist(), sums[0][some].tolist(), sums[1][some].tolist(), strict=True)]
     edges = np.append(0, np.cumsum(sizes)).tolist()
-    back = [(c, shard, packed(of[a:b].astype(np.uint16)), None) for c, a, b, t in zip(chunks, edges[:-1], edges[1:], targets, strict=True) if not t]
-    rows = list(zip(*[*back, (None, shard, None, total)], strict=True))
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("bucket", pa.int32()), ("s", pa.int64()), ("t", pa.int64())]))]
-    return pa.table([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [x.split()[0] for x in ("chunk", "shard", "buckets", "sums")])
+    rows = [(c, shard, packed(of[a:b].astype(np.uint16)), None) for c, a, b, t in zip(chunks, edges[:-1], edges[1:], targets, strict=True) if not t]
+    rows.append((None, shard, None, total))
+    k = len(rows)
+    routed = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), sums_type), strict=True)]
+    return pa.table([*routed, *(pa.nulls(k, table.schema.field(c).type) for c in names[4:])], names)
 
 
-def _weigh(gains: np.ndarray):
+def _weigh(gains: np.ndarray, shards: int):
+    narrow = np.min_scalar_type(shards)
     names = ["doc_id", "n_words", "n_features", "weight"]
 
     def run(batches):
         for batch in batches:
-            for ids, words, sizes, step, times, routed in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                bucket = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(unpacked(r["buckets"]), np.uint16) for r in routed or [])])
-                step, times = (np.frombuffer(unpacked(x), np.uint32).astype(np.int64) for x in (step, times))
+            for ids, words, sizes, step, times, shard, routed in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                back = np.concatenate([np.zeros(0, np.uint16), *(unpacked(r["buckets"], np.uint16) for r in routed or [])])
+                bucket = np.empty_like(back)
+                bucket[np.argsort(unpacked(shard, narrow), kind="stable")] = back
+                step, times = (unpacked(x, np.uint32).astype(np.int64) for x in (step, times))
                 sizes = np.array(sizes, np.int64)
                 row, run_ = np.repeat(np.arange(len(sizes)), sizes), np.append(0, np.cumsum(step))
                 held = run_[1:] - np.repeat(run_[np.cumsum(sizes) - sizes], sizes)
@@ -193,16 +210,14 @@ def weights(docs: DataFrame, targets: DataFrame) -> DataFrame:
     source, goal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body), targets.select(F.lit(0).cast("long").alias("doc_id"), body)
     size = source.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(-(-size // SHARD_BYTES), 1)
-    folder = new_folder(spark)
-    sent = settle(source.mapInArrow(_send(shards, False), SENT).unionByName(goal.mapInArrow(_send(shards, True), SENT)), folder, by="kind")
-    routed = settle(sent.where("kind = 0").select("chunk", "shard", "target", "strings", "counts").groupBy("shard").applyInArrow(_count, ROUTED))
-    delete(spark, f"{folder}/kind=0")  # all strings are counted
+    sent = source.mapInArrow(_send(shards, False), SENT).unionByName(goal.mapInArrow(_send(shards, True), SENT))
+    routed = settle(sent.groupBy("route").applyInArrow(_count, ROUTED))
     gains = np.zeros(BUCKETS, np.int64)
     for bucket, gain in bucket_gains(routed.where("sums is not null").select(F.inline("sums"))).collect():  # BUCKETS rows at most
         gains[bucket] = gain
     back = routed.where("buckets is not null").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("shard", "buckets"))).alias("routed"))
-    held = sent.where("kind = 1").select("chunk", "doc_ids", "words", "sizes", "strings", "counts")
-    return held.join(back, "chunk", "left").select("doc_ids", "words", "sizes", "strings", "counts", "routed").mapInArrow(_weigh(gains), "doc_id long, n_words long, n_features long, weight long")
+    held = routed.where("sizes is not null").select("chunk", "doc_ids", "words", "sizes", "strings", "counts", "shards")
+    return held.join(back, "chunk", "left").select("doc_ids", "words", "sizes", "strings", "counts", "shards", "routed").mapInArrow(_weigh(gains, shards), "doc_id long, n_words long, n_features long, weight long")
 
 
 def ranked(scored: DataFrame, share: int = SHARE, min_words: int = MIN_WORDS) -> DataFrame:
