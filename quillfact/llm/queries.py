@@ -106,10 +106,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED = r"[^\x20\x09-\x0D]+"
 
 LINE_DEDUP_SQL = """
-, l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {docs}),
+, d AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM {docs}),
+l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 b AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('=' || source, '')) >= 10),
-m AS (SELECT l.doc_id, l.line, l.pos, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS cut FROM l LEFT JOIN b ON l.line = b.line),
-k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS text FROM m GROUP BY doc_id)
+m AS (SELECT l.r, l.doc_id, l.line, l.pos, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS cut FROM l LEFT JOIN b ON l.line = b.line),
+k AS (SELECT r, doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS text FROM m GROUP BY r, doc_id)
 """
 
 ORACLE_SQL = {
