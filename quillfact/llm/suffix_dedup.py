@@ -17,8 +17,9 @@
 Hashes are 64 bits (anchors together with contexts or strings 128); index matches compare bytes.
 
 Defined results: a null text is empty; matches never cross documents; a null doc_id comes before all others; rows that
-repeat a doc_id are one document (an equal place in them is no earlier occurrence); an empty table gives no rows; a very
-long text is treated whole, block by block; other columns are not read.
+repeat a doc_id (or have none) are documents of their own, in the order of their texts' SHA-256, so a string of one is
+removed only where an earlier one has it; an empty table gives no rows; a very long text is treated whole, block by block;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
 #: A string of LENGTH reaches at least this far to one side of its anchor.
 HALF = (LENGTH - GRAM) // 2
-LEAST = -(2**63)
 #: Window starts that are looked at together; the low bits of a key hold the place in such a block.
 BLOCK, PLACE_BITS = 1 << 16, np.uint64(20)
 RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("left", "u1"), ("right", "u1"), ("before", "<u4"), ("after", "<u4")])
+#: Bytes of texts whose records meet in one bucket, on average.
+BUCKET_BYTES = 8_000_000
 #: Bytes of contexts in an index, on average.
 INDEX_BYTES = 250_000
 #: Bytes of an anchor's contexts beyond which its strings are dealt by their own hashes instead of to one index.
@@ -128,7 +130,7 @@ def _send(buckets: int):
             doc = np.searchsorted(begins, at, side="right") - 1
             records = np.empty(len(at), RECORD)
             records["anchor"], records["context"] = grams, contexts
-            records["doc"], records["at"] = np.array([LEAST if x is None else x for x in ids], np.int64)[doc], at - begins[doc]
+            records["doc"], records["at"] = np.array(ids, np.int64)[doc], at - begins[doc]
             records["left"], records["right"] = at - lo, hi - at
             records["before"], records["after"] = before & np.uint64(0xFFFFFFFF), after & np.uint64(0xFFFFFFFF)
             # of a context that repeats within the chunk only the earliest is sent, the others are covered
@@ -416,16 +418,29 @@ def _joined_texts(source: DataFrame, stretches: DataFrame, rest: bool) -> DataFr
     got = source.join(ids, "doc", "left_semi").join(stretches, "doc")
     if not rest:
         return got.select("doc", "body", "stretches")
-    return got.select("doc", "body", "stretches").unionByName(source.join(ids, "doc", "left_anti").withColumn("stretches", F.lit(None).cast(stretches.schema["stretches"].dataType))) if few else source.join(stretches, "doc", "left").select("doc", "body", "stretches")
+    return got.select("doc_id", "body", "stretches").unionByName(source.join(ids, "doc", "left_anti").select("doc_id", "body", F.lit(None).cast(stretches.schema["stretches"].dataType).alias("stretches"))) if few else source.join(stretches, "doc", "left").select("doc_id", "body", "stretches")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, body: doc is the place in the order of documents, the doc_id itself where each has its own. Otherwise rows are
+    sorted by doc_id and the hash of the text over all tasks; that order is in the rows' running numbers, of which the high
+    bits are the task's."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    rows, ids = source.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return source.select("doc_id", F.col("doc_id").alias("doc"), "body")
+    order = [F.col("doc_id"), F.sha2("body", 256)]
+    return settle(source.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.monotonically_increasing_id().alias("doc"), "body"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = settle(source.mapInArrow(_send(buckets), SENT))
+    source = numbered(docs)
+    size = source.agg(F.sum(F.length("body"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    sent = settle(source.select("doc", "body").mapInArrow(_send(buckets), SENT))
     met = settle(sent.where("records is not null").select("bucket", "records").groupBy("bucket").applyInArrow(_meet, MET))
     spans = sent.where("records is null").select("doc", "lo", "hi").unionByName(met.where("not open").select("doc", "lo", "hi"))
     open_ = met.where("open")
@@ -442,5 +457,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             dealt = settle(_joined_texts(source, per_doc.where("exists(stretches, x -> x.hot)"), rest=False).mapInArrow(_strings(max(-(-heat // INDEX_BYTES), buckets)), SENT))
             spans = spans.unionByName(dealt.where("records is null").select("doc", "lo", "hi")).unionByName(dealt.where("records is not null").select("bucket", "records").groupBy("bucket").applyInArrow(_merge, "doc long, lo int, hi int"))
     per_doc = settle(spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches")))
-    return _joined_texts(source, per_doc, rest=True).mapInArrow(_cut, RESULT).withColumn("doc_id", F.nullif("doc_id", F.lit(LEAST)))
+    return _joined_texts(source, per_doc, rest=True).mapInArrow(_cut, RESULT)
 
