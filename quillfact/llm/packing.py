@@ -15,8 +15,9 @@ class, and every distinct piece is encoded once by the tokenizer.
 
 Defined results: a null or empty text is the single id 0; equal documents are packed each; a repeated or null doc_id
 is kept as it is; bytes that are no UTF-8 count as replacement characters; a very long text fills windows of its own but
-for its tail; the order of rows decides ties, so sequence ids may differ between readings, the pieces' contents do not; an
-empty table gives no pieces; other columns are not read.
+for its tail; a shard's tails are taken in the order of doc_id and content, so the pieces do not depend on the order of
+rows (the numbers of whole windows' sequences do, and so does which of several rows without doc_id meet); an empty table
+gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -346,8 +347,9 @@ def _whole(window: int, kind: str, with_ids: bool):
 
 def _shard(corpus, window: int, kind: str, with_ids: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        docs, sizes = table.column("doc_id").to_pylist(), table.column("n").to_pylist()
-        tails = [np.frombuffer(x, kind).astype("<u4") for x in table.column("ids").to_pylist()]
+        found = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[2]), r[1], r[2]))
+        docs, sizes = [r[0] for r in found], [r[1] for r in found]
+        tails = [np.frombuffer(r[2], kind).astype("<u4") for r in found]
         base, rows, parts = key[0].as_py() << 32, [], []
         for tail, start, length, sequence, offset in pack_tails(tails, corpus.value, window):
             part = tails[tail][start : start + length]
@@ -396,9 +398,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     count, mean = has.agg(F.count("*"), F.avg(F.when(tail > 0, tail))).first()
     corpus = spark.sparkContext.broadcast(Statistics(df, count, float(mean or 0)))
     tails = has.where(tail > 0).select("doc_id", "n", F.substring("ids", ((F.col("n") - tail) * width + 1).cast("int"), tail * width).alias("ids")).mapInArrow(_keys(corpus, kind), TAILS)
+    tails = settle(tails)
     sizes = tails.groupBy("key").agg(F.sum(tail).alias("size")).collect()  # the vocabulary at most
     shards = F.broadcast(spark.createDataFrame(_dealt({r["key"]: r["size"] for r in sizes}, shard_ids), "key int, first long, shards long"))
-    dealt = tails.join(shards, "key").select((F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id()), F.col("shards"))).alias("shard"), "doc_id", "n", "ids")
+    dealt = tails.join(shards, "key").select((F.col("first") + F.pmod(F.xxhash64("doc_id", F.crc32("ids"), "n", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.col("shards"))).alias("shard"), "doc_id", "n", "ids")
     schema = COLUMNS + (", ids array<int>" if with_ids else "")
     whole = has.where(F.col("n") >= window).select("doc_id", "n", "ids").mapInArrow(_whole(window, kind, with_ids), schema)
     return whole.unionByName(dealt.groupBy("shard").applyInArrow(_shard(corpus, window, kind, with_ids), schema))
