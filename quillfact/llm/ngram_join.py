@@ -12,7 +12,8 @@ Sets are the distinct 5-word shingles of a document (64-bit hashes); two documen
 4. Each shingle's smallest document is linked to the others first (those that lengths and positions allow), the pairs
    are verified, and components found. Links inside a component would add nothing to it: of a shingle's documents the
    largest component is its host, and only the others (guests) meet all documents of other components, so large groups of
-   near copies are never expanded into all pairs, and no link between components is lost.
+   near copies are never expanded into all pairs, and no link between components is lost. Before that, guests meet a few
+   documents of the host, chosen by hash; those that link with one are guests no more.
 5. Guests and the documents that they meet carry parity bitmaps of their sets, at most BRIEF bits each. A bitmap bounds
    the difference of two sets from below, so a pair that cannot be similar leaves no row behind. Pairs that share l prefix
    shingles are verified: by whole bitmaps, then by whole sets.
@@ -44,10 +45,14 @@ CLASS_BITS = np.uint64(6)
 CHUNK_BYTES, COUNT_BYTES = 750_000, 4_000_000
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4"), ("need", "<i4")])
 FINISH = np.uint64(0xD6E8FEB86659FD93)
+#: Sets that a task remembers to have sent, at some 80 bytes each; beyond them equal sets are sent again.
+REMEMBERED = 250_000
 #: Bytes of postings that meet in one bucket, on average.
 BUCKET_BYTES = 2_000_000
 #: Bits of a document's bitmap in the join of guests (a power of two); whole bitmaps follow for the pairs that are left.
 BRIEF = 1024
+#: Documents of a shingle's largest group that its guests meet before they meet all.
+ENVOYS = 8
 
 
 def shingles(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +137,7 @@ SENT = "bucket int, postings binary"
 def _postings(frequent, buckets: int):
     def run(batches):
         tokens, classes = frequent.value
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         for salt, (ids, bodies) in enumerate(B.chunks(batches, 2, CHUNK_BYTES)):
             hashed, begins = shingles(bodies)
             hashed = ordered(hashed, tokens, classes)
@@ -141,10 +146,10 @@ def _postings(frequent, buckets: int):
                 if doc is None or a == b:
                     continue
                 one = np.unique(hashed[a:b])
-                key = (int(one.sum()), int((one * FINISH ^ one >> np.uint64(9)).sum()))
+                key = np.array([one.sum(), (one * FINISH ^ one >> np.uint64(9)).sum()], np.uint64).tobytes()
                 if key in seen:  # an equal set of this task was sent
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add(key)
                 short = one[: len(one) - (3 * len(one) + 3) // 4 + MOST_MATCHES]
                 size, need = prefix(one, np.left_shift(1, (short >> (np.uint64(64) - CLASS_BITS)).astype(np.int64)) - 1)
@@ -258,6 +263,29 @@ def _order(spark: SparkSession, sets: DataFrame):
     return spark.sparkContext.broadcast((top["token"].to_numpy(np.int64).view(np.uint64), top["class"].to_numpy(np.uint8)))
 
 
+def _open(posts: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, doc, n, at, need, group of the postings whose shingle documents of more than one group have; groups: id, component."""
+    wide = settle(posts.join(groups, posts["doc"] == groups["id"], "left").select("token", "doc", "n", "at", "need", F.coalesce("component", "doc").alias("group")))
+    mixed = wide.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
+    return settle(wide.join(mixed, "token", "left_semi"))
+
+
+def _hosts(posts: DataFrame) -> DataFrame:
+    """token, host: the largest group of each shingle."""
+    sizes = posts.groupBy("token", "group").agg(F.count("*").alias("size"))
+    return settle(sizes.groupBy("token").agg(F.max_by("group", F.struct("size", "group")).alias("host")))
+
+
+def _with_envoys(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of guests with ENVOYS documents of their shingle's host. A guest that is linked with many of a group's documents,
+    only not with its hub, is almost sure to join the group here, so that it need not meet them all."""
+    marked = posts.join(_hosts(posts), "token")
+    envoy = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "doc").alias("h"), "doc", "n", "at"))
+    envoys = marked.where("group = host").groupBy("token").agg(F.array_distinct(F.array(*[envoy(i) for i in range(ENVOYS)])).alias("envoys"))
+    met = marked.where("group <> host").alias("p").join(envoys.select("token", F.explode("envoys").alias("h")).select("token", "h.doc", "h.n", "h.at").alias("h"), "token")
+    return met.where(fits("p", "h", F.col("p.need"))).select(F.least("p.doc", "h.doc").alias("a"), F.greatest("p.doc", "h.doc").alias("b")).distinct()
+
+
 def _between(posts: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents of different groups that share enough of their prefixes; posts: token, doc, n, at, need,
     group of the shingles that more than one group has; maps: the documents' bitmaps.
@@ -265,9 +293,7 @@ def _between(posts: DataFrame, maps: DataFrame) -> DataFrame:
     All pairs of different groups hold a guest, that is a document outside the largest group of the shingle. Guests meet
     the others, so what is compared grows with guests times documents, not with the square of the largest group; only
     pairs that lengths, positions and bitmaps leave open make rows."""
-    sizes = posts.groupBy("token", "group").agg(F.count("*").alias("size"))
-    hosts = settle(sizes.groupBy("token").agg(F.max_by("group", F.struct("size", "group")).alias("host")))
-    marked = posts.join(hosts, "token").select("token", "doc", "n", "at", "need", "group", (F.col("group") != F.col("host")).alias("guest"))
+    marked = posts.join(_hosts(posts), "token").select("token", "doc", "n", "at", "need", "group", (F.col("group") != F.col("host")).alias("guest"))
     marked = settle(marked.join(maps.select("doc", "brief"), "doc"))
     need = F.least("p.need", "q.need")
     met = marked.where("guest").alias("p").join(marked.alias("q"), "token")
@@ -303,12 +329,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     links = settle(verified(source, stars))
     groups = components(links)
 
-    wide = posts.join(hubs.where("m > 2").select("token"), "token", "left_semi").join(groups, posts["doc"] == groups["id"], "left").select("token", "doc", "n", "at", "need", F.coalesce("component", "doc").alias("group"))
-    wide = settle(wide)
-    mixed = wide.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
-    open_ = settle(wide.join(mixed, "token", "left_semi"))
+    open_ = _open(posts.join(hubs.where("m > 2").select("token"), "token", "left_semi"), groups)
     maps = settle(_of_documents(source, open_.select("doc")).mapInArrow(_bits, BITS))
-    pairs = settle(_between(open_, maps).join(stars, ["a", "b"], "left_anti"))
+    some = settle(_with_envoys(open_).join(stars, ["a", "b"], "left_anti"))
+    links = settle(links.unionByName(verified(source, some, maps)))
+    open_ = _open(open_.drop("group"), components(links))
+    pairs = settle(_between(open_, maps).join(stars.union(some), ["a", "b"], "left_anti"))
     groups = settle(components(links.unionByName(verified(source, pairs, maps))))
 
     labelled = settle(classes.join(groups, classes["rep"] == groups["id"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))

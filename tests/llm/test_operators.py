@@ -103,6 +103,14 @@ def test_line_dedup(spark, docs):
     assert line_dedup(table(spark, docs).limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    from quillfact.llm.line_dedup import line_dedup
+
+    rows = [(i, f"common\nown {i}", "en", f"s{i}") for i in range(6)] + [(20, "common\nx", "en", "s7"), (20, "a line nobody else has\ncommon", "en", "s8"), (20, "a line nobody else has\ncommon", "en", "s8")]
+    got = sorted((r.doc_id, r.text) for r in line_dedup(table(spark, rows), 5).collect() if r.doc_id == 20)
+    assert got == [(20, "a line nobody else has")] * 2 + [(20, "x")]
+
+
 def test_secret_scan(spark):
     from quillfact.llm.secret_scan import ALLOW, CLASSES, secret_scan
 
@@ -584,12 +592,15 @@ def test_proximity_is_registered(spark, sf_dir):
     assert all(r.n_near == len([x for x in r.near_items.split(",") if x]) for r in near.collect())
 
 
-def test_suffix_dedup(spark, docs):
+@pytest.mark.parametrize("several", [False, True])
+def test_suffix_dedup(spark, docs, several):
     from quillfact.llm.suffix_dedup import suffix_dedup
 
-    unique = {d[0]: d for d in docs}.values()
+    repeated = [(5, docs[0][1][:250], None, None), (5, "q" * 30 + docs[3][1][50:300], None, None), (5, "z7" * 400, None, None), (None, docs[2][1], None, None)]
+    some = [*{d[0]: d for d in docs if d[0] != 5}.values(), *(repeated if several else repeated[1:2])]
+    some = [d for d in some if several or d[0] is not None]
     seen, want = set(), []
-    for doc, text, *_ in sorted(unique, key=lambda d: -1 if d[0] is None else d[0]):
+    for doc, text, *_ in sorted(some, key=lambda d: (-1 if d[0] is None else d[0], hashlib.sha256((d[1] or "").encode()).hexdigest())):
         body = (text or "").encode()
         cut = bytearray(len(body))
         for i in range(len(body) - 99):
@@ -598,8 +609,8 @@ def test_suffix_dedup(spark, docs):
             seen.add(body[i : i + 100])
         spans = len(re.findall(b"\1+", cut))
         want.append((doc, len(body), sum(cut), spans, bytes(b for b, c in zip(body, cut, strict=True) if not c)))
-    got = suffix_dedup(table(spark, list(unique))).collect()
-    key = lambda r: -1 if r[0] is None else r[0]
+    got = suffix_dedup(table(spark, some)).collect()
+    key = lambda r: (-1 if r[0] is None else r[0], *r[1:])
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=key) == sorted(want, key=key)
     assert suffix_dedup(table(spark, [])).count() == 0
 
@@ -763,3 +774,37 @@ def test_pipeline(spark, sf_dir):
         assert n * 0.5 < docs.count() <= n
     pieces = P.STAGES[-1][1](spark, docs, sf_dir)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_packing_does_not_depend_on_the_order_of_rows(spark, docs):
+    from quillfact.llm.packing import pack
+
+    some = [d for d in docs if d[0] is not None]
+    pieces = lambda rows, parts: sorted(tuple(r) for r in pack(table(spark, rows).repartition(parts), TOKENIZER, window=64, shard_ids=400).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())
+    assert pieces(some, 2) == pieces(some[::-1], 5)
+
+
+def test_ngram_join_finds_links_that_hubs_and_envoys_miss(spark, monkeypatch):
+    """A group whose hub no guest is near, with guests that few members, or all but the hub, are linked with."""
+    from quillfact.llm import ngram_join as N
+
+    monkeypatch.setattr(N, "ENVOYS", 1)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(30)}"
+        rows.append((i, " ".join(words), None, None))
+    grams = {d: {tuple(t.split()[j : j + 5]) for j in range(56)} for d, t, *_ in rows}
+    near = {d: {e for e in grams if e != d and 4 * len(grams[d] & grams[e]) >= 3 * len(grams[d] | grams[e])} for d in grams}
+    least = {}
+    for d in grams:
+        group, todo = {d}, [d]
+        while todo:
+            more = near[todo.pop()] - group
+            group |= more
+            todo += more
+        least[d] = min(group)
+    assert {r.doc_id: r.component_id for r in N.ngram_components(table(spark, rows)).collect()} == least
