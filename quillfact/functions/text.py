@@ -16,7 +16,7 @@ def strip(c: Column) -> Column:
 
 
 def like(c: Column, pattern: str | Column) -> Column:
-    return F.rlike(c, F.lit(pattern) if isinstance(pattern, str) else pattern)
+    return c.rlike(pattern) if isinstance(pattern, str) else F.rlike(c, pattern)
 
 
 def let(body, **values: Column) -> Column:
@@ -37,7 +37,7 @@ def literal(c: Column) -> Column:
 
 
 def has_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
 def first_of(c: Column, table: list[tuple[str, str]]) -> Column:

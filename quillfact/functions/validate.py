@@ -60,12 +60,26 @@ def reason(failure: Column, value: Column, metric: Column, unit: Column) -> Colu
     return text
 
 
-def checked(candidates: DataFrame, quote: Column) -> tuple[DataFrame, DataFrame]:
-    """(valid facts, rejected candidates) of candidates with normalised values; a rejected one is kept whole, as JSON."""
-    c = fence(candidates, failure_type=failure_type(F.col("value"), F.col("metric"), F.col("unit"), quote, F.col("numeric_value"), F.col("value_binding_confidence"), F.col("extraction_confidence")))
-    whole = F.to_json(F.struct(*candidates.columns))
-    bad = c.where("failure_type is not null").select(
-        "document_id", "page_number", either(F.col("value"), quote).alias("candidate_text"), "failure_type", reason(F.col("failure_type"), F.col("value"), F.col("metric"), F.col("unit")).alias("rejection_reason"),
+def with_failures(candidates: DataFrame, quote: Column) -> DataFrame:
+    """Candidates with normalised values, and failure_type: null for valid ones."""
+    return fence(candidates, failure_type=failure_type(F.col("value"), F.col("metric"), F.col("unit"), quote, F.col("numeric_value"), F.col("value_binding_confidence"), F.col("extraction_confidence")))
+
+
+def passed(c: DataFrame) -> DataFrame:
+    return c.where("failure_type is null").drop("failure_type").withColumn("validation_status", F.lit("valid"))
+
+
+def failed(c: DataFrame, quote: Column) -> DataFrame:
+    """Rejected candidates, kept whole as JSON, with where they were found as far as c knows."""
+    whole = F.to_json(F.struct(*[x for x in c.columns if x != "failure_type"]))
+    place = [x for x in ("chunk_index", "stage", "ordinal", "rank", "number") if x in c.columns]
+    return c.where("failure_type is not null").select(
+        "document_id", "page_number", *place, either(F.col("value"), quote).alias("candidate_text"), "failure_type", reason(F.col("failure_type"), F.col("value"), F.col("metric"), F.col("unit")).alias("rejection_reason"),
         F.array(F.lower(F.replace(F.col("failure_type"), F.lit("_"), F.lit(" ")))).alias("warnings"), whole.alias("attempted_extraction"),
     )
-    return c.where("failure_type is null").drop("failure_type").withColumn("validation_status", F.lit("valid")), bad
+
+
+def checked(candidates: DataFrame, quote: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid facts, rejected candidates) of candidates with normalised values."""
+    c = with_failures(candidates, quote)
+    return passed(c), failed(c, quote)

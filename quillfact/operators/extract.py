@@ -11,8 +11,9 @@ from quillfact.functions import lexicon as L
 from quillfact.functions.normalize import document_entity, document_period, normalized, parse_numeric, period, period_scope, source_organisation, vintage
 from quillfact.functions.roles import index_base, navigation, number_role, section_prefix
 from quillfact.functions.text import fence, final_confidence, grounding, has_any, like, short, strip
-from quillfact.functions.validate import checked, header_label, reason
+from quillfact.functions.validate import failed, header_label, passed, reason, with_failures
 from quillfact.operators.chunks import nonblank_lines, route, sentences
+from quillfact.sources.scratch import settle
 
 KEYS = ("document_id", "filename", "page_number", "chunk_index")
 CANDIDATE = ["entity", "metric", "value", "unit", "period", "period_scope", "raw_quote", "binding_method", "value_binding_confidence", "extraction_confidence"]
@@ -34,8 +35,9 @@ def seller_rows(line: Column) -> Column:
     name = F.regexp_extract(before, r"([A-Z][A-Za-z0-9\s\.\&\,\(\)\-]+?(?:Limited|Ltd|Pte|Inc|Capital|Investments|Holdings|Trust|Corp|LLC)?)$", 1)
     name = F.regexp_replace(name, r"^[,. ]+|[,. ]+$", "")
     fits = (shares != "") & (money != "") & (F.length(name) > 3) & ~has_any(F.lower(name), ["total", "particulars", "table", "statement", "index"]) & ~navigation(line) & ~header_label(line)
-    row = lambda metric, value, unit: F.struct(name.alias("entity"), F.lit(metric).alias("metric"), value.alias("value"), unit.alias("unit"))
-    both = F.array(row("Offer for Sale Amount", money, F.when(F.contains(F.lower(money), F.lit("million")), "INR million").otherwise("INR")), row("Shares Offered for Sale", shares, F.lit("shares")))
+    row = lambda metric, predicate, value, unit: F.struct(name.alias("entity"), F.lit(metric).alias("metric"), F.lit(predicate).alias("predicate"), value.alias("value"), unit.alias("unit"))
+    amount = row("Offer for Sale Amount", "offered for sale", money, F.when(F.contains(F.lower(money), F.lit("million")), "INR million").otherwise("INR"))
+    both = F.array(amount, row("Shares Offered for Sale", "offered equity shares of", shares, F.lit("shares")))
     return F.when(fits, both)
 
 
@@ -46,6 +48,7 @@ def line_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     sellers = base.where("seller is not null").select(*keys, "ordinal", "line", F.posexplode("seller").alias("rank", "s")).select(
         *keys, "ordinal", "rank", F.lit(0).alias("number"), F.col("s.entity").alias("entity"), F.col("s.metric").alias("metric"), F.col("s.value").alias("value"), F.col("s.unit").alias("unit"),
         F.lit(None).cast("string").alias("period"), F.lit(None).cast("string").alias("period_scope"), F.col("line").alias("raw_quote"), F.lit("table_cell").alias("binding_method"), F.lit(0.90).alias("value_binding_confidence"), F.lit(0.90).alias("extraction_confidence"),
+        F.col("s.predicate").alias("predicate"), F.lit(L.SELLER_SCOPE).alias("scope"),
     )
     low = F.lower(line)
     rows = base.where(F.col("seller").isNull() & ~navigation(line)).withColumn("m", F.explode(metric_rows(low))).select("*", F.posexplode(F.regexp_extract_all(line, F.lit(L.NUMBER), F.lit(1))).alias("number", "token"))
@@ -101,6 +104,7 @@ def line_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     plain = rows.select(
         *keys, "ordinal", F.col("m.rank").alias("rank"), "number", document_entity(F.col("filename")).alias("entity"), metric.alias("metric"), value.alias("value"), F.coalesce("unit", F.when(role == "SHARE_COUNT", "shares")).alias("unit"),
         bound.alias("period"), scope.alias("period_scope"), line.alias("raw_quote"), F.lit("sentence_direct").alias("binding_method"), F.lit(0.85).alias("value_binding_confidence"), F.lit(0.85).alias("extraction_confidence"),
+        F.when(F.contains(F.lower(metric), F.lit("revenue")), "was reported as").otherwise("reached").alias("predicate"), scope.alias("scope"),
     )
     return sellers.unionByName(plain)
 
@@ -148,35 +152,52 @@ def series_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     return rows.select(
         *keys, F.col("line_no").alias("ordinal"), F.col("m.rank").alias("rank"), "number", document_entity(F.col("filename")).alias("entity"), F.col("m.metric").alias("metric"), shown.alias("value"), unit.alias("unit"), period(F.col("z.periods")).alias("period"),
         F.lit(None).cast("string").alias("period_scope"), F.concat_ws("\n", "metric_line", "line", "value_line").alias("raw_quote"), F.lit("table_series_alignment").alias("binding_method"), F.lit(0.98).alias("value_binding_confidence"), F.lit(0.92).alias("extraction_confidence"),
+        F.lit("was reported as").alias("predicate"), F.lit(None).cast("string").alias("scope"),
     )
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
-    """All candidates of chunks(document_id, filename, page_number, chunk_index, text), in stages series, line, sentence."""
-    lines = nonblank_lines(chunks, *KEYS)
-    free = lines.where(route(F.col("line")).isNull()).withColumn("ordinal", F.col("line_no"))
-    flowing = sentences(lines, *KEYS).select(*KEYS, F.col("first_line").alias("ordinal"), F.col("sentence").alias("line"))
-    stages = [series_candidates(lines, *KEYS), line_candidates(free, *KEYS), line_candidates(flowing, *KEYS)]
-    return reduce(DataFrame.unionByName, [s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages)])
+    """All candidates of chunks(document_id, filename, page_number, chunk_index, text), in stages series (0), line (1), sentence (2).
+    Lines and sentences go through the same extractor, as one table."""
+    lines = settle(nonblank_lines(chunks, *KEYS))
+    free = lines.where(route(F.col("line")).isNull()).select(*KEYS, F.lit(1).alias("stage"), F.col("line_no").alias("ordinal"), "line")
+    flowing = sentences(lines, *KEYS).select(*KEYS, F.lit(2).alias("stage"), F.col("first_line").alias("ordinal"), F.col("sentence").alias("line"))
+    said = line_candidates(settle(free.unionByName(flowing)), *KEYS, "stage")
+    return series_candidates(lines, *KEYS).withColumn("stage", F.lit(0)).unionByName(said)
 
 
-def extract_facts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid facts, rejected candidates and lines) of chunks."""
+def checked_candidates(chunks: DataFrame) -> DataFrame:
+    """All candidates of chunks with their normal forms, confidences and failure_type (null for valid ones)."""
     whole = chunks.select(*KEYS, F.col("text").alias("chunk_text"))
-    c = candidates(chunks).join(whole, list(KEYS))
+    c = settle(candidates(chunks)).join(whole, list(KEYS))
     year, value = (F.coalesce(a, b) for a, b in zip(index_base(F.col("raw_quote")), index_base(F.col("chunk_text")), strict=True))
     scope = F.when(F.col("stage") == 0, period_scope(F.col("raw_quote"))).when(F.col("binding_method") == "table_cell", period_scope(F.col("raw_quote"))).otherwise(F.col("period_scope"))
     c = c.withColumn("period_scope", scope).withColumn("estimate_vintage", F.coalesce(vintage(F.col("raw_quote")), vintage(F.col("chunk_text")))).withColumn("index_base_year", year).withColumn("index_base_value", value)
-    c = c.withColumn("source_organization", source_organisation(F.col("filename"))).withColumn("subject_entity", F.col("entity"))
+    c = c.withColumn("source_organization", source_organisation(F.col("filename"))).withColumn("subject_entity", F.col("entity")).withColumn("subject", F.col("entity")).withColumn("extraction_method", F.lit("fallback"))
     c = c.select("*", F.inline(F.array(normalized(F.col("value"), F.col("unit"), F.col("raw_quote"), F.col("metric")))))
     c = c.withColumn("is_numeric", F.col("numeric_value").isNotNull()).withColumn("grounding_confidence", grounding(F.col("raw_quote"), F.col("chunk_text")))
     c = c.withColumn("final_confidence", final_confidence(F.col("extraction_confidence"), F.col("grounding_confidence"), F.col("value_binding_confidence"))).drop("chunk_text")
-    valid, rejected = checked(c, F.col("raw_quote"))
+    return with_failures(c, F.col("raw_quote"))
+
+
+def accepted(c: DataFrame) -> DataFrame:
+    """The valid ones of checked candidates, each once a chunk."""
+    return first_candidates(passed(c), *KEYS)
+
+
+def refused(c: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The ledger: checked candidates that failed, and lines of chunks that are not extracted from."""
     lines = nonblank_lines(chunks, *KEYS).withColumn("failure_type", route(F.col("line"))).where("failure_type is not null")
     text = F.left("line", F.when(F.col("failure_type") == "STRUCTURAL_INDEX_METADATA", 100).otherwise(80))
     why = F.coalesce(reason(F.col("failure_type"), text, F.lit(""), F.lit("")), F.lit("The base of an index."))
-    rejected = rejected.unionByName(lines.select("document_id", "page_number", text.alias("candidate_text"), "failure_type", why.alias("rejection_reason")), allowMissingColumns=True)
-    return first_candidates(valid, *KEYS), rejected
+    lines = lines.select("document_id", "page_number", "chunk_index", F.lit(1).alias("stage"), F.col("line_no").alias("ordinal"), text.alias("candidate_text"), "failure_type", why.alias("rejection_reason"))
+    return failed(c, F.col("raw_quote")).unionByName(lines, allowMissingColumns=True)
+
+
+def extract_facts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid facts, rejected candidates and lines) of chunks."""
+    c = settle(checked_candidates(chunks))
+    return accepted(c), refused(c, chunks)
 
 
 def first_candidates(c: DataFrame, *keys: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
 from quillfact.functions.text import has_any, let, short
-from quillfact.operators.pairs import _text, candidate_pairs, comparability, filled, pair_count
+from quillfact.operators.pairs import _text, comparability, filled, pair_count, ready_facts, ready_pairs
+from quillfact.sources.scratch import settle
 
 
 def percent_delta(a: Column, b: Column) -> Column:
@@ -27,10 +28,20 @@ def computable(a: str = "a", b: str = "b") -> Column:
 def verdict(a: str = "a", b: str = "b") -> Column:
     """struct<relationship, taxonomy, reconciliation, confidence> of a comparable pair."""
     va, vb = F.col(f"{a}.normalized_value"), F.col(f"{b}.normalized_value")
-    return let(lambda x: _verdict(x["delta"], a, b), delta=percent_delta(va, vb))
+    return let(lambda x: verdict_at(x["delta"], a, b), delta=percent_delta(va, vb))
 
 
-def _verdict(delta: Column, a: str, b: str) -> Column:
+#: A difference in percent of each band: verdicts depend on the band alone.
+BANDS = [0.0, 1.0, 3.0, 9.0]
+
+
+def band(delta: Column) -> Column:
+    """The number of the band of a difference in percent, from 0."""
+    return F.when(delta < 0.1, 0).when(delta < 1.5, 1).when(delta <= 5.0, 2).otherwise(3)
+
+
+def verdict_at(delta: Column, a: str = "a", b: str = "b") -> Column:
+    """The verdict on a pair whose values differ by delta percent."""
     pa, pb = _text(a, "period"), _text(b, "period")
     sa, sb = (_text(s, "period_scope", True) for s in (a, b))
     na, nb = (_text(s, "estimate_vintage", True) for s in (a, b))
@@ -99,22 +110,28 @@ def class_counts(edges: DataFrame) -> DataFrame:
 COUNTERS = ["corroborations", "contradictions", "likely_contradictions", "reconciled", "temporal_comparisons", "contextual_differences", "unrelated", "uncertain"]
 
 
-def counters(edges: DataFrame) -> DataFrame:
-    """One row of the eight counters; an edge counts for the first that fits."""
+def counters(edges: DataFrame, **more: Column) -> DataFrame:
+    """One row of the eight counters, and of more counts; an edge counts for the first that fits."""
     r, t = F.col("relationship"), F.col("taxonomy")
     kind = (
         F.when(r == "CORROBORATES", "corroborations").when(r == "CONTRADICTS", "contradictions").when(r == "LIKELY_CONTRADICTION", "likely_contradictions")
         .when((r == "RECONCILED") | t.isin("RECONCILED_UNIT", "RECONCILED_ROUNDING"), "reconciled").when((t == "TEMPORAL_COMPARISON") | (r == "TEMPORAL_COMPARISON"), "temporal_comparisons")
         .when(t == "CONTEXTUAL_DIFFERENCE", "contextual_differences").when(r == "UNRELATED", "unrelated").otherwise("uncertain")
     )
-    return edges.select(kind.alias("kind")).agg(F.count("*").alias("relationships_found"), *[F.count_if(F.col("kind") == c).alias(c) for c in COUNTERS])
+    return edges.withColumn("kind", kind).agg(F.count("*").alias("relationships_found"), *[F.count_if(F.col("kind") == c).alias(c) for c in COUNTERS], *[c.alias(name) for name, c in more.items()])
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    """Of edges between the same two facts with the same relationship the first by priority and position."""
+    """Of edges between the same two facts with the same relationship the first by priority and position; copies: how many."""
     a, b = F.col("a.fact_id"), F.col("b.fact_id")
-    again = F.row_number().over(Window.partitionBy(F.least(a, b), F.greatest(a, b), "relationship").orderBy(F.desc("priority"), "a.pos", "b.pos"))
-    return edges.withColumn("again", again).where("again = 1").drop("again")
+    same = Window.partitionBy(F.least(a, b), F.greatest(a, b), "relationship")
+    again = F.row_number().over(same.orderBy(F.desc("priority"), "a.pos", "b.pos"))
+    return edges.withColumn("again", again).withColumn("copies", F.count("*").over(same)).where("again = 1").drop("again")
+
+
+def base_confidence() -> Column:
+    """The product of the stage confidences."""
+    return F.coalesce("extraction_confidence", F.lit(1.0)) * F.coalesce("grounding_confidence", F.lit(1.0)) * F.coalesce("value_binding_confidence", F.lit(1.0))
 
 
 def rescored(facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,7 +139,7 @@ def rescored(facts: DataFrame, edges: DataFrame) -> DataFrame:
     are unpivoted and summed (whole hundredths, so that order does not matter) before they meet the facts."""
     cents = F.round(F.col("confidence") * 100).cast("long")
     sums = edges.select(F.col("a.fact_id").alias("fact_id"), cents.alias("c")).unionAll(edges.select(F.col("b.fact_id"), cents)).groupBy("fact_id").agg(F.sum("c").alias("c"))
-    base = F.coalesce("extraction_confidence", F.lit(1.0)) * F.coalesce("grounding_confidence", F.lit(1.0)) * F.coalesce("value_binding_confidence", F.lit(1.0))
+    base = base_confidence()
     return filled(facts).join(sums, "fact_id", "left").select("fact_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + F.coalesce("c", F.lit(0)) / F.lit(100.0))), 3).alias("confidence"))
 
 
@@ -133,7 +150,7 @@ def dashboard(edges: DataFrame) -> DataFrame:
 
 
 class Analysis(NamedTuple):
-    """relationships: rows of the table fact_relationships; summary: one row; confidences: fact_id, final_confidence."""
+    """relationships: rows of the table fact_relationships, without numbers; summary: one row; confidences: fact_id, final_confidence."""
 
     relationships: DataFrame
     summary: DataFrame
@@ -149,12 +166,14 @@ def relationship_rows(edges: DataFrame) -> DataFrame:
 
 
 def analyse(facts: DataFrame, judge=judged) -> Analysis:
-    """The whole step over a table of facts: pairs, judge, floor, distinct relationships, counters, confidences. What it
-    returns is lazy; sources.store.commit puts relationships and facts in place together. judge: of pairs, edges (see
+    """The whole step over a table of facts: pairs, judge, floor, distinct relationships, counters, confidences. Pairs are made
+    once, when the edges are written to the shared folder; all that is returned reads the edges. judge: of pairs, edges (see
     sources.connectors for one that asks a model about uncertain pairs)."""
-    pairs = candidate_pairs(facts)
-    edges = distinct_edges(judge(pairs))
-    summary = counters(edges).crossJoin(pairs.agg(F.count("*").alias("candidate_pairs_evaluated"))).crossJoin(facts.agg(F.count("*").alias("total_accepted_facts")))  # one row each
+    edges = judge(ready_pairs(settle(ready_facts(facts))))
+    known, ids = facts.agg(F.count("*"), F.count_distinct("fact_id")).first()
+    edges = edges.withColumn("copies", F.lit(1).cast("long")) if known == ids else distinct_edges(edges)  # only facts that share a number can repeat a relationship
+    edges = settle(edges.select("a", "b", "relationship", "taxonomy", "reconciliation", "confidence", "delta", "copies"))
+    summary = counters(edges, candidate_pairs_evaluated=F.coalesce(F.sum("copies"), F.lit(0)), total_accepted_facts=F.lit(known).cast("long"))
     return Analysis(relationship_rows(explained(edges)), summary, rescored(facts, edges).withColumnRenamed("confidence", "final_confidence"))
 
 

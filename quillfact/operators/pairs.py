@@ -36,9 +36,16 @@ def filled(facts: DataFrame) -> DataFrame:
     return facts.withColumns({c: F.lit(v).cast("string") if v is None else F.lit(v) for c, v in ABSENT.items() if c not in facts.columns})
 
 
+#: Bits of a position that hold the fact's number, below those of its page.
+NUMBER_BITS = 43
+
+
 def with_canonical(facts: DataFrame) -> DataFrame:
     """Facts with their canonical metric and all columns that pairing reads: absent ones are filled, and an empty vintage or
-    scope of the period is taken from the columns vintage and scope where there are such."""
+    scope of the period is taken from the columns vintage and scope where there are such. Facts without a position follow each
+    other by page, then number."""
+    if "pos" not in facts.columns:
+        facts = facts.withColumn("pos", F.shiftleft(F.coalesce("page", F.lit(0)).cast("long"), NUMBER_BITS) + F.col("fact_id"))
     out = filled(facts).withColumn("canonical_metric", canonical_metric(F.col("metric")))
     return out.withColumns({c: either(F.col(c), F.col(other)) for c, other in (("estimate_vintage", "vintage"), ("period_scope", "scope")) if other in facts.columns})
 
@@ -97,12 +104,21 @@ def _gate_lists(x: Column) -> Column:
     return F.struct(F.when(first == 99, 1.0).otherwise(0.0).alias("score"), said(F.slice(x["rows"], 1, F.least(first, F.size(x["rows"])))).alias("passed"), said(F.slice(x["rows"], F.least(first, F.size(x["rows"])) + 1, 1)).alias("failed"))
 
 
+def ready_facts(facts: DataFrame) -> DataFrame:
+    """The facts that may be in a pair, with what pairing and judging read: the columns JUDGED, value_class, entity_key."""
+    ready = with_canonical(facts).where(eligible()).where(named_metric())
+    return ready.select(*JUDGED, value_class(F.col("value_type")).alias("value_class"), entity_key().alias("entity_key"))
+
+
 def candidate_pairs(facts: DataFrame) -> DataFrame:
+    """a, b (structs), priority: the pairs of ready_facts. Facts are read four times, so settle ready ones where they cost."""
+    return ready_pairs(ready_facts(facts))
+
+
+def ready_pairs(keyed: DataFrame) -> DataFrame:
     """a, b (structs), priority: an equi-join on canonical metric, value class and entity; units and, within one document,
     different values are its residue. Facts without an entity fit all entities and are joined on their own without that key:
     a pair of those holds one of them, so it grows with their number. AQE splits the facts of a frequent key."""
-    ready = with_canonical(facts).where(eligible()).where(named_metric())
-    keyed = ready.select(*JUDGED, value_class(F.col("value_type")).alias("value_class"), entity_key().alias("entity_key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     same = (F.col("a.canonical_metric") == F.col("b.canonical_metric")) & (F.col("a.value_class") == F.col("b.value_class"))
     fit = units_fit("a", "b") & ((F.col("a.document_id") != F.col("b.document_id")) | (F.col("a.normalized_value") != F.col("b.normalized_value")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
@@ -11,6 +11,7 @@ from quillfact.functions import roles as R
 from quillfact.functions import text as T
 from quillfact.functions import validate as V
 from quillfact.operators import chunks as C
+from quillfact.operators import classes as Q
 from quillfact.operators import extract as X
 from quillfact.operators import judge as J
 from quillfact.operators import pairs as P
@@ -18,6 +19,9 @@ from quillfact.operators import rank as K
 from quillfact.plans.facts import FACTS_SQL, facts_sql, order_facts, read
 from quillfact.sources import connectors as A
 from quillfact.sources import store as S
+from quillfact.sources.scratch import settle
+from quillfact.streaming.analysis import analyse_store
+from quillfact.streaming.landing import land
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +38,8 @@ def query(sql: str | None = None):
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.judged(P.candidate_pairs(order_facts(spark, sf_dir))).withColumn("edge_id", F.col("a.pos") * 1_000_000_000 + F.col("b.pos"))
+    """Judged pairs of the facts over the orders; facts are written once, for pairing reads them four times."""
+    return J.judged(P.ready_pairs(settle(P.ready_facts(order_facts(spark, sf_dir))))).withColumn("edge_id", F.col("a.pos") * 1_000_000_000 + F.col("b.pos"))
 
 
 # Facts and their relationships
@@ -42,7 +47,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FACTS_SQL + "SELECT taxonomy, reconciliation, count(*) AS n FROM j GROUP BY ALL")
 def class_counts(spark, sf_dir):
-    return J.class_counts(edges(spark, sf_dir))
+    """Counted by classes of facts: no pair of facts is made."""
+    return Q.class_counts(settle(order_facts(spark, sf_dir)))
 
 
 @query(FACTS_SQL + "SELECT pos_a, pos_b, relationship, taxonomy, reconciliation, confidence, delta FROM j")
@@ -92,7 +98,7 @@ def facts_with_source(spark, sf_dir):
 
 @query(FACTS_SQL + ", s AS (SELECT pos, sum(c) AS c FROM (SELECT pos_a AS pos, CAST(round(confidence * 100) AS BIGINT) AS c FROM j UNION ALL SELECT pos_b, CAST(round(confidence * 100) AS BIGINT) FROM j) GROUP BY pos) SELECT f.pos AS fact_id, round(greatest(0, least(1, ext * ground * bind + coalesce(c, 0) / CAST(100 AS DOUBLE))), 3) AS final_confidence FROM f LEFT JOIN s USING (pos)")
 def rescored_confidence(spark, sf_dir):
-    return J.analyse(order_facts(spark, sf_dir)).confidences
+    return Q.confidences(settle(order_facts(spark, sf_dir)))
 
 
 COUNTERS_SQL = """ SELECT count(*) AS relationships_found, count(*) FILTER (relationship = 'CORROBORATES') AS corroborations, count(*) FILTER (relationship = 'CONTRADICTS') AS contradictions, count(*) FILTER (relationship = 'LIKELY_CONTRADICTION') AS likely_contradictions,
@@ -101,13 +107,13 @@ count(*) FILTER (relationship = 'RECONCILED') AS reconciled, count(*) FILTER (re
 
 @query(FACTS_SQL + COUNTERS_SQL + ", count(*) AS candidate_pairs_evaluated, (SELECT count(*) FROM f) AS total_accepted_facts FROM j")
 def analysis_summary(spark, sf_dir):
-    return J.analyse(order_facts(spark, sf_dir)).summary
+    return J.analyse(settle(order_facts(spark, sf_dir))).summary
 
 
 @query(facts_sql("c_name") + "SELECT taxonomy, reconciliation, count(*) AS n FROM j GROUP BY ALL")
 def customer_class_counts(spark, sf_dir):
     """The pairs of all customers' facts."""
-    return J.class_counts(J.judged(P.candidate_pairs(order_facts(spark, sf_dir, "c_name"))))
+    return Q.class_counts(settle(order_facts(spark, sf_dir, "c_name")))
 
 
 @query(FACTS_SQL + """, x AS (SELECT *, CASE WHEN reconciliation <> 'NONE' THEN reconciliation ELSE taxonomy END AS kind, format('{:g}', va) || ' INR' AS na_, format('{:g}', vb) || ' INR' AS nb_, CAST(delta AS VARCHAR) || ' % apart' AS apart,
@@ -216,7 +222,7 @@ def upsert_documents(spark, sf_dir):
 @query(FACTS_SQL + "SELECT pos_a AS fact_id_a, pos_b AS fact_id_b, relationship AS relationship_type, confidence, CAST(4 AS INT) AS pipeline_version FROM j")
 def replace_relationships(spark, sf_dir):
     """An analysis takes the place of all stored relationships."""
-    root, facts = S.scratch(spark), order_facts(spark, sf_dir)
+    root, facts = S.scratch(spark), settle(order_facts(spark, sf_dir))
     S.commit(spark, root, {"fact_relationships": _tables(spark, sf_dir)["fact_relationships"]})
     S.commit(spark, root, {"fact_relationships": J.analyse(facts).relationships})
     return S.read(spark, root, "fact_relationships").select("fact_id_a", "fact_id_b", "relationship_type", "confidence", "pipeline_version")
@@ -246,6 +252,87 @@ def schema_evolution(spark, sf_dir):
     return S.evolved(order_facts(spark, sf_dir).select("fact_id", F.col("entity").alias("subject"), F.lit(None).cast("string").alias("metric")))
 
 
+# From pages to stored relationships
+
+
+def _reports(spark, sf_dir):
+    """A document for each nation, with a page for each year of its orders: a series, a line on profit, and lines that are no facts."""
+    n, y = read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.year("o_orderdate")
+    orders = read(spark, sf_dir, "orders").select("o_custkey", y.alias("y"), F.col("o_orderpriority").startswith("1").alias("urgent"))
+    sums = orders.join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "y").agg(F.count("*").alias("n"), F.count_if("urgent").alias("u"))
+    num = lambda c: F.col(c).cast("string")
+    text = F.concat(
+        F.lit("Net profit was ₹"), (F.col("n") + 200).cast("string"), F.lit(" million in FY"), num("y"), F.lit(" against a plan.\nContents ...... 12\n(₹ in million)\nExpress parcel shipment volume (million)\nFY"), num("y"), F.lit(" FY"), (F.col("y") + 1).cast("string"),
+        F.lit("\n"), (F.col("n") + 3000).cast("string"), F.lit(" "), (F.col("u") + 3000).cast("string"), F.lit("\nCPI [2001=100]\n"),
+    )
+    return sums.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("document_id"), F.lit("delhivery-fy24.pdf").alias("filename"), (F.col("y") - 1991).cast("int").alias("page_number"), text.alias("text"))
+
+
+REPORTS_SQL = """WITH s AS (SELECT n_name AS doc, year(o_orderdate) AS y, count(*) AS n, count(*) FILTER (starts_with(o_orderpriority, '1')) AS u FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+d AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY y) - 1 AS INT) AS chunk FROM s),
+w AS (SELECT doc, y - 1991 AS page, chunk, r, m, p, v, x, nu, t, pred, b, e, c FROM d, LATERAL (VALUES
+  (1, 'Express Parcel Shipment Volume', 'FY ' || y, CAST(n + 3000 AS VARCHAR), n + 3000, 'million_parcels', 'COUNT', 'was reported as', 'table_series_alignment', 0.92, 0.98),
+  (2, 'Express Parcel Shipment Volume', 'FY ' || (y + 1), CAST(u + 3000 AS VARCHAR), u + 3000, 'million_parcels', 'COUNT', 'was reported as', 'table_series_alignment', 0.92, 0.98),
+  (3, 'Net Profit', 'FY ' || y, '₹' || (n + 200) || ' million', (n + 200) * 1000000, 'INR', 'MONEY', 'reached', 'sentence_direct', 0.85, 0.85)) f(r, m, p, v, x, nu, t, pred, b, e, c)),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY page, r) AS INT) AS place, CAST(x AS DOUBLE) AS value FROM w),
+g AS (SELECT a.doc AS doc_a, a.place AS place_a, b.doc AS doc_b, b.place AS place_b, a.p = b.p AS same, round(abs(a.value - b.value) / ((abs(a.value) + abs(b.value)) / CAST(2 AS DOUBLE)) * CAST(100 AS DOUBLE), 2) AS delta
+  FROM f a JOIN f b ON a.m = b.m AND (a.doc, a.place) < (b.doc, b.place) AND (a.doc <> b.doc OR a.value <> b.value)),
+h AS (SELECT *, CASE WHEN NOT same THEN 'TEMPORAL_COMPARISON' WHEN delta < 0.1 THEN 'CORROBORATES' WHEN delta < 1.5 THEN 'RECONCILED_ROUNDING' WHEN delta <= 5.0 THEN 'LIKELY_CONTRADICTION' ELSE 'CONTRADICTS' END AS taxonomy_category,
+  (CASE WHEN NOT same THEN 0.85 WHEN delta < 0.1 THEN 0.95 WHEN delta < 1.5 THEN 0.90 WHEN delta <= 5.0 THEN 0.80 ELSE 0.85 END)::DOUBLE AS confidence FROM g)
+"""
+
+
+def _placed(facts):
+    """Stored facts with their place in the document: the numbers themselves follow the hashes of the documents."""
+    return facts.withColumn("place", (F.col("fact_id") - F.min("fact_id").over(Window.partitionBy("document_id")) + 1).cast("int"))
+
+
+def _landed(spark, sf_dir) -> str:
+    root = S.scratch(spark)
+    land(_reports(spark, sf_dir), root, ("queries", 0))
+    return root
+
+
+@query(REPORTS_SQL + """SELECT doc AS document_id, place, CAST(page AS INT) AS page, chunk AS chunk_index, CAST(TRUE AS BOOLEAN) AS chunk_is_there, 'Delhivery Limited' AS subject, m AS metric, pred AS predicate, v AS value, value AS normalized_value, nu AS normalized_unit, p AS period, t AS value_type, b AS binding_method, 'fallback' AS extraction_method,
+CAST(4 AS INT) AS pipeline_version, round(CAST(e AS DOUBLE) * CAST(c AS DOUBLE), 3) AS final_confidence, (SELECT count(*) FROM f) AS numbers FROM f""")
+def stored_facts(spark, sf_dir):
+    """Facts as they are stored: numbered without gaps, with their chunks, predicates and versions."""
+    root = _landed(spark, sf_dir)
+    facts, chunks = S.rows_of(spark, root, "facts"), S.rows_of(spark, root, "chunks").select("chunk_id", "document_id", "chunk_index", F.lit(True).alias("chunk_is_there"))
+    numbers = facts.agg(F.max("fact_id").alias("numbers"))
+    out = _placed(facts).join(chunks, ["chunk_id", "document_id", "chunk_index"]).join(numbers, F.col("numbers") > 0)
+    return out.select("document_id", "place", "page", "chunk_index", "chunk_is_there", "subject", "metric", "predicate", "value", "normalized_value", "normalized_unit", "period", "value_type", "binding_method", "extraction_method", "pipeline_version", "final_confidence", "numbers")
+
+
+@query(REPORTS_SQL + "SELECT doc AS document_id, CAST(page AS INT) AS page, unnest(['Contents ...... 12', '(₹ in million)', 'CPI [2001=100]']) AS candidate_text, unnest(['NAVIGATION_REFERENCE', 'TABLE_HEADER_WITHOUT_VALUE', 'STRUCTURAL_INDEX_METADATA']) AS failure_type, CAST(unnest([0, 1, 2]) + 3 * chunk AS INT) AS place FROM (SELECT DISTINCT doc, page, chunk FROM w)")
+def stored_rejects(spark, sf_dir):
+    """The ledger as it is stored, in the order in which lines were met."""
+    rows = S.rows_of(spark, _landed(spark, sf_dir), "rejected_extractions")
+    place = (F.col("rejected_id") - F.min("rejected_id").over(Window.partitionBy("document_id"))).cast("int")
+    return rows.where("created_at is not null").select("document_id", "page", "candidate_text", "failure_type", place.alias("place"))
+
+
+@query(REPORTS_SQL + "SELECT doc_a, place_a, doc_b, place_b, taxonomy_category, confidence, delta AS comparison_delta, (SELECT count(*) FROM h) AS numbers FROM h")
+def stored_relationships(spark, sf_dir):
+    """From pages to stored relationships: landed, extracted, numbered, analysed, committed, and read back."""
+    root = _landed(spark, sf_dir)
+    analyse_store(spark, root)
+    facts = _placed(S.rows_of(spark, root, "facts")).select("fact_id", F.struct("document_id", "place").alias("at"))
+    e = S.rows_of(spark, root, "fact_relationships")
+    e = e.join(facts.select(F.col("fact_id").alias("fact_id_a"), F.col("at").alias("x")), "fact_id_a").join(facts.select(F.col("fact_id").alias("fact_id_b"), F.col("at").alias("y")), "fact_id_b")
+    e = e.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(e.agg(F.max("relationship_id").alias("numbers")), F.col("numbers") > 0)
+    return e.select(F.col("a.document_id").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.document_id").alias("doc_b"), F.col("b.place").alias("place_b"), "taxonomy_category", "confidence", "comparison_delta", "numbers")
+
+
+@query(REPORTS_SQL + """, k AS (SELECT doc, place, sum(c) AS c FROM (SELECT doc_a AS doc, place_a AS place, CAST(round(confidence * 100) AS BIGINT) AS c FROM h UNION ALL SELECT doc_b, place_b, CAST(round(confidence * 100) AS BIGINT) FROM h) GROUP BY ALL)
+SELECT doc AS document_id, place, round(greatest(0, least(1, CAST(e AS DOUBLE) * 1.0::DOUBLE * CAST(f.c AS DOUBLE) + coalesce(k.c, 0) / CAST(100 AS DOUBLE))), 3) AS final_confidence FROM f LEFT JOIN k USING (doc, place)""")
+def stored_confidences(spark, sf_dir):
+    """Confidences after an analysis, as they are written back to the stored facts."""
+    root = _landed(spark, sf_dir)
+    analyse_store(spark, root)
+    return _placed(S.rows_of(spark, root, "facts")).select("document_id", "place", "final_confidence")
+
+
 # Text
 
 
@@ -430,13 +517,13 @@ def period_scope_vintage(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", N.period(said).alias("period"), N.period_scope(about).alias("scope"), N.vintage(estimate).alias("vintage"))
 
 
-@query(r"""WITH b AS (SELECT item_id, 'plain' AS variant, text AS q FROM benchmark UNION ALL SELECT item_id, 'upper', upper(text) FROM benchmark UNION ALL SELECT item_id, 'spaced', replace(text, ' ', '   ') FROM benchmark),
+@query(r"""WITH b AS (SELECT item_id, 'plain' AS variant, text AS q FROM benchmark UNION ALL SELECT item_id, 'upper', translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM benchmark UNION ALL SELECT item_id, 'spaced', replace(text, ' ', '   ') FROM benchmark),
 c AS (SELECT *, regexp_replace(lower(trim(q)), '[\t\n\x0B\f\r ]+', ' ', 'g') AS flat FROM b), d AS (SELECT *, regexp_replace(lower(text), '[\t\n\x0B\f\r ]+', ' ', 'g') AS flat FROM documents)
 SELECT doc_id, item_id, variant, CAST(CASE WHEN contains(d.text, q) THEN 1.0 WHEN contains(lower(d.text), lower(trim(q))) THEN 0.85 ELSE 0.7 END AS DOUBLE) AS grounding FROM d JOIN c ON contains(d.flat, c.flat)""")
 def grounding_score(spark, sf_dir):
-    """Benchmark passages in documents, as they are, in capitals, and with other white space."""
+    """Benchmark passages in documents, as they are, in capitals (a-z alone: engines differ on others), and with other white space."""
     b = read(spark, sf_dir, "benchmark")
-    variants = [b.select("item_id", F.lit(name).alias("variant"), q.alias("quote")) for name, q in (("plain", F.col("text")), ("upper", F.upper("text")), ("spaced", F.replace("text", F.lit(" "), F.lit("   "))))]
+    variants = [b.select("item_id", F.lit(name).alias("variant"), q.alias("quote")) for name, q in (("plain", F.col("text")), ("upper", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), ("spaced", F.replace("text", F.lit(" "), F.lit("   "))))]
     return X.grounded(read(spark, sf_dir, "documents"), variants[0].unionByName(variants[1]).unionByName(variants[2])).select("doc_id", "item_id", "variant", "grounding")
 
 
