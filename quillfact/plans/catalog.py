@@ -17,6 +17,8 @@ from quillfact.operators import judge as J
 from quillfact.operators import pairs as P
 from quillfact.operators import rank as K
 from quillfact.plans.facts import FACTS_SQL, facts_sql, order_facts, read
+from quillfact.plans.lines import LINES_SQL as LADDER_SQL
+from quillfact.plans.lines import made_lines
 from quillfact.sources import connectors as A
 from quillfact.sources import store as S
 from quillfact.sources.scratch import settle
@@ -623,6 +625,13 @@ def line_routing(spark, sf_dir):
     return C.nonblank_lines(_report(spark, sf_dir), *X.KEYS).select("document_id", C.route(F.col("line")).alias("failure_type")).where("failure_type is not null")
 
 
+@query(LADDER_SQL)
+def line_ladders(spark, sf_dir):
+    """What the extractor makes of many lines: phrases, forms of numbers and contexts that hit or miss each of its rules."""
+    rows = X.line_candidates(made_lines(spark, sf_dir), "k")
+    return rows.select("k", "rank", "number", "entity", "metric", "value", "unit", "period", F.col("period_scope").alias("scope"), "predicate")
+
+
 PHRASES = ["Revenue from Operations", "express parcel orders", "Express Parcel Revenue", "EBITDA margin", "EBITDA", "net profit", "Profit after Tax", "women employees", "headcount", "employee attrition", "real GDP growth", "headline inflation", "policy repo rate", "share capital", "offer of", "total income", "operating income", "cash flow", "net debt", "litigation"]
 
 

@@ -6,7 +6,11 @@ where it fails, the rules take over. Answers are written to a table before they
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +29,35 @@ qualifiers: string, raw_quote: string, extraction_confidence: double, value_bind
 JUDGEMENT = "taxonomy_category string, reasoning string, confidence_delta double, comparison_delta double"
 
 
+#: Seconds that a model has for an answer about a chunk, and about a pair; calls of a task that run side by side.
+ASK_SECONDS, JUDGE_SECONDS, WORKERS = 15.0, 4.0, 4
+
+
+def timed(call: Callable, seconds: float) -> Callable:
+    """call, with a deadline: where it gives no answer in time, TimeoutError. A call that hangs is left to a thread of its own,
+    which ends with the worker."""
+
+    def run(*args):
+        box: queue.SimpleQueue = queue.SimpleQueue()
+
+        def answer() -> None:
+            try:
+                box.put((call(*args), None))
+            except BaseException as e:
+                box.put((None, e))
+
+        threading.Thread(target=answer, daemon=True).start()
+        try:
+            value, error = box.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no answer in {seconds:g} s") from None
+        if error is not None:
+            raise error
+        return value
+
+    return run
+
+
 def pages_of(files: DataFrame, parse: Callable[[bytes], list[str]]) -> DataFrame:
     """Pages of files(document_id, filename, content), numbered from 1; a file that cannot be parsed gives one row with the error."""
 
@@ -40,28 +73,36 @@ def pages_of(files: DataFrame, parse: Callable[[bytes], list[str]]) -> DataFrame
     return files.select("document_id", "filename", "content").mapInPandas(run, PAGES)
 
 
-def ask(chunks: DataFrame, call: Callable[[str, str, int], str], path: str) -> DataFrame:
+def ask(chunks: DataFrame, call: Callable[[str, str, int], str], path: str, seconds: float = ASK_SECONDS, workers: int = WORKERS) -> DataFrame:
     """What a model says (call(text, filename, page) gives a JSON object) of chunks(document_id, filename, page_number,
-    chunk_index, text), written to path. The chunks of a document are asked about in order; after a failure the model is
-    not asked about the document's other chunks."""
+    chunk_index, text), written to path. The chunks of a document are asked about in order, those of several documents side
+    by side; after a failure, or no answer within the seconds, the model is not asked about the document's other chunks."""
+
+    def of_document(rows: list[tuple], failed: bool) -> tuple[list[tuple], bool]:
+        said, answer_of = [], timed(call, seconds)
+        for name, page, text in rows:
+            if failed:
+                said.append((None, "fallback", "model failed on an earlier chunk"))
+                continue
+            try:
+                answer = answer_of(text, name, page)
+                if not isinstance(json.loads(answer), dict):
+                    raise ValueError("no JSON object")
+                said.append((answer, "llm", None))
+            except Exception as e:
+                failed = True
+                said.append((None, "fallback", f"model failed: {e}"))
+        return said, failed
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failed: str | None = None  # rows come by document
-        for frame in frames:
-            said = []
-            for doc, name, page, text in zip(frame["document_id"], frame["filename"], frame["page_number"], frame["text"], strict=True):
-                if doc == failed:
-                    said.append((None, "fallback", "model failed on an earlier chunk"))
-                    continue
-                try:
-                    answer = call(text, name, page)
-                    if not isinstance(json.loads(answer), dict):
-                        raise ValueError("no JSON object")
-                    said.append((answer, "llm", None))
-                except Exception as e:
-                    failed = doc
-                    said.append((None, "fallback", f"model failed: {e}"))
-            yield frame.assign(**{c: [s[i] for s in said] for i, c in enumerate(("answer", "method", "warning"))})
+        failed: str | None = None  # rows come by document; one may go on in the next frame
+        with ThreadPoolExecutor(workers) as pool:
+            for frame in frames:
+                docs = [(doc, list(rows)) for doc, rows in groupby(zip(frame["document_id"], frame["filename"], frame["page_number"], frame["text"], strict=True), key=lambda r: r[0])]
+                done = list(pool.map(lambda d, failed=failed: of_document([r[1:] for r in d[1]], d[0] == failed), docs))
+                failed = docs[-1][0] if docs and done[-1][1] else None
+                said = [x for some, _ in done for x in some]
+                yield frame.assign(**{c: [s[i] for s in said] for i, c in enumerate(("answer", "method", "warning"))})
 
     asked = chunks.select(*KEYS, "text").repartition("document_id").sortWithinPartitions("document_id", "chunk_index")
     asked.mapInPandas(run, ANSWERS).write.mode("overwrite").parquet(path)
@@ -84,9 +125,9 @@ def said_facts(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked(c, F.col("raw_quote"))
 
 
-def extract_with_model(chunks: DataFrame, call: Callable[[str, str, int], str], path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_with_model(chunks: DataFrame, call: Callable[[str, str, int], str], path: str, seconds: float = ASK_SECONDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, rejected, modes): of the model where it answers, of the rules elsewhere."""
-    answers = ask(chunks, call, path)
+    answers = ask(chunks, call, path, seconds)
     facts, rejected = said_facts(answers)
     others, noise = extract_facts(answers.where("answer is null").select(*KEYS, "text"))
     both = lambda a, b: a.unionByName(b.withColumn("extraction_method", F.lit("fallback")) if "extraction_method" in a.columns else b, allowMissingColumns=True)
@@ -102,20 +143,21 @@ def run_modes(answers: DataFrame) -> DataFrame:
     return modes.join(said, "document_id", "left").select("document_id", "mode", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
 
 
-def judge_with_model(call: Callable[[str], str], path: str) -> Callable[[DataFrame], DataFrame]:
+def judge_with_model(call: Callable[[str], str], path: str, seconds: float = JUDGE_SECONDS, workers: int = WORKERS) -> Callable[[DataFrame], DataFrame]:
     """A judge for analyse: the rules decide, and of what they leave uncertain the model (call(pair as JSON) gives a JSON
-    object) is asked; where it fails, the pair stays uncertain."""
+    object) is asked; where it fails or gives no answer within the seconds, the pair stays uncertain."""
+
+    def opinion(question: str) -> str | None:
+        try:
+            answer = timed(call, seconds)(question)
+            return answer if isinstance(json.loads(answer), dict) else None
+        except Exception:
+            return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            said = []
-            for question in frame["question"]:
-                try:
-                    answer = call(question)
-                    said.append(answer if isinstance(json.loads(answer), dict) else None)
-                except Exception:
-                    said.append(None)
-            yield frame[["pos_a", "pos_b"]].assign(answer=said)
+        with ThreadPoolExecutor(workers) as pool:
+            for frame in frames:
+                yield frame[["pos_a", "pos_b"]].assign(answer=list(pool.map(opinion, frame["question"])))
 
     def judge(pairs: DataFrame) -> DataFrame:
         out = pairs.select("*", F.inline(F.array(verdict()))).withColumn("delta", percent_delta(F.col("a.normalized_value"), F.col("b.normalized_value")))

@@ -217,6 +217,33 @@ def test_model_extraction_falls_back(spark, tmp_path):
     assert all(r.rejection_reason for r in rejected.collect())
 
 
+def test_a_model_that_hangs_is_left_behind(spark, tmp_path):
+    def answer(text, filename, page):
+        import time
+
+        if "slow" in text:
+            time.sleep(60)
+        return json.dumps({"facts": [{"metric": "Sales", "value": "12", "unit": "INR crore", "raw_quote": text}]})
+
+    texts = {"a": ["Sales came to 12 crore", "the slow part of 12 crore", "Sales of 12 crore"], "b": ["Sales were 12 crore"] * 3, "c": ["slow 12 crore"]}
+    chunks = spark.createDataFrame([(d, "x.pdf", 1, i, t) for d, some in texts.items() for i, t in enumerate(some)], "document_id string, filename string, page_number int, chunk_index int, text string")
+    answers = A.ask(chunks.coalesce(1), answer, f"{tmp_path}/answers", seconds=1.0).collect()
+    got = {(r.document_id, r.chunk_index): (r.method, r.warning) for r in answers}
+    late, after = ("fallback", "model failed: no answer in 1 s"), ("fallback", "model failed on an earlier chunk")
+    assert got == {("a", 0): ("llm", None), ("a", 1): late, ("a", 2): after, **{("b", i): ("llm", None) for i in range(3)}, ("c", 0): late}
+    assert all(r.answer is None or json.loads(r.answer)["facts"][0]["raw_quote"] == r.text for r in answers)  # order is kept
+
+    def opinion(question):
+        import time
+
+        time.sleep(60 if json.loads(question)["a"]["pos"] == 0 else 0)
+        return json.dumps({"taxonomy_category": "contextual_difference", "confidence_delta": 0.9})
+
+    facts = facts_table(spark, [{}, {}, {"period": None}])
+    judged = A.judge_with_model(opinion, f"{tmp_path}/said", seconds=1.0)(P.candidate_pairs(facts)).collect()
+    assert {(r.a.pos, r.b.pos): r.taxonomy for r in judged} == {(0, 1): "CORROBORATES", (0, 2): "UNRELATED", (1, 2): "CONTEXTUAL_DIFFERENCE"}
+
+
 def test_model_judges_what_rules_leave_open(spark, tmp_path):
     def opinion(question):
         pair = json.loads(question)
