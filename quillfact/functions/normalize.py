@@ -95,3 +95,11 @@ def _unit_ladder(x: Column) -> Column:
         .when(money.isNotNull(), out(scaled, money, F.lit("MONEY"), factor, money))
         .otherwise(out(scaled, F.nullif(x["unit"], F.lit("")), role, factor))
     )
+
+
+def human(value: Column, unit: Column) -> Column:
+    """A value as it is shown to people: billions and millions to two places, other fractions from a thousand on too, and else the number
+    with its digits in groups and three places at most; empty without a value."""
+    fixed = lambda c, mark: F.concat(F.format_string("%.2f", c), F.lit(mark))
+    number = F.when(value >= 1e9, fixed(value / 1e9, "B")).when(value >= 1e6, fixed(value / 1e6, "M")).when((value >= 1e3) & (value % 1 != 0), fixed(value, "")).otherwise(F.call_function("format_number", value, F.lit("#,##0.###")))
+    return F.coalesce(F.trim(F.concat(number, F.lit(" "), F.coalesce(unit, F.lit("")))), F.lit(""))

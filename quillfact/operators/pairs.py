@@ -182,3 +182,32 @@ def first_pairs(pairs: DataFrame, by: str, k: int) -> DataFrame:
     """The first k pairs of each value of a column, by priority and position."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("priority"), "a.pos", "b.pos"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def similar_metrics(metrics: DataFrame, threshold: float) -> DataFrame:
+    """metric_a, metric_b, score of different canonical metrics (one column canonical_metric) that share at least threshold of the
+    words that either has. Metrics meet by the words that they share; only counts of common words are compared."""
+    words = metrics.distinct().select("canonical_metric", F.array_distinct(F.split("canonical_metric", "_")).alias("w"))
+    each = words.select("canonical_metric", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = each.alias("a"), each.alias("b")
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.canonical_metric") < F.col("b.canonical_metric"))).groupBy(F.col("a.canonical_metric").alias("metric_a"), F.col("b.canonical_metric").alias("metric_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).agg(F.count("*").alias("common"))
+    return met.select("metric_a", "metric_b", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("score")).where(F.col("score") >= threshold)
+
+
+def similar_pairs(keyed: DataFrame, threshold: float = L.SIMILARITY, gates: bool = True) -> DataFrame:
+    """a, b, score of ready facts of different documents whose metrics are merely alike. With the gates on there are none, for
+    those ask for one canonical metric; without them entities and units may differ too."""
+    if gates:
+        return keyed.select(F.struct(*JUDGED).alias("a"), F.struct(*JUDGED).alias("b"), F.lit(1.0).alias("score")).limit(0)
+    alike = similar_metrics(keyed.select("canonical_metric"), threshold)
+    one, two = (keyed.select(F.col("canonical_metric").alias(f"metric_{x}"), F.struct(*JUDGED).alias(x)) for x in "xy")
+    both = alike.join(one.withColumnRenamed("metric_x", "metric_a"), "metric_a").join(two.withColumnRenamed("metric_y", "metric_b"), "metric_b").where(F.col("x.document_id") != F.col("y.document_id"))
+    turned = F.col("x.pos") > F.col("y.pos")
+    return both.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b"), "score")
+
+
+def with_similar(pairs: DataFrame, similar: DataFrame, limit: int = L.PREVIEW) -> DataFrame:
+    """All pairs (of ready_pairs, their score is 1), and of the similar ones the best, as many as are left of limit; ties go by position."""
+    room = max(limit - pairs.limit(limit).count(), 0)
+    best = similar.orderBy(F.desc("score"), "a.pos", "b.pos").limit(room)
+    return pairs.select("a", "b", "priority", F.lit(1.0).alias("score")).unionByName(best.select("a", "b", F.lit(0.0).alias("priority"), "score"))

@@ -289,9 +289,21 @@ def _placed(facts):
     return facts.withColumn("place", (F.col("fact_id") - F.min("fact_id").over(Window.partitionBy("document_id")) + 1).cast("int"))
 
 
-def _landed(spark, sf_dir) -> str:
+_STORES: dict = {}
+
+
+def _landed(spark, sf_dir, analysed: bool = False) -> str:
+    """A store of the reports, landed once a session (and one of its tables, analysed), for as long as its folder is there."""
+    key = (spark.sparkContext.applicationId, sf_dir, analysed)
+    if key in _STORES and S.exists(spark, _STORES[key], "facts"):
+        return _STORES[key]
     root = S.scratch(spark)
-    land(_reports(spark, sf_dir), root, ("queries", 0))
+    if analysed:
+        S.commit(spark, root, {t: S.read(spark, _landed(spark, sf_dir), t) for t in S.BY_DOCUMENT})
+        analyse_store(spark, root)
+    else:
+        land(_reports(spark, sf_dir), root, ("queries", 0))
+    _STORES[key] = root
     return root
 
 
@@ -317,8 +329,7 @@ def stored_rejects(spark, sf_dir):
 @query(REPORTS_SQL + "SELECT doc_a, place_a, doc_b, place_b, taxonomy_category, confidence, delta AS comparison_delta, (SELECT count(*) FROM h) AS numbers FROM h")
 def stored_relationships(spark, sf_dir):
     """From pages to stored relationships: landed, extracted, numbered, analysed, committed, and read back."""
-    root = _landed(spark, sf_dir)
-    analyse_store(spark, root)
+    root = _landed(spark, sf_dir, analysed=True)
     facts = _placed(S.rows_of(spark, root, "facts")).select("fact_id", F.struct("document_id", "place").alias("at"))
     e = S.rows_of(spark, root, "fact_relationships")
     e = e.join(facts.select(F.col("fact_id").alias("fact_id_a"), F.col("at").alias("x")), "fact_id_a").join(facts.select(F.col("fact_id").alias("fact_id_b"), F.col("at").alias("y")), "fact_id_b")
@@ -330,11 +341,43 @@ def stored_relationships(spark, sf_dir):
 SELECT doc AS document_id, place, round(greatest(0, least(1, CAST(e AS DOUBLE) * 1.0::DOUBLE * CAST(f.c AS DOUBLE) + coalesce(k.c, 0) / CAST(100 AS DOUBLE))), 3) AS final_confidence FROM f LEFT JOIN k USING (doc, place)""")
 def stored_confidences(spark, sf_dir):
     """Confidences after an analysis, as they are written back to the stored facts."""
-    root = _landed(spark, sf_dir)
-    analyse_store(spark, root)
+    root = _landed(spark, sf_dir, analysed=True)
     return _placed(S.rows_of(spark, root, "facts")).select("document_id", "place", "final_confidence")
 
 
+@query(REPORTS_SQL + "SELECT doc AS document_id, 'delhivery-fy24.pdf' AS filename, CAST(count(*) AS INT) AS page_count, CAST(count(*) AS INT) AS chunk_count FROM s GROUP BY doc")
+def document_listing(spark, sf_dir):
+    """Stored documents, the latest first."""
+    rows = S.rows_of(spark, _landed(spark, sf_dir), "documents").where("upload_timestamp is not null and file_hash is not null")
+    return rows.orderBy(F.desc("upload_timestamp"), "document_id").select("document_id", "filename", "page_count", "chunk_count")
+
+
+@query(REPORTS_SQL + r"""SELECT doc AS document_id, chunk AS chunk_index, CAST(page AS INT) AS page_number, 0 AS start_char, CAST(length(text) AS INT) AS end_char, CAST(floor(len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) * CAST(1.33 AS DOUBLE)) AS INT) AS token_count FROM (SELECT doc, chunk, y - 1991 AS page,
+  'Net profit was ₹' || (n + 200) || ' million in FY' || y || ' against a plan.' || chr(10) || 'Contents ...... 12' || chr(10) || '(₹ in million)' || chr(10) || 'Express parcel shipment volume (million)' || chr(10) || 'FY' || y || ' FY' || (y + 1) || chr(10) || (n + 3000) || ' ' || (u + 3000) || chr(10) || 'CPI [2001=100]' || chr(10) AS text FROM d)""")
+def chunk_listing(spark, sf_dir):
+    """Stored chunks, document by document in their order."""
+    rows = S.rows_of(spark, _landed(spark, sf_dir), "chunks")
+    return rows.orderBy("document_id", "chunk_index").select("document_id", "chunk_index", "page_number", "start_char", "end_char", "token_count")
+
+
+@query("""SELECT p_partkey, CASE WHEN v >= 1e9 THEN printf('%.2f', v / 1e9::DOUBLE) || 'B' WHEN v >= 1e6 THEN printf('%.2f', v / 1e6::DOUBLE) || 'M' WHEN v >= 1000 AND v <> floor(v) THEN printf('%.2f', v) ELSE regexp_replace(format('{:,.3f}', v), '\.?0+$', '') END || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' INR' END AS shown
+FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size * 1e9 WHEN 1 THEN p_size * 1e6 WHEN 2 THEN p_retailprice WHEN 3 THEN p_size * 101 WHEN 4 THEN -p_size * 1000 ELSE p_size / CAST(8 AS DOUBLE) END::DOUBLE AS v FROM part)""")
+def human_values(spark, sf_dir):
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("double")
+    v = F.when(k == 0, size * 1e9).when(k == 1, size * 1e6).when(k == 2, F.col("p_retailprice").cast("double")).when(k == 3, size * 101).when(k == 4, -size * 1000).otherwise(size / 8)
+    return read(spark, sf_dir, "part").select("p_partkey", N.human(v, F.when(F.col("p_partkey") % 3 != 0, "INR")).alias("shown"))
+
+
+@query(FACTS_SQL + """, r AS (SELECT a.pos, b.pos AS other, a.document_id AS doc_a, b.document_id AS doc_b FROM e a JOIN e b ON a.pos < b.pos AND a.document_id <> b.document_id WHERE (a.document_id = 'copy') <> (b.document_id = 'copy'))
+SELECT pos AS pos_a, other AS pos_b, CAST(CAST(2 AS DOUBLE) / 4 AS DOUBLE) AS score FROM r ORDER BY pos, other LIMIT 40""")
+def similar_pairs(spark, sf_dir):
+    """The first pairs of facts whose metrics are alike and no more (the facts of one report have another name here), gates off."""
+    facts = order_facts(spark, sf_dir).withColumn("metric", F.when(F.col("document_id") == "copy", "Total Revenue of Shops").otherwise(F.col("metric")))
+    ready = settle(P.ready_facts(facts))
+    out = P.with_similar(P.ready_pairs(ready).limit(0), P.similar_pairs(ready, gates=False), 40)
+    return out.select(F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), "score")
+
+
 # Text
 
 

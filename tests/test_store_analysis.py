@@ -173,3 +173,26 @@ def test_numbers_do_not_depend_on_the_order_of_rows(spark):
     one = number(rows, 3)
     assert sorted(one.values()) == list(range(5, 105)) and one == number(rows[::-1], 8)
     assert all(one[d, i + 1] == one[d, i] + 1 for d, i in one if (d, i + 1) in one)
+
+
+def test_similar_metrics_equal_all_pairs(spark):
+    metrics = ["net_profit", "net_profit_margin", "profit_after_tax", "net_net_debt", "cash_flow", "flow", "margin", "net_profit_margin_change"]
+    words = {m: set(m.split("_")) for m in metrics}
+    for t in (0.35, 0.5):
+        want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in metrics for b in metrics if a < b and len(words[a] & words[b]) >= t * len(words[a] | words[b])}
+        got = P.similar_metrics(spark.createDataFrame([(m,) for m in metrics * 2], "canonical_metric string"), t).collect()
+        assert {(r.metric_a, r.metric_b): r.score for r in got} == pytest.approx(want)
+
+
+def test_similar_pairs_fill_what_is_left(spark):
+    facts = random_facts(spark, 3, 30).withColumn("metric", F.when(F.col("pos") % 5 == 0, "Sales of cloth").otherwise(F.col("metric")))
+    ready = P.ready_facts(facts).cache()
+    assert P.similar_pairs(ready).count() == 0
+    rows = [r.asDict() for r in ready.collect()]
+    words = lambda r: set(r["canonical_metric"].split("_"))
+    score = lambda a, b: len(words(a) & words(b)) / len(words(a) | words(b))
+    want = sorted((-score(a, b), a["pos"], b["pos"]) for a in rows for b in rows if a["pos"] < b["pos"] and a["document_id"] != b["document_id"] and a["canonical_metric"] != b["canonical_metric"] and score(a, b) >= 0.35)
+    exact = P.ready_pairs(ready).limit(5)
+    got = P.with_similar(exact, P.similar_pairs(ready, gates=False), 25).where("score < 1").collect()
+    assert sorted((-r.score, r.a.pos, r.b.pos) for r in got) == want[:20] and len(want) > 20
+    assert P.with_similar(exact, P.similar_pairs(ready, gates=False), 3).count() == 5
