@@ -39,7 +39,7 @@ LEAST_CLASS = 3
 #: So many times the slot words of the article elements must stand elsewhere for those to be a teaser.
 TEASER = 2
 # Fixed names of elements and of class, id and role words.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 ASIDE = frozenset("nav header footer aside form button select dialog menu fieldset head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
