@@ -4,7 +4,8 @@ Index: each chunk of training documents becomes a segment, that is for every ter
 which it occurs (documents are set apart by a gap). The index is stored once and serves any test set. Search: the windows of
 the test set are matched against each segment by intersecting offset-adjusted position lists, from the term that is rarest
 over the whole corpus; what is left are exact phrase matches. Proximity matches are items of which the other two of the
-three rarest terms occur within NEAR words of a place of the rarest, in one document. No posting is shuffled: segments stay
+three rarest terms (of equally rare ones the first in spelling) occur within NEAR words of a place of the rarest, in one
+document. No posting is shuffled: segments stay
 where their documents were read, the test set travels to them in blocks of bounded size.
 
 Defined results: a null text has no words; an item without words has no window; a test set of no items leaves all
@@ -43,7 +44,12 @@ class Queries:
         buf, begins = B.joined([text for _, text in items])
         starts, ends, first = B.words(buf, begins, B.ALNUM)
         hashed = B.hashes(B.running(buf), starts, ends)
-        self.terms, numbers = np.unique(hashed, return_inverse=True)
+        keys, at, numbers = np.unique(hashed, return_index=True, return_inverse=True)
+        spelt = [buf[starts[i] : ends[i]].tobytes() for i in at.tolist()]
+        order = np.array(sorted(range(len(spelt)), key=spelt.__getitem__), np.int64)  # terms are numbered as they are spelt, which decides ties
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.terms, numbers = keys[order], place[numbers]
         self.items = [name for name, _ in items]
         self.words = [numbers[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         of: dict[tuple, list[int]] = {}
@@ -52,6 +58,7 @@ class Queries:
                 of.setdefault(tuple(w[i : i + WINDOW].tolist()), []).append(item)
         self.windows = [(np.array(w), np.array(sorted(set(owners)))) for w, owners in of.items()]
         self.near: list[np.ndarray] = []
+        self.near_matrix = np.zeros((0, 3), np.int64)
         #: The windows' terms as a matrix; short windows repeat their last one.
         self.matrix = np.array([w + w[-1:] * (WINDOW - len(w)) for w in of], np.int64).reshape(-1, WINDOW)
 
@@ -59,6 +66,10 @@ class Queries:
         """Order the terms of each window, and choose those of the proximity match, by corpus frequency."""
         self.windows = [(w, np.argsort(df[w], kind="stable"), owners) for w, owners in self.windows]
         self.near = [np.unique(w)[np.argsort(df[np.unique(w)], kind="stable")][:3] for w in self.words]
+        filled = [i for i, n in enumerate(self.near) if len(n)]
+        self.near_items = [self.items[i] for i in filled]
+        self.near = [self.near[i] for i in filled]
+        self.near_matrix = np.array([[*n, *[n[-1]] * (3 - len(n))] for n in self.near], np.int64).reshape(-1, 3)
 
 
 def _build(batches):
@@ -128,16 +139,16 @@ def _search(queries: Queries):
                         for doc in np.unique(np.searchsorted(bases, at, side="right") - 1).tolist():
                             found.setdefault(doc, set()).update(queries.items[o] for o in owners)
                 near: dict[int, set[str]] = {}
-                for item, some in zip(queries.items, queries.near, strict=True):
-                    if len(some) and counts[some].all():
-                        at = lists(some[0])
-                        for k in some[1:]:
-                            places = lists(k)
-                            right = np.searchsorted(places, at)
-                            gap = np.minimum(np.abs(places[np.minimum(right, len(places) - 1)] - at), np.abs(places[np.maximum(right - 1, 0)] - at))
-                            at = at[gap <= NEAR]
-                        for doc in np.unique(np.searchsorted(bases, at, side="right") - 1).tolist():
-                            near.setdefault(doc, set()).add(item)
+                for number in np.flatnonzero((counts[queries.near_matrix] > 0).all(axis=1)).tolist() if len(counts) else ():  # items of which the rarest terms occur here
+                    some = queries.near[number]
+                    at = lists(some[0])
+                    for k in some[1:]:
+                        places = lists(k)
+                        right = np.searchsorted(places, at)
+                        gap = np.minimum(np.abs(places[np.minimum(right, len(places) - 1)] - at), np.abs(places[np.maximum(right - 1, 0)] - at))
+                        at = at[gap <= NEAR]
+                    for doc in np.unique(np.searchsorted(bases, at, side="right") - 1).tolist():
+                        near.setdefault(doc, set()).add(queries.near_items[number])
                 hit = np.flatnonzero(np.cumsum(marks) > 0)
                 owner = np.searchsorted(bases, hit, side="right") - 1
                 per = np.split(hit - bases[owner], np.searchsorted(owner, np.arange(1, len(ids))))

@@ -56,14 +56,12 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillfact.llm.decontaminate import contamination
 
-    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_near", "near_items")
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that the operator of op9_decontaminate gives, proximity matches too, for which there is no SQL."""
-    from quillfact.llm.decontaminate import contamination
-
-    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    """The proximity matches of op9_decontaminate, under the name that they had of their own."""
+    return op9_decontaminate(spark, sf_dir)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +111,23 @@ m AS (SELECT l.r, l.doc_id, l.line, l.pos, b.line IS NOT NULL AND (l.doc_id, l.p
 k AS (SELECT r, doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS text FROM m GROUP BY r, doc_id)
 """
 
+CONTAMINATION_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w, row_number() OVER () AS r FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM b WHERE len(w) > 0),
+s AS (SELECT DISTINCT n FROM q),
+p AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i+n-1], ' ')}}), recursive := true) FROM d, s WHERE len(w) >= n),
+m AS (SELECT p.doc_id, p.i, p.n, q.item_id FROM p JOIN q ON p.n = q.n AND p.g = q.g),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id),
+u AS (SELECT DISTINCT r, item_id, unnest(w) AS x FROM b),
+o AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) WHERE x IN (SELECT x FROM u)),
+f AS (SELECT x, count(*) AS df FROM o GROUP BY x),
+y AS (SELECT r, item_id, list(x ORDER BY coalesce(df, 0), x)[1:3] AS ws FROM u LEFT JOIN f USING (x) GROUP BY r, item_id),
+z AS (SELECT DISTINCT a.doc_id, y.item_id FROM y JOIN o a ON a.x = y.ws[1] WHERE (len(ws) < 2 OR EXISTS (SELECT 1 FROM o c WHERE c.doc_id = a.doc_id AND c.x = y.ws[2] AND abs(c.i - a.i) <= 20)) AND (len(ws) < 3 OR EXISTS (SELECT 1 FROM o c WHERE c.doc_id = a.doc_id AND c.x = y.ws[3] AND abs(c.i - a.i) <= 20))),
+v AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near_items FROM z GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN v USING (doc_id)"""
+
 ORACLE_SQL = {
     "op2_line_dedup": "WITH base AS (SELECT 1)" + LINE_DEDUP_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM k",
     "op4_exact_dedup": f"""WITH d AS (SELECT doc_id, {ASCII_LOWER} AS t FROM documents)
@@ -130,16 +145,8 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM d),
 c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a) k USING (doc_id)""",
-    "op9_decontaminate": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({ASCII_LOWER}, '{WORD}') AS w FROM benchmark),
-q AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i+9], ' '))) AS g FROM b WHERE len(w) > 0),
-s AS (SELECT DISTINCT n FROM q),
-p AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i+n-1], ' ')}}), recursive := true) FROM d, s WHERE len(w) >= n),
-m AS (SELECT p.doc_id, p.i, p.n, q.item_id FROM p JOIN q ON p.n = q.n AND p.g = q.g),
-h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op9_decontaminate": CONTAMINATION_SQL,
+    "op9_proximity": CONTAMINATION_SQL,
     "op11_filter_audit": rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
 l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
 f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, unnest([
