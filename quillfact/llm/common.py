@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfact.llm import bytetext as B
 from quillfact.sources.scratch import release, settle, shared_dir  # noqa: F401
 
 #: Rows of a single-column id table that may be broadcast (about 64 MB in executors); larger ones are shuffled.
@@ -33,6 +34,13 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect what finished queries left (plans, broadcasts) and give freed memory back, so that the steps of a
+    long session do not add up."""
+    spark.sparkContext._jvm.System.gc()
+    B.release()
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the doc_ids of ids (one column doc_id, settled); a row whose doc_id is null stays."""
     return docs.join(sized(ids), "doc_id", "left_anti").select(docs.columns)

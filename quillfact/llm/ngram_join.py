@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfact.llm import bytetext as B
-from quillfact.llm.common import arrow_batches, components, settle, sized
+from quillfact.llm.common import arrow_batches, components, settle, sized, tidy
 
 SHINGLE, MOST_MATCHES = 5, 4
 #: A shingle is frequent if this many different sets of one chunk of texts have it.
@@ -52,7 +52,7 @@ BUCKET_BYTES = 2_000_000
 #: Bits of a document's bitmap in the join of guests (a power of two); whole bitmaps follow for the pairs that are left.
 BRIEF = 1024
 #: Documents of a shingle's largest group that its guests meet before they meet all.
-ENVOYS = 8
+ENVOYS = 4
 
 
 def shingles(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,6 +309,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     arrow_batches(spark)
+    tidy(spark)  # this operator runs many jobs
     source = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     sets = settle(source.mapInArrow(_sets, SETS))
     rows = sets.where("tokens is null").select("doc_id", "n", "s1", "s2")
@@ -329,13 +330,16 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     links = settle(verified(source, stars))
     groups = components(links)
 
+    tidy(spark)
     open_ = _open(posts.join(hubs.where("m > 2").select("token"), "token", "left_semi"), groups)
     maps = settle(_of_documents(source, open_.select("doc")).mapInArrow(_bits, BITS))
     some = settle(_with_envoys(open_).join(stars, ["a", "b"], "left_anti"))
-    links = settle(links.unionByName(verified(source, some, maps)))
-    open_ = _open(open_.drop("group"), components(links))
+    joined = lambda groups, pairs: components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(source, pairs, maps)))
+    groups = joined(groups, some)
+    tidy(spark)
+    open_ = _open(open_.drop("group"), groups)
     pairs = settle(_between(open_, maps).join(stars.union(some), ["a", "b"], "left_anti"))
-    groups = settle(components(links.unionByName(verified(source, pairs, maps))))
+    groups = settle(joined(groups, pairs))
 
     labelled = settle(classes.join(groups, classes["rep"] == groups["id"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
     return rows.join(labelled, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
