@@ -29,6 +29,7 @@ def metric_rows(c: Column) -> Column:
 
 def seller_rows(line: Column) -> Column:
     """Two candidates of a selling-shareholder row: name, number of shares, amount."""
+    # fixed patterns of such a row
     shares = F.regexp_extract(line, r"(?i)([\d,]+)\s*(?:equity|preference)?\s*shares", 1)
     money = strip(F.regexp_extract(line, r"(?i)((?:₹|\$|INR|USD|Rs\.?)\s*[-+]?\d+(?:,\d+)*(?:\.\d+)?\s*(?:million|billion|crore|lakh)?)", 1))
     before = strip(F.regexp_extract(line, r"(?is)^(.*?)[\d,]+\s*(?:equity|preference)?\s*shares", 1))
@@ -52,6 +53,7 @@ def line_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     )
     low = F.lower(line)
     rows = base.where(F.col("seller").isNull() & ~navigation(line)).withColumn("m", F.explode(metric_rows(low))).select("*", F.posexplode(F.regexp_extract_all(line, F.lit(L.NUMBER), F.lit(1))).alias("number", "token"))
+    # the patterns below are fixed, and so is their order
     token = strip(F.col("token"))
     rows = fence(rows.where(like(F.col("token"), r"\d")), num=parse_numeric(F.col("token")), tok=token)
     rows = fence(rows, role=number_role(short(F.col("num")), F.col("token"), F.lit(""), line)["role"]).where(F.col("role").isin(L.METRIC_ROLES))
@@ -109,6 +111,7 @@ def line_candidates(lines: DataFrame, *keys: str) -> DataFrame:
     return sellers.unionByName(plain)
 
 
+# Fixed pattern: a number of a series.
 SERIES_NUMBER = r"(\(\s*[-+]?\d+(?:,\d+)*(?:\.\d+)?\s*%?\s*\)|[-+]?\d+(?:,\d+)*(?:\.\d+)?%?)"
 
 

@@ -33,6 +33,7 @@ def _list(words) -> str:
 
 _of = lambda words, i: f"{_list(words)}[CAST(({i}) % {len(words)} AS INT) + 1]"
 _first = lambda table, c: "CASE " + " ".join(f"WHEN contains({c}, '{k}') THEN '{v}'" for k, v in table) + " END"
+# Fixed patterns, in their fixed order: those of functions/roles.py and operators/extract.py, in the other dialect.
 NAVIGATION = r"(regexp_matches({0}, '(?:\.\s*|…\s*){{2,}}[0-9]+\s*$|\.{{2,}}\s*[0-9]+') OR regexp_matches({0}, '(?i)\b(?:page|p\.?)\s*[0-9]+\b'))"
 OUTLINE = r"(?:(?:[a-z0-9]+\.)+[a-z0-9]+|[0-9]+[a-z]\.[0-9]+|[ivxlcdm]+(?:\.[0-9]+)+)"
 BPS = r"regexp_matches(both_, '\b(?:bps?|basis\s+points?)\b')"
