@@ -22,7 +22,8 @@ from quillfact.sources.tables import DEFAULTS, schema_of, typed
 
 TABLES = ("documents", "chunks", "facts", "rejected_extractions", "fact_relationships")
 BY_DOCUMENT = ("documents", "chunks", "facts", "rejected_extractions")
-FACT_DEFAULTS = DEFAULTS["facts"]
+#: Columns that later versions added to facts, with their defaults.
+FACT_DEFAULTS = {c: v for c, v in DEFAULTS["facts"].items() if c != "entity"}
 BUCKETS = 256
 WHOLE = "all"
 
