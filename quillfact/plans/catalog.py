@@ -16,7 +16,7 @@ from quillfact.operators import extract as X
 from quillfact.operators import judge as J
 from quillfact.operators import pairs as P
 from quillfact.operators import rank as K
-from quillfact.plans.facts import FACTS_SQL, facts_sql, order_facts, read
+from quillfact.plans.facts import FACTS_SQL, facts_sql, order_facts, read, spread
 from quillfact.plans.lines import LINES_SQL as LADDER_SQL
 from quillfact.plans.lines import made_lines
 from quillfact.sources import connectors as A
@@ -592,8 +592,12 @@ def _candidates(spark, sf_dir):
     pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) if isinstance(r[i], str) else r[i] for r in rows]), (k % kinds + 1).cast("int"))
     value = F.when(k % kinds == 7, "n/a").when(k % kinds == 9, said("", ".10")).otherwise(size)
     number = F.when(k % kinds == 9, F.col("p_size") + 100.1).when(k % kinds != 7, (F.col("p_size") + 100).cast("double"))
-    fails = V.failure_type(value, pick(1), pick(2), pick(0), number, F.when(k % kinds == 6, 0.5).otherwise(0.9), F.when(k % kinds == 12, 0.3).otherwise(0.9))
-    return read(spark, sf_dir, "part").select(k.alias("reject_id"), value.alias("candidate_text"), fails.alias("failure_type"), V.reason(fails, value, pick(1), pick(2)).alias("rejection_reason"))
+    made = T.fence(
+        spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")), value=value, metric=pick(1), unit=pick(2), quote=pick(0), numeric_value=number,
+        value_binding_confidence=F.when(k % kinds == 6, 0.5).otherwise(0.9), extraction_confidence=F.when(k % kinds == 12, 0.3).otherwise(0.9),
+    )
+    c = V.with_failures(made, F.col("quote"))
+    return c.select(k.alias("reject_id"), F.col("value").alias("candidate_text"), "failure_type", V.reason(F.col("failure_type"), F.col("value"), F.col("metric"), F.col("unit")).alias("rejection_reason"))
 
 
 FAILURES = "CASE p_partkey % 13 WHEN 0 THEN 'NAVIGATION_REFERENCE' WHEN 1 THEN 'INSUFFICIENT_CONTEXT' WHEN 3 THEN 'MISSING_PERCENT_UNIT' WHEN 4 THEN 'MISSING_CURRENCY_UNIT' WHEN 5 THEN 'TABLE_HEADER_WITHOUT_VALUE' WHEN 6 THEN 'LOW_BINDING_CONFIDENCE' WHEN 7 THEN 'INSUFFICIENT_CONTEXT' WHEN 8 THEN 'INVALID_NUMBER_ROLE' WHEN 9 THEN 'SECTION_IDENTIFIER_AS_VALUE' WHEN 10 THEN 'DELTA_SPREAD_AS_LEVEL' WHEN 11 THEN 'VALUE_WITHOUT_METRIC' WHEN 12 THEN 'LOW_CONFIDENCE' END"
