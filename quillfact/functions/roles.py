@@ -29,7 +29,8 @@ def section_prefix(line: Column, value: Column, number: Column | None = None) ->
     found = F.regexp_extract(c, outline, 1)
     rest = strip(F.regexp_replace(c, r"^\s*\(?(?:(?:[a-z0-9]+\.)+[a-z0-9]+|[0-9]+[a-z]\.[0-9]+|[ivxlcdm]+(?:\.[0-9]+)+)", ""))
     number = F.lit(None).cast("string") if number is None else strip(number)
-    return let(_is_prefix, title=title, found=found, rest=rest, bare=strip(F.regexp_replace(found, r"^[a-z.]+", "")), value=strip(value), number=number)
+    # nothing begins an empty line; where the line is a literal one, the planner drops the rest
+    return (c != "") & let(_is_prefix, title=title, found=found, rest=rest, bare=strip(F.regexp_replace(found, r"^[a-z.]+", "")), value=strip(value), number=number)
 
 
 def _is_prefix(x: Column) -> Column:
@@ -98,4 +99,5 @@ def canonical_metric(metric: Column) -> Column:
     spelt = F.regexp_replace(F.regexp_replace(raw, r"\bpat\b", "profit_after_tax"), r"\bebita\b", "ebitda")
     words = F.filter(F.split(F.regexp_replace(spelt, r"[^a-z0-9\s_]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(L.STOPWORDS))
     singular = F.transform(words, lambda w: F.when(w.endswith("s") & (F.length(w) > 3) & ~like(w, L.KEPT_PLURALS), F.regexp_replace(w, "s$", "")).otherwise(w))
-    return F.coalesce(F.try_element_at(known, raw), F.nullif(F.array_join(singular, "_"), F.lit("")), F.lit("unspecified_metric"))
+    name = let(lambda x: F.nullif(x["name"], F.lit("")), name=F.array_join(singular, "_"))
+    return F.coalesce(F.try_element_at(known, raw), name, F.lit("unspecified_metric"))

@@ -114,8 +114,8 @@ def analysis_summary(spark, sf_dir):
 
 @query(facts_sql("c_name") + "SELECT taxonomy, reconciliation, count(*) AS n FROM j GROUP BY ALL")
 def customer_class_counts(spark, sf_dir):
-    """The pairs of all customers' facts, one by one: a customer has few facts, so classes would not be fewer than facts."""
-    return J.class_counts(J.judged(P.ready_pairs(settle(P.ready_facts(order_facts(spark, sf_dir, "c_name"))))))
+    """Counted by periods: a customer has few facts of one period, and only those make pairs."""
+    return Q.class_counts_by_period(order_facts(spark, sf_dir, "c_name"))
 
 
 @query(FACTS_SQL + """, x AS (SELECT *, CASE WHEN reconciliation <> 'NONE' THEN reconciliation ELSE taxonomy END AS kind, format('{:g}', va) || ' INR' AS na_, format('{:g}', vb) || ' INR' AS nb_, CAST(delta AS VARCHAR) || ' % apart' AS apart,

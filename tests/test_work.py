@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from test_store_analysis import random_facts
 
+from quillfact.operators import classes as K
+from quillfact.operators import judge as J
+from quillfact.operators import pairs as P
 from quillfact.plans import catalog
 
 
@@ -21,3 +25,11 @@ def test_reasons_go_through_the_ladder_once(spark, sf_dir):
     df = catalog.QUERIES["rejection_reasons"](spark, sf_dir)
     assert ladders(df) == 1
     assert tasks(df) > 4  # of a table that is one file of one row group
+
+
+@pytest.mark.parametrize("kept", ["true", "entity is not null and period is not null", "entity is null or period is null"])
+def test_counts_by_period_equal_those_of_pairs(spark, kept):
+    facts = random_facts(spark, 3, 240).where(kept).cache()
+    want = {(r.taxonomy, r.reconciliation): r.n for r in J.class_counts(J.judged(P.candidate_pairs(facts))).collect()}
+    assert {(r.taxonomy, r.reconciliation): r.n for r in K.class_counts_by_period(facts).collect()} == want and len(want) > 4
+    assert K.class_counts_by_period(facts.limit(0)).count() == 0
