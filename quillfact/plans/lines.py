@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfact.functions import lexicon as L
-from quillfact.plans.facts import read
+from quillfact.functions.text import fence
+from quillfact.plans.facts import read, spread
 
 PHRASES = ["Revenue from Operations", "express parcel volume", "Express parcel revenue", "EBITDA margin", "EBITDA", "Net profit", "profit after tax", "women employees", "headcount", "attrition rate", "real GDP growth", "retail headline inflation", "headline inflation", "core CPI inflation", "food inflation rate", "policy repo rate", "share capital", "offer of", "total income", "operating income", "cash flow", "net debt", "litigation", "output of mills"]
 FORMS = ["₹# million", "#%", "# per cent", "(#%)", "# crore", "# equity shares", "# bps", "#", "-#", "#,500 orders", "INR #", "20#", "#.5%", "$ # billion", "(₹#)", "# months ended", "#.25 percent"]
@@ -24,7 +25,8 @@ def made_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words)).cast("int") + 1)
     size = F.col("p_size").cast("string")
     line = F.replace(F.replace(one(CONTEXTS, k * 7 + F.floor(k / 17)), F.lit("@"), one(PHRASES, k)), F.lit("~"), one(FORMS, k * 5 + F.floor(k / 23)))
-    return read(spark, sf_dir, "part").select(k.alias("k"), F.lit(0).alias("ordinal"), one(FILES, k).alias("filename"), F.replace(line, F.lit("#"), size).alias("line"))
+    lines = fence(spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")), filename=one(FILES, k), line=F.replace(line, F.lit("#"), size))
+    return lines.select(k.alias("k"), F.lit(0).alias("ordinal"), "filename", "line")
 
 
 def _list(words) -> str:

@@ -33,3 +33,9 @@ def test_counts_by_period_equal_those_of_pairs(spark, kept):
     want = {(r.taxonomy, r.reconciliation): r.n for r in J.class_counts(J.judged(P.candidate_pairs(facts))).collect()}
     assert {(r.taxonomy, r.reconciliation): r.n for r in K.class_counts_by_period(facts).collect()} == want and len(want) > 4
     assert K.class_counts_by_period(facts.limit(0)).count() == 0
+
+
+def test_lines_are_shared_before_they_are_read(spark, sf_dir):
+    df = catalog.QUERIES["line_ladders"](spark, sf_dir)
+    below = df._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")[1:]
+    assert below and not any("RLIKE" in x.split("Relation ")[0] for x in below)
