@@ -524,6 +524,12 @@ def parse_numeric(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", N.parse_numeric(text).alias("number"))
 
 
+def _normalized(spark, sf_dir, value, unit, quote, metric):
+    """Parts with n, the normal form of a value that is made of each: worked out once, however many of its fields are read."""
+    made = T.fence(spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")), value=value, unit=unit, quote=quote)
+    return T.fence(made, n=N.normalized(F.col("value"), F.col("unit"), F.col("quote"), metric))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN round(p_size * 1e7, 4) WHEN 1 THEN p_size WHEN 2 THEN p_size ELSE round(p_size * 1e6, 4) END::DOUBLE AS normalized_value,
 CASE p_partkey % 4 WHEN 0 THEN 'INR' WHEN 1 THEN '%' WHEN 2 THEN 'shares' ELSE 'USD' END AS normalized_unit, CASE p_partkey % 4 WHEN 0 THEN 'MONEY' WHEN 1 THEN 'PERCENT' WHEN 2 THEN 'SHARE_COUNT' ELSE 'MONEY' END AS value_type FROM part""")
 def normalize_values(spark, sf_dir):
@@ -542,8 +548,7 @@ def normalize_magnitudes(spark, sf_dir):
     words = F.element_at(F.array(*[F.lit(m) for m, _ in L.MAGNITUDES]), (F.col("p_partkey") % len(L.MAGNITUDES) + 1).cast("int"))
     even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
     unit, quote = F.when(even, F.concat(F.lit("INR "), words)).otherwise("INR"), F.when(even, "").otherwise(F.concat(F.lit("it sold for "), size, F.lit(" or so "), words))
-    n = N.normalized(size, unit, quote, F.lit("sales"))
-    return read(spark, sf_dir, "part").select("p_partkey", n.alias("n")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.scale", "n.currency", "n.explanation")
+    return _normalized(spark, sf_dir, size, unit, quote, F.lit("sales")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.scale", "n.currency", "n.explanation")
 
 
 @query("SELECT p_partkey, ([" + _quoted(L.METRIC_ALIASES.values()) + f"])[CAST(p_partkey % {len(L.METRIC_ALIASES)} AS INT) + 1] AS canonical FROM part")

@@ -39,3 +39,10 @@ def test_lines_are_shared_before_they_are_read(spark, sf_dir):
     df = catalog.QUERIES["line_ladders"](spark, sf_dir)
     below = df._jdf.queryExecution().optimizedPlan().toString().split("Repartition ")[1:]
     assert below and not any("RLIKE" in x.split("Relation ")[0] for x in below)
+
+
+@pytest.mark.parametrize("name", ["normalize_magnitudes"])
+def test_normal_forms_are_worked_out_once(spark, sf_dir, name):
+    df = catalog.QUERIES[name](spark, sf_dir)
+    assert ladders(df) == 1
+    assert tasks(df) > 4
