@@ -535,7 +535,7 @@ CASE p_partkey % 4 WHEN 0 THEN 'INR' WHEN 1 THEN '%' WHEN 2 THEN 'shares' ELSE '
 def normalize_values(spark, sf_dir):
     k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     unit = F.when(k == 0, "crore").when(k == 1, "%").when(k == 2, "Equity Shares").otherwise("USD million")
-    return read(spark, sf_dir, "part").select("p_partkey", N.normalized(size, unit, F.lit(""), F.lit("revenue")).alias("n")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.value_type")
+    return _normalized(spark, sf_dir, size, unit, F.lit(""), F.lit("revenue")).select("p_partkey", "n.normalized_value", "n.normalized_unit", "n.value_type")
 
 
 _MAGNITUDES_SQL = "(VALUES " + ", ".join(f"({i}, '{m}', CAST({f} AS DOUBLE))" for i, (m, f) in enumerate(L.MAGNITUDES)) + ") m(i, word, factor)"

@@ -41,7 +41,7 @@ def test_lines_are_shared_before_they_are_read(spark, sf_dir):
     assert below and not any("RLIKE" in x.split("Relation ")[0] for x in below)
 
 
-@pytest.mark.parametrize("name", ["normalize_magnitudes"])
+@pytest.mark.parametrize("name", ["normalize_magnitudes", "normalize_values"])
 def test_normal_forms_are_worked_out_once(spark, sf_dir, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     assert ladders(df) == 1
