@@ -46,3 +46,13 @@ def test_normal_forms_are_worked_out_once(spark, sf_dir, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     assert ladders(df) == 1
     assert tasks(df) > 4
+
+
+LEDGER = ["reject_preview"]
+
+
+@pytest.mark.parametrize("name", LEDGER)
+def test_ledgers_go_through_the_ladder_once_in_shared_tasks(spark, sf_dir, name):
+    df = catalog.QUERIES[name](spark, sf_dir)
+    assert ladders(df) == 1
+    assert "Repartition " in df._jdf.queryExecution().optimizedPlan().toString().split("CHART_AXIS_TICK")[1]
