@@ -48,7 +48,7 @@ def test_normal_forms_are_worked_out_once(spark, sf_dir, name):
     assert tasks(df) > 4
 
 
-LEDGER = ["reject_preview", "failure_case", "ledger_groups", "pipeline_counts"]
+LEDGER = ["reject_preview", "failure_case", "ledger_groups", "pipeline_counts", "validate_verdict"]
 
 
 @pytest.mark.parametrize("name", LEDGER)
