@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,28 +19,34 @@ def index_base(line: Column) -> tuple[Column, Column]:
 
 def navigation(line: Column) -> Column:
     """Dot leaders that end in a number, or a page reference."""
-    c = strip(line)
-    return F.coalesce(like(c, r"(?:\.\s*|…\s*){2,}\d+\s*$|\.{2,}\s*\d+") | like(c, r"(?i)\b(?:page|p\.?)\s*\d+\b"), F.lit(False))
+    return F.coalesce(like(strip(line), r"(?:\.\s*|…\s*){2,}\d+\s*$|\.{2,}\s*\d+|(?i:\b(?:page|p\.?)\s*\d+\b)"), F.lit(False))
 
 
 def section_prefix(line: Column, value: Column, number: Column | None = None) -> Column:
     """Whether value (or number) is the outline number that the line begins with."""
     c = F.lower(strip(F.coalesce(line, F.lit(""))))
-    title = F.regexp_extract(c, r"^\s*(?:appendix\s+table|table|chart|figure|box)\s+([a-z0-9\.\-]+)", 1)
-    outline = r"^\s*\(?((?:[a-z0-9]+\.)+[a-z0-9]+|[0-9]+[a-z]\.[0-9]+|[ivxlcdm]+(?:\.[0-9]+)+)\)?\s+([a-z%])"
-    found = F.regexp_extract(c, outline, 1)
-    rest = strip(F.regexp_replace(c, r"^\s*\(?(?:(?:[a-z0-9]+\.)+[a-z0-9]+|[0-9]+[a-z]\.[0-9]+|[ivxlcdm]+(?:\.[0-9]+)+)", ""))
     number = F.lit(None).cast("string") if number is None else strip(number)
     # nothing begins an empty line; where the line is a literal one, the planner drops the rest
-    return (c != "") & let(_is_prefix, title=title, found=found, rest=rest, bare=strip(F.regexp_replace(found, r"^[a-z.]+", "")), value=strip(value), number=number)
+    return (c != "") & let(_begins, line=c, value=strip(value), number=number)
+
+
+OUTLINE = r"(?:[a-z0-9]+\.)+[a-z0-9]+|[0-9]+[a-z]\.[0-9]+|[ivxlcdm]+(?:\.[0-9]+)+"
+
+
+def _begins(x: Column) -> Column:
+    title = F.regexp_extract(x["line"], r"^\s*(?:appendix\s+table|table|chart|figure|box)\s+([a-z0-9\.\-]+)", 1)
+    found = F.regexp_extract(x["line"], rf"^\s*\(?({OUTLINE})\)?\s+([a-z%])", 1)
+    return let(_is_prefix, title=title, found=found, line=x["line"], value=x["value"], number=x["number"])
 
 
 def _is_prefix(x: Column) -> Column:
     same = lambda c: F.coalesce(x["value"] == c, F.lit(False)) | F.coalesce(x["number"] == c, F.lit(False))
     in_title = (x["title"] != "") & (same(x["title"]) | F.coalesce(F.array_contains(F.split(x["title"], r"\."), x["value"]), F.lit(False)))
-    is_unit = like(x["rest"], r"^(?:per cent|percent|%|bps|basis\s+points|crore|million|billion|lakh|shares)")
-    lead = F.regexp_extract(x["bare"], r"^\d+", 0)
-    return in_title | ((x["found"] != "") & ~is_unit & (((lead != "") & same(lead)) | same(x["bare"])))
+    rest = strip(F.regexp_replace(x["line"], rf"^\s*\(?(?:{OUTLINE})", ""))
+    is_unit = like(rest, r"^(?:per cent|percent|%|bps|basis\s+points|crore|million|billion|lakh|shares)")
+    lead = lambda y: F.regexp_extract(y["bare"], r"^\d+", 0)
+    # most lines begin with no outline number: what is cut from it is not worked out for them
+    return in_title | ((x["found"] != "") & ~is_unit & let(lambda y: ((lead(y) != "") & same(lead(y))) | same(y["bare"]), bare=strip(F.regexp_replace(x["found"], r"^[a-z.]+", ""))))
 
 
 def number_role(num: Column, raw: Column, unit: Column, line: Column) -> Column:
@@ -54,7 +62,8 @@ def number_role(num: Column, raw: Column, unit: Column, line: Column) -> Column:
 def _role_ladder(x: Column) -> Column:
     empty = F.lit("")
     num, raw, full, bare, both, own, n, year, value = (x[c] for c in ("num", "raw", "full", "bare", "both", "own", "n", "year", "value"))
-    near = lambda before, after, c=both: like(c, F.concat(F.lit(before), n, F.lit(after)))
+    # a pattern with the number in it is compiled anew for each row: one that needs some word is tried where the word is
+    near = lambda before, after, c=both, words=(): reduce(lambda a, b: a & b, [*([has_any(c, words)] if words else []), F.contains(c, num), like(c, F.concat(F.lit(before), n, F.lit(after)))])
     whole = F.try_to_number(F.nullif(F.regexp_extract(num, r"^[-+]?(\d+)(?:\.\d+)?$", 1), empty), F.lit("999999999999999")).cast("long")
     bps = like(both, r"\b(?:bps?|basis\s+points?)\b")
     small = like(num, r"^\d{1,2}$")
@@ -71,18 +80,18 @@ def _role_ladder(x: Column) -> Column:
         (whole == year, "INDEX_BASE_YEAR", 0.99),
         (whole == value, "INDEX_BASE_VALUE", 0.99),
         (small & like(bare, r"^(?:\d{1,2}\s+){3,}\d{1,2}$"), "COLUMN_IDENTIFIER", 0.98),
-        (navigation(full) | near(r"\b(?:page|p\.?)\s*", r"\b"), "PAGE_REFERENCE", 0.95),
-        (near(r"\b(?:note|footnote)\s*", r"\b"), "NOTE_REFERENCE", 0.95),
+        (navigation(full) | near(r"\b(?:page|p\.?)\s*", r"\b", words=["p"]), "PAGE_REFERENCE", 0.95),
+        (near(r"\b(?:note|footnote)\s*", r"\b", words=["note"]), "NOTE_REFERENCE", 0.95),
         (like(num, r"^(?:19|20)\d{2}$") & like(both, r"\b(?:fy|fiscal|quarter|q[1-4]|year|ended|as at|march|december|june|september)\b"), "YEAR", 0.95),
         (like(num, r"^(?:19|20)\d{2}$") & ~like(own, r"(?:₹|\$|inr|usd|rs|percent|\%|shares|parcels|employees)"), "YEAR", 0.90),
         (like(num, r"^\d{2}$") & near(r"\b(?:fy|fiscal|q[1-4]\s*fy|20)\s*", r"\b"), "YEAR", 0.95),
-        (near(rf"\b(?:{L.MONTHS})\s+", r"\b") | near(r"\b", r"\s+(?:months?|days?)\s+ended\b"), "DATE_COMPONENT", 0.95),
+        (near(rf"\b(?:{L.MONTHS})\s+", r"\b", words=L.MONTHS.split("|")) | near(r"\b", r"\s+(?:months?|days?)\s+ended\b", words=["ended"]), "DATE_COMPONENT", 0.95),
         (like(own, r"\b(?:shares?|equity shares?|preference shares?|securities)\b"), "SHARE_COUNT", 0.95),
-        (near(r"\b", r"\s+(?:equity|preference)?\s*shares?\b"), "SHARE_COUNT", 0.90),
+        (near(r"\b", r"\s+(?:equity|preference)?\s*shares?\b", words=["share"]), "SHARE_COUNT", 0.90),
         (has_any(own, [*L.MONEY_SIGNS, "rupees", "dollars"]), "MONEY", 0.95),
-        (near(r"(?:₹|\$|inr|usd|rs\.?)\s*(?:\w+\s+){0,2}", ""), "MONEY", 0.90),
+        (near(r"(?:₹|\$|inr|usd|rs\.?)\s*(?:\w+\s+){0,2}", "", words=["₹", "$", "inr", "usd", "rs"]), "MONEY", 0.90),
         (has_any(own, ["%", "percent"]), "PERCENT", 0.95),
-        (near(r"\b", r"\s*(?:\%|percent|percentage)\b"), "PERCENT", 0.90),
+        (near(r"\b", r"\s*(?:\%|percent|percentage)\b", words=["%", "percent"]), "PERCENT", 0.90),
         (like(both, r"\b(?:parcels?|orders?|shipments?|employees?|headcount|workers?|facilities|hubs|vehicles|centres|tonnes|metric tonnes)\b"), "COUNT", 0.90),
     ]
     out = None

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_store_analysis import random_facts
 
+from quillfact.functions import roles as R
 from quillfact.operators import classes as K
 from quillfact.operators import judge as J
 from quillfact.operators import pairs as P
@@ -56,3 +57,13 @@ def test_ledgers_go_through_the_ladder_once_in_shared_tasks(spark, sf_dir, name)
     df = catalog.QUERIES[name](spark, sf_dir)
     assert ladders(df) == 1
     assert "Repartition " in df._jdf.queryExecution().optimizedPlan().toString().split("CHART_AXIS_TICK")[1]
+
+
+def test_a_pattern_with_the_number_is_tried_only_where_it_can_match(spark, monkeypatch):
+    """Such a pattern is compiled anew for each row; one for a line without the number, or without its word, is not."""
+    monkeypatch.setattr(R, "like", lambda c, p: c.rlike(p) if isinstance(p, str) else F.raise_error(F.lit("compiled")).cast("boolean"))
+    rows = [("105", "", "revenue of the year"), ("105", "", "months ended in march of the year by shares")]
+    df = spark.createDataFrame(rows, "num string, raw string, line string").select(R.number_role(F.col("num"), F.col("raw"), F.lit(""), F.col("line"))["role"].alias("role"))
+    assert [r.role for r in df.collect()] == ["METRIC_VALUE", "METRIC_VALUE"]
+    with pytest.raises(Exception, match="compiled"):  # the stand-in is met where the number is
+        spark.createDataFrame([("105", "", "see p. 105")], "num string, raw string, line string").select(R.number_role(F.col("num"), F.col("raw"), F.lit(""), F.col("line"))["role"]).collect()
