@@ -19,29 +19,41 @@ def header_label(text: Column) -> Column:
 def failure_type(value: Column, metric: Column, unit: Column, quote: Column, number: Column, binding: Column, extraction: Column) -> Column:
     """The first rule that a candidate breaks, null for a valid one."""
     value, metric, unit, quote = (strip(F.coalesce(c, F.lit(""))) for c in (value, metric, unit, quote))
-    role = number_role(short(number), value, unit, quote)["role"]
-    return let(_first_failure, value=value, metric=metric, unit=unit, quote=quote, number=number, role=role, binding=binding, extraction=extraction)
+    return let(_first_failure, value=value, metric=metric, unit=unit, quote=quote, number=number, binding=binding, extraction=extraction)
+
+
+def _named(rules: list[tuple[Column, str]]) -> list[Column]:
+    return [F.when(test, name) for test, name in rules]
 
 
 def _first_failure(x: Column) -> Column:
-    value, metric, unit, quote, number, role, binding, extraction = (x[c] for c in ("value", "metric", "unit", "quote", "number", "role", "binding", "extraction"))
-    m, u = F.lower(metric), F.lower(unit)
-    numeric, relative = number.isNotNull(), has_any(m, ["change", "spread", "delta"])
-    rules = [
+    value, quote, number = x["value"], x["quote"], x["number"]
+    before = [
         (navigation(quote) | navigation(value), "NAVIGATION_REFERENCE"),
         (F.length(quote) < 4, "INSUFFICIENT_CONTEXT"),
+    ]
+    # the role is the dearest of all: only a number has one, and only where no rule before needs none
+    role = F.when(number.isNotNull(), number_role(short(number), value, x["unit"], quote)["role"])
+    rest = let(_failure_of_role, role=role, m=F.lower(x["metric"]), u=F.lower(x["unit"]), v=F.lower(value), q=F.lower(quote), **{c: x[c] for c in ("value", "metric", "quote", "number", "binding", "extraction")})
+    return F.coalesce(*_named(before), rest)
+
+
+def _failure_of_role(x: Column) -> Column:
+    value, metric, quote, number, role, binding, extraction, m, u = (x[c] for c in ("value", "metric", "quote", "number", "role", "binding", "extraction", "m", "u"))
+    numeric, relative = number.isNotNull(), has_any(m, ["change", "spread", "delta"])
+    rules = [
         (numeric & ~role.isin(L.METRIC_ROLES), "INVALID_NUMBER_ROLE"),
         (numeric & section_prefix(quote, value, number.cast("string")), "SECTION_IDENTIFIER_AS_VALUE"),
-        (numeric & (F.contains(F.lower(quote), F.lit("bps")) | role.isin("BASIS_POINT_CHANGE", "SPREAD")) & has_any(m, ["repo", "interest", "rate"]) & ~relative, "DELTA_SPREAD_AS_LEVEL"),
+        (numeric & (F.contains(x["q"], F.lit("bps")) | role.isin("BASIS_POINT_CHANGE", "SPREAD")) & has_any(m, ["repo", "interest", "rate"]) & ~relative, "DELTA_SPREAD_AS_LEVEL"),
         (numeric & has_any(m, ["inflation", "gdp", "growth rate", "repo rate"]) & ~relative & ~has_any(u, ["%", "percent", "bps"]) & ~F.contains(value, F.lit("%")), "MISSING_PERCENT_UNIT"),
-        (numeric & has_any(m, ["borrowings", "net debt", "revenue", "income", "cash flow", "offer size", "share capital", "litigation"]) & ~has_any(F.concat_ws("\n", u, F.lower(value)), ["inr", "usd", "₹", "$", "rs", "crore", "million", "billion", "lakh"]), "MISSING_CURRENCY_UNIT"),
+        (numeric & has_any(m, ["borrowings", "net debt", "revenue", "income", "cash flow", "offer size", "share capital", "litigation"]) & ~has_any(F.concat_ws("\n", u, x["v"]), ["inr", "usd", "₹", "$", "rs", "crore", "million", "billion", "lakh"]), "MISSING_CURRENCY_UNIT"),
         (numeric & (binding < L.MIN_BINDING), "LOW_BINDING_CONFIDENCE"),
         (header_label(value) | header_label(metric), "TABLE_HEADER_WITHOUT_VALUE"),
         (m == "", "VALUE_WITHOUT_METRIC"),
-        (~numeric & ((F.length(value) < 5) | F.lower(value).isin(L.EMPTY_PHRASES)), "INSUFFICIENT_CONTEXT"),
+        (~numeric & ((F.length(value) < 5) | x["v"].isin(L.EMPTY_PHRASES)), "INSUFFICIENT_CONTEXT"),
         (extraction < L.MIN_EXTRACTION, "LOW_CONFIDENCE"),
     ]
-    return F.coalesce(*[F.when(test, name) for test, name in rules])
+    return F.coalesce(*_named(rules))
 
 
 #: What is said of a rejected candidate, in our own words: {0} is its value, {1} its metric, {2} its unit.

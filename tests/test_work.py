@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_store_analysis import random_facts
 
 from quillfact.functions import roles as R
+from quillfact.functions import validate as V
 from quillfact.operators import classes as K
 from quillfact.operators import judge as J
 from quillfact.operators import pairs as P
@@ -67,3 +68,11 @@ def test_a_pattern_with_the_number_is_tried_only_where_it_can_match(spark, monke
     assert [r.role for r in df.collect()] == ["METRIC_VALUE", "METRIC_VALUE"]
     with pytest.raises(Exception, match="compiled"):  # the stand-in is met where the number is
         spark.createDataFrame([("105", "", "see p. 105")], "num string, raw string, line string").select(R.number_role(F.col("num"), F.col("raw"), F.lit(""), F.col("line"))["role"]).collect()
+
+
+def test_a_role_is_worked_out_only_for_numbers_that_pass_the_rules_before(spark, monkeypatch):
+    monkeypatch.setattr(V, "number_role", lambda *a: F.struct(F.raise_error(F.lit("role")).cast("string").alias("role")))
+    rows = [("5", "Revenue", "Contents .... 12", 5.0, "NAVIGATION_REFERENCE"), ("5", "Revenue", "abc", 5.0, "INSUFFICIENT_CONTEXT"), ("n/a", "Policy", "see the notes", None, "INSUFFICIENT_CONTEXT")]
+    df = spark.createDataFrame(rows, "value string, metric string, quote string, number double, want string")
+    got = df.select(V.failure_type(F.col("value"), F.col("metric"), F.lit(""), F.col("quote"), F.col("number"), F.lit(0.9), F.lit(0.9)).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
