@@ -12,8 +12,8 @@ from quillfact.functions.text import either, fence, has_any, let, like, short, s
 
 def header_label(text: Column) -> Column:
     """Whether a text is just a table header, a unit label or a generic title."""
-    c = F.lower(strip(text))
-    return F.coalesce((c != "") & (c.isin([*L.UNIT_WORDS, *L.GENERIC_METRICS]) | c.startswith("#") | like(c, "|".join(L.HEADERS))), F.lit(False))
+    known, pattern = [*L.UNIT_WORDS, *L.GENERIC_METRICS], "|".join(L.HEADERS)
+    return F.coalesce(let(lambda x: (x["c"] != "") & (x["c"].isin(known) | x["c"].startswith("#") | like(x["c"], pattern)), c=F.lower(strip(text))), F.lit(False))
 
 
 def failure_type(value: Column, metric: Column, unit: Column, quote: Column, number: Column, binding: Column, extraction: Column) -> Column:

@@ -76,3 +76,10 @@ def test_a_role_is_worked_out_only_for_numbers_that_pass_the_rules_before(spark,
     df = spark.createDataFrame(rows, "value string, metric string, quote string, number double, want string")
     got = df.select(V.failure_type(F.col("value"), F.col("metric"), F.lit(""), F.col("quote"), F.col("number"), F.lit(0.9), F.lit(0.9)).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_a_text_is_stripped_once_to_tell_a_header(spark):
+    df = spark.createDataFrame([(" (₹ in million) ", True), ("Revenue 5", False), (None, False), ("  ", False)], "text string, want boolean")
+    df = df.select(V.header_label(F.col("text")).alias("got"), "want")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert all(r.got == r.want for r in df.collect())
