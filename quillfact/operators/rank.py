@@ -76,7 +76,9 @@ def ledger_groups(spark: SparkSession, rejected: DataFrame) -> DataFrame:
     """bucket, n for all fixed buckets; a failure type that names none is an ambiguous claim."""
     bucket = F.when(F.col("failure_type").isin(L.REJECT_BUCKETS), F.col("failure_type")).otherwise("AMBIGUOUS_CLAIMS")
     found = rejected.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(b,) for b in L.REJECT_BUCKETS], "bucket string").join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # a range and not Python's rows: those start a Python worker in each of their tasks
+    buckets = spark.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(b) for b in L.REJECT_BUCKETS])).alias("bucket"))
+    return buckets.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def preview(rejected: DataFrame, k: int = L.PREVIEW) -> DataFrame:

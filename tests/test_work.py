@@ -78,6 +78,13 @@ def test_a_role_is_worked_out_only_for_numbers_that_pass_the_rules_before(spark,
     assert [r.got for r in got] == [r.want for r in got]
 
 
+def test_buckets_of_the_ledger_start_no_python_workers(spark, sf_dir):
+    df = catalog.QUERIES["ledger_groups"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "Range" in plan
+    assert df.count() == 7
+
+
 def test_a_text_is_stripped_once_to_tell_a_header(spark):
     df = spark.createDataFrame([(" (₹ in million) ", True), ("Revenue 5", False), (None, False), ("  ", False)], "text string, want boolean")
     df = df.select(V.header_label(F.col("text")).alias("got"), "want")
