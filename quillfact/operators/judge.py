@@ -178,6 +178,6 @@ def analyse(facts: DataFrame, judge=judged) -> Analysis:
 
 
 def pipeline_counts(facts: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row: accepted facts, rejected candidates, pairs across documents."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(facts, "accepted_facts_count").crossJoin(count(rejected, "rejected_candidates_count")).crossJoin(pair_count(facts).withColumnRenamed("pairs", "candidate_pairs_evaluated"))
+    """One row: accepted facts, rejected candidates, pairs across documents. Facts are read once, for their documents' sizes."""
+    counts = pair_count(facts).crossJoin(rejected.agg(F.count("*").alias("rejected_candidates_count")))
+    return counts.select(F.col("facts").alias("accepted_facts_count"), "rejected_candidates_count", F.col("pairs").alias("candidate_pairs_evaluated"))

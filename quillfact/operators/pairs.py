@@ -173,9 +173,9 @@ def all_pairs(facts: DataFrame, limit: int = L.PREVIEW) -> DataFrame:
 
 
 def pair_count(facts: DataFrame) -> DataFrame:
-    """One row: the number of pairs across documents, from the documents' sizes."""
-    sizes = facts.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    return sizes.select(F.coalesce(((F.col("n") * F.col("n") - F.col("squares")) / 2).cast("long"), F.lit(0)).alias("pairs"))
+    """One row: the numbers of facts and of pairs across documents, from the documents' sizes."""
+    sizes = facts.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("facts"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return sizes.select("facts", F.coalesce(((F.col("facts") * F.col("facts") - F.col("squares")) / 2).cast("long"), F.lit(0)).alias("pairs"))
 
 
 def first_pairs(pairs: DataFrame, by: str, k: int) -> DataFrame:

@@ -19,15 +19,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def order_facts(spark: SparkSession, sf_dir: str, entity: str = "n_name") -> DataFrame:
-    """One row per document, entity (nations, or customers with c_name) and fiscal year (from April). Orders are summed by
-    customer before they meet the nations, in whole cents; small tables are broadcast by Spark's own size check. Positions
+    """One row per document, entity (nations, or customers with c_name) and fiscal year (from April), in whole cents. Orders
+    meet their customers in a sorted join: customers grow with the orders, and Spark's size check goes by their compressed
+    file, so that it would send millions of them to the driver. Nations are few and are broadcast by that check. Positions
     come from the entity's key, the year and the report's number, so no window numbers all rows."""
     month, year = F.month("o_orderdate"), F.year("o_orderdate")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     orders = read(spark, sf_dir, "orders").select("o_custkey", (year + (month >= 4).cast("int")).alias("fy"), cents.alias("cents"), F.when(F.col("o_orderstatus").isin("F", "P"), cents).alias("early"), F.when(month >= 4, cents).alias("part"))
-    sums = orders.groupBy("o_custkey", "fy").agg(*[F.sum(c).alias(c) for c in ("cents", "early", "part")])
+    if entity == "c_name":  # a customer's orders end in one task: they are summed where they are read
+        orders = orders.groupBy("o_custkey", "fy").agg(*[F.sum(c).alias(c) for c in ("cents", "early", "part")])
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
-    per = sums.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    per = orders.join(customers.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     if entity == "n_name":
         per = per.join(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("n_nationkey" if entity == "n_name" else "c_custkey").cast("long")

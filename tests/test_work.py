@@ -12,6 +12,7 @@ from quillfact.operators import classes as K
 from quillfact.operators import judge as J
 from quillfact.operators import pairs as P
 from quillfact.plans import catalog
+from quillfact.plans.facts import order_facts
 
 
 def ladders(df) -> int:
@@ -90,3 +91,20 @@ def test_a_text_is_stripped_once_to_tell_a_header(spark):
     df = df.select(V.header_label(F.col("text")).alias("got"), "want")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     assert all(r.got == r.want for r in df.collect())
+
+
+@pytest.mark.parametrize("entity", ["n_name", "c_name"])
+def test_customers_of_orders_are_not_sent_to_the_driver(spark, sf_dir, entity):
+    """The table is far below the size check here; a broadcast of it grows with the orders."""
+    plan = order_facts(spark, sf_dir, entity)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [o_custkey" in plan and "BroadcastHashJoin [o_custkey" not in plan
+
+
+def test_counts_read_the_orders_once(spark, sf_dir):
+    df = catalog.QUERIES["pipeline_counts"](spark, sf_dir)
+    assert df._jdf.queryExecution().executedPlan().toString().count("/orders.parquet]") == 1
+
+
+def test_counts_of_nothing_are_zeros(spark):
+    nothing = spark.createDataFrame([], "document_id string")
+    assert tuple(J.pipeline_counts(nothing, nothing).first()) == (0, 0, 0)
